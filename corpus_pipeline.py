@@ -1,25 +1,58 @@
-"""From raw documents to packed sequences: five stages, each over all that the one before it kept."""
+"""From raw documents to packed sequences: five stages, each over all that the one before it kept.
+
+Bad documents go, boilerplate lines go, one of each group of near copies stays, documents with benchmark passages go,
+and what is left is packed into sequences. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from transit_spark.llm import decontam, lines, ngram_join, packing, quality
+from transit_spark.llm.scratch import keep
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less the lines that many sources share; n_chars is that of the new text."""
+    kept = lines.drop_boilerplate(docs)
+    return kept.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
-from transit_spark.llm.ngram_join import one_of_each
 
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_join.one_of_each(docs)
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return one_of_each(docs)
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
-STAGES = [("n-gram Jaccard join", near_duplicates)]
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("line dedup", without_boilerplate),
+    ("n-gram Jaccard join", one_of_near_copies),
+    ("benchmark decontamination", decontaminated),
+    ("packing", packed),
+]
+
+#: The classifier's scores and the packing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each result written and read again."""
-    from transit_spark.llm.scratch import keep
-
+    """All stages over ``documents``, each result but the last written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir))
