@@ -78,7 +78,7 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
 FROM p LEFT JOIN f USING (d)""",
     "op2_embedding_graph": """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-fine AS (SELECT vec_id, e FROM v WHERE len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0),
+fine AS (SELECT vec_id, e FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
 reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
 c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
@@ -87,9 +87,9 @@ SELECT c.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, c.
     "op6_aho_corasick_decontamination": rf"""
 WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {PLAIN_WORDS} AS ws FROM benchmark),
 win AS (SELECT DISTINCT item, least(len(ws), 10) AS k, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 10 THEN [array_to_string(ws, ' ')]
-  ELSE list_transform(range(1, len(ws) - 8), j -> array_to_string(ws[j:j + 9], ' ')) END) AS s FROM i),
+  ELSE list_transform(range(1, len(ws) - 8), lambda j: array_to_string(ws[j:j + 9], ' ')) END) AS s FROM i),
 d AS (SELECT doc_id, {PLAIN_WORDS} AS ws FROM documents),
-pos AS (SELECT doc_id, k, unnest(range(1, len(ws) - k + 2)) AS p, unnest(list_transform(range(1, len(ws) - k + 2), j -> array_to_string(ws[j:j + k - 1], ' '))) AS s
+pos AS (SELECT doc_id, k, unnest(range(1, len(ws) - k + 2)) AS p, unnest(list_transform(range(1, len(ws) - k + 2), lambda j: array_to_string(ws[j:j + k - 1], ' '))) AS s
   FROM d, (SELECT DISTINCT k FROM win) WHERE len(ws) >= k),
 hit AS (SELECT pos.doc_id, pos.p, pos.k, win.item FROM pos JOIN win ON pos.s = win.s AND pos.k = win.k),
 words AS (SELECT doc_id, count(DISTINCT w) AS n FROM (SELECT doc_id, unnest(range(p, p + k)) AS w FROM (SELECT DISTINCT doc_id, p, k FROM hit)) GROUP BY doc_id),
@@ -101,7 +101,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
 sh AS (SELECT DISTINCT doc_id, s FROM (
   SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w)),
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w)),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 rare AS (SELECT s FROM sh GROUP BY s HAVING count(*) > 1),
 inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id
@@ -112,11 +112,11 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)""",
     "op10_line_spread": """
 WITH l AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
-x AS (SELECT doc_id, coalesce(source, '') AS source, unnest(range(1, len(ls) + 1)) AS pos, unnest(list_transform(ls, y -> trim(y, ' ' || chr(9) || chr(13)))) AS line FROM l),
+x AS (SELECT doc_id, coalesce(source, '') AS source, unnest(range(1, len(ls) + 1)) AS pos, unnest(list_transform(ls, lambda y: trim(y, ' ' || chr(9) || chr(13)))) AS line FROM l),
 spread AS (SELECT line, min(doc_id) AS first FROM x WHERE length(line) >= 10 GROUP BY line HAVING count(DISTINCT source) >= 3),
 hit AS (SELECT x.doc_id, list(x.pos) AS gone, sum(length(x.line)) AS n FROM x JOIN spread s ON s.line = x.line AND x.doc_id <> s.first GROUP BY x.doc_id),
 j AS (SELECT l.doc_id, l.text, l.ls, hit.gone, hit.gone IS NOT NULL AND hit.n <= 0.5 * length(l.text) AS go FROM l LEFT JOIN hit USING (doc_id))
 SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(CASE WHEN go THEN len(gone) ELSE 0 END AS BIGINT) AS n_removed,
-  sha256(CASE WHEN go THEN array_to_string(list_transform(list_filter(range(1, len(ls) + 1), i -> NOT list_contains(gone, i)), i -> ls[i]), chr(10)) ELSE coalesce(text, '') END) AS text_sha256
+  sha256(CASE WHEN go THEN array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(gone, i)), lambda i: ls[i]), chr(10)) ELSE coalesce(text, '') END) AS text_sha256
 FROM j""",
 }
