@@ -22,7 +22,7 @@ def lanes_by_direction(tags: Column) -> tuple[Column, Column, Column]:
     """(oneway, lanes forward, lanes backward), null where no tag tells. Against a one-way street there is one lane unless tagged."""
     way = direction(tags)
     total, forward, backward = (_count(tags, x) for x in ("lanes", "lanes:forward", "lanes:backward"))
-    half = F.greatest(F.floor(total / 2), F.lit(1)).cast("int")
+    half = F.when(total.isNotNull(), F.greatest(F.floor(total / 2), F.lit(1))).cast("int")
     back = F.coalesce(backward, F.when(F.coalesce(total, forward).isNotNull(), 1))
     either = F.greatest(forward, backward)  # the one that is tagged
     fwd = F.when(way == 1, F.coalesce(forward, total)).when(way == -1, F.coalesce(forward, F.when(F.coalesce(total, backward).isNotNull(), 1))).otherwise(F.coalesce(forward, either, half))

@@ -17,7 +17,7 @@ def effective_frequency(df: DataFrame, keys: list[str], dep: str = "dep", w0: in
     ordered = df.select(*keys, inside.alias("_d")).withColumn("_gap", F.lead("_d").over(W.partitionBy(*keys).orderBy(F.col("_d").asc_nulls_last())) - F.col("_d"))
     round_ = (F.lit(w1) - F.max("_d")) + (F.min("_d") - F.lit(w0))
     squares = F.coalesce(F.sum(F.col("_gap") * F.col("_gap")), F.lit(0.0)) + round_ * round_
-    return ordered.groupBy(*keys).agg(F.coalesce(F.lit(float(span) * span) / F.greatest(squares, F.lit(1.0)), F.lit(0.0)).alias("freq"))
+    return ordered.groupBy(*keys).agg(F.when(F.count("_d") > 0, F.lit(float(span) * span) / F.greatest(squares, F.lit(1.0))).otherwise(0.0).alias("freq"))
 
 
 def running_profile(pattern_times: DataFrame, w0: int = 21600, w1: int = 79200) -> DataFrame:

@@ -259,7 +259,7 @@ def leg_statistics(s: SparkSession, d: str) -> DataFrame:
     options = v.table(s, d, "lineitem").select((F.col("l_suppkey") % 50).alias("route_id"), (F.col("l_linenumber") % 2).alias("leg_no"), (F.col("l_partkey") % 9).alias("pattern_id"), (F.col("l_orderkey") * 61 % 86400).cast("int").alias("dep"))
     patterns = s.range(9).select(F.col("id").alias("pattern_id"), F.lit("a").alias("agency"), (F.col("id") % 6).cast("string").alias("route_name"))
     out = report.ride_stats(options, patterns)
-    return out.select("route_id", "leg_no", "in_window", "all_day", "first", "last", r4("headway").alias("headway"), F.transform("services", lambda x: x["route_name"])[0].alias("top"))
+    return out.select("route_id", "leg_no", "in_window", "all_day", "first", "last", F.round("headway", 2).alias("headway"), F.transform("services", lambda x: x["route_name"])[0].alias("top"))
 
 
 def _catalog(s: SparkSession, d: str) -> DataFrame:
