@@ -66,6 +66,10 @@ def pruned(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _cosines(x: np.ndarray, q: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.einsum("ij,ij->i", x[q[i : i + 65536]], x[n[i : i + 65536]]) for i in range(0, len(q), 65536)] or [np.zeros(0)])
+
+
 def search(x: np.ndarray, nbrs: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) with cosine >= limit, each row of ``x`` being a query: a greedy search from the medoid to the query's
     surroundings, then expansion through all nodes not over SLACK below the limit. ``nbrs``: rows of neighbours, -1 for none."""
@@ -94,7 +98,7 @@ def search(x: np.ndarray, nbrs: np.ndarray, limit: float) -> tuple[np.ndarray, n
         fresh = ~seen[q, n]
         q, n = q[fresh], n[fresh]
         seen[q, n] = True
-        s = np.einsum("ij,ij->i", x[q], x[n])
+        s = _cosines(x, q, n)
         hit = s >= limit - SLACK
         found_q.append(q[hit])
         found_n.append(n[hit])
@@ -111,23 +115,27 @@ def search(x: np.ndarray, nbrs: np.ndarray, limit: float) -> tuple[np.ndarray, n
     seen[lost, lost] = True
     q, n = np.concatenate([*found_q, lost]), np.concatenate([*found_n, lost])
     out_q, out_n = [q], [n]
+    step = max(1, (1 << 20) // nbrs.shape[1])
     while len(q):
-        q, n = np.repeat(q, nbrs.shape[1]), nbrs[n].ravel()
-        ok = n >= 0
-        q, n = q[ok], n[ok]
-        fresh = ~seen[q, n]
-        both = np.unique(q[fresh] * m + n[fresh])
-        q, n = both // m, both % m
-        seen[q, n] = True
-        s = np.concatenate([np.einsum("ij,ij->i", x[q[i : i + 65536]], x[n[i : i + 65536]]) for i in range(0, len(q), 65536)] or [np.zeros(0)])
-        q, n = q[s >= limit - SLACK], n[s >= limit - SLACK]
+        next_q, next_n = [], []
+        for i in range(0, len(q), step):  # a dense group has far more edges than nodes: a slice of them at once
+            at, to = np.repeat(q[i : i + step], nbrs.shape[1]), nbrs[n[i : i + step]].ravel()
+            ok = to >= 0
+            at, to = at[ok], to[ok]
+            fresh = ~seen[at, to]
+            both = np.unique(at[fresh] * m + to[fresh])
+            at, to = both // m, both % m
+            seen[at, to] = True
+            s = _cosines(x, at, to)
+            next_q.append(at[s >= limit - SLACK])
+            next_n.append(to[s >= limit - SLACK])
+        q, n = np.concatenate(next_q), np.concatenate(next_n)
         out_q.append(q)
         out_n.append(n)
     q, n = np.concatenate(out_q), np.concatenate(out_n)
     both = np.unique(np.concatenate([q * m + n, n * m + q]))
     q, n = both // m, both % m
-    s = np.concatenate([np.einsum("ij,ij->i", x[q[i : i + 65536]], x[n[i : i + 65536]]) for i in range(0, len(q), 65536)] or [np.zeros(0)])
-    ok = (s >= limit) & (q != n)
+    ok = (_cosines(x, q, n) >= limit) & (q != n)
     return q[ok], n[ok]
 
 
