@@ -109,7 +109,7 @@ def test_bottleneck_frontier_and_replay(spark, network):
     mine = search.cut(mine)
     options = search.cut(replay.serving_options(mine.where("kind = 'ride'"), network["stops"], network["times"]))
     windows = spark.createDataFrame([], "zone_id bigint, weekday int, start int, end int, headway int")
-    done = replay.replay(mine, options, windows, replay.sweep(mine.select("route_id").distinct(), 300))
+    done = replay.replay(mine, options, windows, replay.sweep(mine.select("route_id").distinct(), 900))
     profile = replay.connection_profile(done, mine).collect()
     assert len(profile) >= 30 and all(p.arr > p.dep for p in profile)
     assert [p.arr for p in sorted(profile)] == sorted(p.arr for p in profile)
