@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -25,3 +26,10 @@ def keep(df: DataFrame, *by: str) -> DataFrame:
     path = folder(df.sparkSession)
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Asks Python and the driver's JVM to collect their garbage: Spark removes the shuffle files of steps whose results
+    are kept when the driver has forgotten those steps, which else takes until its heap fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
