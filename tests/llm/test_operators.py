@@ -97,6 +97,22 @@ def test_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_two_dense_families(spark):
+    """Two families within the limit of each other, each tighter inside and larger than the candidate lists, and others."""
+    rng = np.random.default_rng(11)
+    axes = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    centres = [axes[0], 0.97 * axes[0] + (1 - 0.97**2) ** 0.5 * axes[1]]
+    families = [c + rng.normal(size=(100, 64)) * 0.005 for c in centres]
+    x = np.concatenate([*families, axes[2] + rng.normal(size=(600, 64)) * 0.05]).astype(np.float32)  # the medoid is far from the families
+    near = vectors.unit(x) @ vectors.unit(x).T >= 0.95
+    np.fill_diagonal(near, False)
+    n = 200
+    assert near[:n, :n].sum() == n * (n - 1)
+    found = vectors.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")).collect()
+    assert all(r.n_links == near[r.vec_id].sum() for r in found)
+    assert {r.component_id for r in found if r.vec_id < n} == {0}
+
+
 def test_quality_held_out(spark, docs):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     rows = quality.score_quality(docs, labels).join(labels, "doc_id").collect()

@@ -38,9 +38,11 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def pruned(x: np.ndarray) -> np.ndarray:
+def pruned(x: np.ndarray, limit: float) -> np.ndarray:
     """Robust-pruned neighbours (-1: none) of each row: of the nearest candidates the nearest is taken, and those to
-    which it is nearer by ALPHA than the row itself are dropped, again and again."""
+    which it is nearer by ALPHA than the row itself are dropped, again and again. The nearest rows of a dense family
+    are all of that family; a row with more rows within ``limit`` than places is therefore joined to as many further
+    ones of them, spread evenly over their ranks, so that families within the limit of each other are joined by many edges."""
     m = len(x)
     near = x @ x.T
     np.fill_diagonal(near, -2)
@@ -63,7 +65,16 @@ def pruned(x: np.ndarray) -> np.ndarray:
         out[ok, r] = node[ok]
         open_[rows, pick] = False
         open_ &= ~((ALPHA * (1 - near[node[:, None], cand]) <= far) & ok[:, None])
-    return out
+    count = (near >= limit).sum(axis=1)
+    crowded = np.flatnonzero(count > DEGREE)
+    if not len(crowded):
+        return out
+    wide = np.full((m, DEGREE), -1)
+    for i in range(0, len(crowded), 256):
+        at = crowded[i : i + 256]
+        place = DEGREE + ((count[at] - DEGREE)[:, None] * (np.arange(DEGREE) + 0.5) / DEGREE).astype(int)
+        wide[at] = np.take_along_axis(np.argsort(-near[at], axis=1, kind="stable"), place, axis=1)
+    return np.hstack([out, wide])
 
 
 def _cosines(x: np.ndarray, q: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -170,12 +181,12 @@ def _matrix(table: pa.Table, name: str = "x") -> np.ndarray:
     return unit(np.array(table.column(name).combine_chunks().flatten(), dtype=float).reshape(table.num_rows, -1))
 
 
-def _graph(spread: DataFrame) -> DataFrame:
+def _graph(spread: DataFrame, limit: float) -> DataFrame:
     """node, nbrs: each group's robust-pruned graph with its edges in both directions, united over all groups."""
 
     def build(table: pa.Table) -> pa.Table:
         node = table.column("node").to_numpy()
-        out = pruned(_matrix(table))
+        out = pruned(_matrix(table), limit)
         at, to = np.repeat(np.arange(len(node)), out.shape[1]), out.ravel()
         at, to = at[to >= 0], to[to >= 0]
         at, to = np.concatenate([at, to]), np.concatenate([to, at])
@@ -267,7 +278,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     nodes = keep(rows.where("fine").groupBy("x").agg(F.min("key").alias("low"), F.count("*").alias("size")).select(F.monotonically_increasing_id().alias("node"), "size", "x", "low"))
     for overlap in (2, 4, 8):
         spread = keep(_spread(nodes, overlap))
-        parts = keep(_links(spread, keep(_graph(spread)), limit))
+        parts = keep(_links(spread, keep(_graph(spread, limit)), limit))
         found = keep(parts.groupBy("node").agg(F.sum("links").alias("links")))
         recall = audit(nodes, found, limit)
         if recall >= least_recall:
