@@ -293,6 +293,17 @@ def test_packing(spark, docs, texts, odd, none):
     assert packing.pack(none).count() == 0 and packing.pack(odd).where("doc_id <= 2").select("length").distinct().first().length == 1
 
 
+def test_packing_of_added_tokens(spark):
+    """The tokenizers file matches its added token in texts, also at their ends, twice in a row and in a long text."""
+    tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> <|endoftext|><|endoftext|>x", "<|endoftext|", "no token", "some words <|endoftext|> " * 700]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), ids=True).orderBy("doc_id", "start").collect()
+    for i, text in enumerate(texts):
+        ids = np.frombuffer(b"".join(r.ids for r in rows if r.doc_id == i), "<u4").tolist()
+        assert ids == [*tokens.encode(text, add_special_tokens=False).ids, 0] and {r.doc_tokens for r in rows if r.doc_id == i} == {len(ids)}
+    assert [r.ids for r in rows if r.doc_id == 0] == [np.array([64, 50256, 65, 0], "<u4").tobytes()]
+
+
 def test_fill_is_closest():
     rng = np.random.default_rng(4)
     for _ in range(60):
