@@ -1,6 +1,9 @@
 """Timetable jobs on small feeds with known results."""
 
+import bisect
+import itertools
 import json
+import statistics
 import zipfile
 
 import pytest
@@ -109,12 +112,50 @@ def test_bottleneck_frontier_and_replay(spark, network):
     mine = search.cut(mine)
     options = search.cut(replay.serving_options(mine.where("kind = 'ride'"), network["stops"], network["times"]))
     windows = spark.createDataFrame([], "zone_id bigint, weekday int, start int, end int, headway int")
-    done = replay.replay(mine, options, windows, replay.sweep(mine.select("route_id").distinct(), 900))
+    done = replay.replay(mine, options, windows, replay.sweep(mine.select("route_id").distinct(), 300))
     profile = replay.connection_profile(done, mine).collect()
     assert len(profile) >= 30 and all(p.arr > p.dep for p in profile)
     assert [p.arr for p in sorted(profile)] == sorted(p.arr for p in profile)
 
 
+def test_replayed_profile_against_brute_force(spark):
+    """The registered query against a sweep of every minute of two days, start by start."""
+    from transit_spark.plans.queries import replayed_profile
+
+    folder, day = "/root/testdata/sf0.001", 24 * H
+    options = {}
+    for r in spark.read.parquet(f"{folder}/lineitem.parquet").select("l_suppkey", "l_linenumber", "l_partkey", "l_orderkey").collect():
+        leg = options.setdefault((r.l_suppkey % 20, r.l_linenumber % 2 * 2 + 1), {}).setdefault(r.l_partkey % 3, {})
+        dep = r.l_orderkey * 61 % day
+        leg[dep] = min(leg.get(dep, 10 * day), dep + r.l_partkey % 1800 + 300)
+    best = {}  # departures of a pattern in order, each with the earliest arrival from then on
+    for key, patterns in options.items():
+        for trips in patterns.values():
+            deps = sorted(trips)
+            best.setdefault(key, []).append((deps, list(itertools.accumulate((trips[d] for d in reversed(deps)), min))[::-1]))
+
+    def ride(key, ready):
+        found = []
+        for deps, arrivals in best[key]:
+            off = ready // day * day
+            i = bisect.bisect_left(deps, ready - off)
+            found.append(arrivals[i] + off if i < len(deps) else arrivals[0] + off + day)
+        return min(found)
+
+    expected = {}
+    for route in {r for r, _ in options}:
+        latest = {}
+        for t0 in range(0, 2 * day, 60):
+            latest[ride((route, 3), ride((route, 1), t0) + 120)] = t0
+        kept, soonest = [], 10 * day
+        for dep, arr in sorted(((d, a) for a, d in latest.items()), reverse=True):
+            if arr < soonest:
+                kept, soonest = kept + [(dep, arr)], arr
+        took = [a - d for d, a in kept if d < day]
+        expected[route] = (len(took), min(took), int(statistics.median(took)), max(took))
+    assert {r.route_id: tuple(r)[1:] for r in replayed_profile(spark, folder).collect()} == expected
+
+
 def test_required_walk(spark):
     rides = spark.createDataFrame([(1, 2, 4.0, 60.0, [0.0] * 3, None, None), (3, 4, 4.0, 60.0, [0.0] * 3, None, None)], "u bigint, v bigint, freq double, time double, miles array<double>, dist double, zone_id bigint")
     links = spark.createDataFrame([(2, 5, 1500.0, 1500.0), (5, 3, 1500.0, 1500.0), (2, 3, 3100.0, 3500.0)], "u bigint, v bigint, time double, dist double")
