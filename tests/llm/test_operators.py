@@ -315,6 +315,16 @@ def test_fill_is_closest():
         assert sum(k * v for k, v in used.items()) == best and all(v <= counts[k] for k, v in used.items())
 
 
+def test_lines_of_mostly_shared_text(spark):
+    """A page that is mostly shared lines loses them unless it is a copy of another document."""
+    nav = ["Home | About | Contact | Sitemap of this site", "All of the opening hours and holidays are on the notice board"]
+    rows = [(i, "\n".join([*nav, f"own text {i} is short"]), f"s{i}") for i in range(4)]
+    rows += [(10, "\n".join(nav), "s1"), (11, "\n".join(nav), "s2"), (12, nav[0], "s3"), (13, "\n".join([*nav, "own text 13 is short", "x"]), "s3")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = {r.doc_id: (r["__n_removed"], r.text) for r in lines.drop_boilerplate(df).collect()}
+    assert out == {0: (0, rows[0][1]), **{i: (2, f"own text {i} is short") for i in (1, 2, 3)}, 10: (0, rows[4][1]), 11: (0, rows[5][1]), 12: (1, ""), 13: (2, "own text 13 is short\nx")}
+
+
 def test_lines(spark, odd, none):
     shared = "This line is on every site there is."
     rows = [(i, f"own text number {i} with a few words more than that\n{shared} \nlast line of {i} is its own again", f"s{i % 4}") for i in range(8)]

@@ -41,13 +41,23 @@ def spread_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", site:
     return sure.unionByName(sketch.join(exact.where(F.col("__exact") >= min_sites), ["__h", "__c"]).select("__h", "__c", "__first"))
 
 
-def drop_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 3, min_chars: int = 10, most_removed: float = 0.5) -> DataFrame:
+def _copies(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
+    """__k, __t of documents whose counted lines are, as a set, those of a document with another key."""
+    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit(" \t\r"))), lambda line: F.length(line) >= min_chars)
+    rows = docs.select(*_row(key, text), F.array_sort(F.array_distinct(F.transform(lines, lambda line: F.xxhash64(line)))).alias("__set")).where(F.size("__set") > 0)
+    rows = rows.select(F.col("__key").alias("__k"), F.col("__text").alias("__t"), F.xxhash64("__set").alias("__s"), F.hash("__set").alias("__s2"))
+    shared = rows.groupBy("__s", "__s2").agg(F.min("__k").alias("__low"), F.max("__k").alias("__high")).where("__low <> __high").select("__s", "__s2")
+    return rows.join(shared, ["__s", "__s2"]).select("__k", "__t").distinct()
+
+
+def drop_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 3, min_chars: int = 10, most_removed: float = 0.5, only_copies: bool = True) -> DataFrame:
     """``docs`` with ``text`` less its boilerplate lines, and before it two columns __n_lines and __n_removed.
 
     A line (text between newlines, compared without blanks at its ends, of ``min_chars`` characters or more) goes
     where ``min_sites`` distinct sites have it, but stays in the document with the smallest key that has it, so that
     no line is lost to the corpus. A document whose lines to go are over ``most_removed`` of the characters of its
-    text is a copy rather than a page with boilerplate: it stays whole, for a near-duplicate operator. A null site
+    text stays whole, for a near-duplicate operator, where it is a copy: its counted lines are, as a set, those of a
+    document with another key. Without ``only_copies`` it stays whole in any case (the rule of op10's SQL). A null site
     is a site of its own, a null text stays null and has no lines, an empty one has one. Repeated rows give equal
     results. Rows without a key lose all such lines.
     """
@@ -56,9 +66,15 @@ def drop_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     gone = hit.groupBy("__key", "__text").agg(F.collect_set("__pos").alias("__gone"), F.sum("__n").alias("__hit"), F.count("*").alias("__all"))
     gone = gone.withColumn("__hit", F.col("__hit") * F.size("__gone") / F.col("__all"))  # repeated rows count once
     gone = gone.select(F.col("__key").alias("__k"), F.col("__text").alias("__t"), "__gone", "__hit")
+    copy = F.lit(True)
+    if only_copies:
+        copies = _copies(docs, key, text, min_chars).select(F.col("__k").alias("__ck"), F.col("__t").alias("__ct"))
+        gone = gone.join(copies, F.col("__k").eqNullSafe(F.col("__ck")) & (F.col("__t") == F.col("__ct")), "left")
+        copy = F.col("__ct").isNotNull()
+    gone = gone.withColumn("__copy", copy)
     own = docs.withColumns({"__n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("bigint"), "__text": F.xxhash64(text)})
     own = own.join(gone, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__text") == F.col("__t")), "left")
-    go = F.col("__gone").isNotNull() & (F.col("__hit") <= most_removed * F.length(text))
+    go = F.col("__gone").isNotNull() & ((F.col("__hit") <= most_removed * F.length(text)) | ~F.col("__copy"))
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("__gone", i)), "\n")
     out = own.withColumns({"__n_removed": F.when(go, F.size("__gone")).otherwise(0).cast("bigint"), "__new": F.when(go, left).otherwise(F.col(text))})
     return out.select("__n_lines", "__n_removed", *[F.col("__new").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

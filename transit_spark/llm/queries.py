@@ -55,7 +55,7 @@ def op9_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    kept = lines.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), only_copies=False)
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
