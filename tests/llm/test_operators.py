@@ -244,6 +244,9 @@ def test_ngram_join(spark, docs, texts, odd, none):
     assert {x for x in found if x[0] in (1, 2, 3, 4, 5)} == {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4)} and (6, 29996, 6) in found and (7, 29996, 6) in found
     assert ngram_join.near_duplicates(none).count() == 0
     assert sorted(r.doc_id or 0 for r in ngram_join.one_of_each(odd).collect()) == [0, 1, 2, 3, 4, 6, 8]
+    rows = [(0, "u v w x y z"), (1, "a b c d e f"), (1, "u v w x y z"), (2, "k l m n o p"), (2, "K l m n o p"), (3, None), (3, ""), (3, "")]
+    stay = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, (r.text or "-").lower()) for r in stay) == [(0, "u v w x y z"), (1, "a b c d e f"), (2, "k l m n o p"), (3, "-"), (3, "-")]
 
 
 def test_ngram_join_near_the_limit(spark):
@@ -261,6 +264,37 @@ def test_ngram_join_near_the_limit(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df).collect()} == brute_components(rows)
 
 
+def test_ngram_join_spares_hold_for_every_pair():
+    """Any differing words up to the bound leave more common keys than either set leaves out."""
+    low, triples = ngram_join.bands(80)
+    for n in [*range(1, 400), 1000, 4321]:
+        for m in range(n, n * 100 // 80 + 1):
+            t = 20 * (n + m) // 180
+            if t == 0:
+                continue
+            own = [np.array([x]) for x in (n, m)]
+            (band, many, mine), _ = ngram_join.spares(own[0], 80)
+            (other, _, theirs), (under, many2, below) = ngram_join.spares(own[1], 80)
+            assert other[0] == band[0] or (under[0] == band[0] and many2[0] == many[0])
+            spare = max(mine[0], theirs[0] if other[0] == band[0] else below[0])
+            common = 3 * many[0] - 2 * t if t <= many[0] else 2 * many[0] - t
+            assert common > spare > 0
+
+
+def test_ngram_join_of_a_crowd_near_the_limit(spark):
+    """Many texts of one group, some similar and some just not, joined by few links."""
+    rng = np.random.default_rng(21)
+    base = [f"b{i}" for i in range(150)]
+    rows = {}
+    for i in range(160):
+        text = list(base)
+        for at in rng.choice(150, int(rng.integers(1, 5)), replace=False):
+            text[at] = f"e{i}x{at}"
+        rows[i] = " ".join(text)
+    df = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df).collect()} == brute_components(rows)
+
+
 def test_language_held_out(docs, odd, none):
     rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null").collect()
     held = [r for r in rows if r.held_out]

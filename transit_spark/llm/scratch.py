@@ -28,6 +28,14 @@ def keep(df: DataFrame, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*kept: DataFrame) -> None:
+    """Deletes tables that ``keep`` wrote, after their last reader."""
+    for df in kept:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def release(spark: SparkSession) -> None:
     """Asks Python and the driver's JVM to collect their garbage: Spark removes the shuffle files of steps whose results
     are kept when the driver has forgotten those steps, which else takes until its heap fills."""
