@@ -9,7 +9,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from transit_spark.config import MOST_LOCAL, CostParams
+from transit_spark.config import LOCAL, Prices
 from transit_spark.functions import text
 from transit_spark.operators import calendar, flex, frequency, locality, replay, search, timetable, walks
 from transit_spark.plans.sql import SQL
@@ -84,7 +84,7 @@ def network(spark, tmp_path_factory):
     links = walks.walk_edges(nodes).unionByName(walks.attach_places(nodes, here))
     links = search.cut(links)
     rides = edges.select("u", "v", "freq", "time", F.array("miles_0", "miles_1", "miles_2").alias("miles"), F.lit(None).cast("double").alias("dist"), F.lit(None).cast("bigint").alias("zone_id"))
-    return dict(patterns=patterns, stops=placed, times=times, nodes=nodes, edges=edges, g=search.Network(search.cut(rides), links), chosen=chosen)
+    return dict(patterns=patterns, stops=placed, times=times, nodes=nodes, edges=edges, miles=search.cut(miles), g=search.Network(search.cut(rides), links), chosen=chosen)
 
 
 def test_compile(network):
@@ -110,7 +110,7 @@ def test_bottleneck_frontier_and_replay(spark, network):
     assert [x.kind for x in main].count("ride") == 2 and min(x.freq for x in main if x.freq) == pytest.approx(best)
     mine = legs.where("query_id = 0").withColumnRenamed("query_id", "route_id")
     mine = search.cut(mine)
-    options = search.cut(replay.serving_options(mine.where("kind = 'ride'"), network["stops"], network["times"]))
+    options = search.cut(replay.serving_options(mine.where("kind = 'ride'"), network["stops"], network["times"], network["miles"]))
     windows = spark.createDataFrame([], "zone_id bigint, weekday int, start int, end int, headway int")
     done = replay.replay(mine, options, windows, replay.sweep(mine.select("route_id").distinct(), 300))
     profile = replay.connection_profile(done, mine).collect()
@@ -163,6 +163,36 @@ def test_required_walk(spark):
     assert need in (1500.0, 3000.0, 3500.0) and need == 3500.0  # two walks of 1500 m need 3000 m, but limits are link lengths
 
 
+def test_chain(spark, network):
+    """Given routes in order, with legs and four classes; and a transfer that is too far."""
+    from transit_spark.operators import chain
+
+    stops, times, nodes = network["stops"], network["times"], network["nodes"]
+    freq, profile = frequency.effective_frequency(times, ["pattern_id", "pos"]), frequency.running_profile(times)
+    miles = stops.select("pattern_id", "pos", F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), (F.col("pos") * 2.0)).alias("miles"))
+    here = spark.createDataFrame([(1, 40.0, -75.0, "origin"), (2, 40.3, -75.0, "destination")], "node bigint, lat double, lon double, role string")
+    run = lambda steps, **more: chain.evaluate_chain(network["patterns"], stops, freq, profile, miles, nodes, steps, here, **more)
+    ends, problems = run(["FAST", "BX"], prices=Prices(mile=(0.0, 0.0, 0.0, 240.0)))
+    row = ends.first()
+    assert problems == [] and row.rides == 2 and row.bottleneck == pytest.approx(1)
+    assert [x.kind for x in row.legs] == ["walk", "ride", "walk", "ride", "walk"] and [x.miles[3] for x in row.legs if x.kind == "ride"] == [2.0, 2.0]
+    free = run(["FAST", "BX"], prices=Prices(mile=(0.0, 0.0, 0.0, 0.0)))[0].first()
+    assert row.cost - free.cost == pytest.approx(4 * 240)
+    assert run(["FREQ", "BX"], transfer_walk=500.0)[1] and run(["NONE"])[1] == ["no route NONE"]
+    routes, legs = chain.compare_chain(network["g"], 1, 2)
+    assert routes.count() == 1 and legs.where("kind = 'ride'").count() == 2
+
+
+def test_serving_options_of_the_priced_class(spark):
+    """Two patterns serve a leg; with miles only the one of the leg's class does."""
+    stops = spark.createDataFrame([(p, i, n, True, True) for p in (1, 2) for i, n in ((1, 10), (2, 20))], "pattern_id int, pos int, node bigint, board boolean, alight boolean")
+    times = spark.createDataFrame([(p, 0, i, 100 * i + p, 100 * i + p) for p in (1, 2) for i in (1, 2)], "pattern_id int, trip_no int, pos int, dep int, arr int")
+    miles = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [5.0, 1.0]), (2, 1, [9.0, 0.0]), (2, 2, [9.5, 3.0])], "pattern_id int, pos int, miles array<double>")
+    legs = spark.createDataFrame([(0, 1, 10, 20, [0.2, 0.9])], "route_id int, leg_no int, u bigint, v bigint, miles array<double>")
+    assert {r.pattern_id for r in replay.serving_options(legs, stops, times).collect()} == {1, 2}
+    assert {r.pattern_id for r in replay.serving_options(legs, stops, times, miles).collect()} == {2}
+
+
 def test_frequencies_table(spark, tmp_path):
     write_feed(tmp_path / "fq.zip", {"A": (40.0, -75.0), "B": (40.1, -75.0)}, {"R": (["A", "B"], [(8 * H, 600)])}, freqs=["R_0,07:00:00,09:00:00,600"])
     times = compiled(spark, tmp_path)[2].where("pos = 1")
@@ -187,6 +217,8 @@ def test_hours(spark):
     assert read("6:00am-6:30pm") == [(21600, 66600, None)]
     assert read("6:45am-5:12pm: every 90 min") == [(24300, 61920, 5400)]
     assert read("NO SERVICE") == [] and read(None) == []
+    assert read("Mon 7 a.m. \u2013 11:30 A.M., 1pm-12:15 am; every 45 min") == [(25200, 41400, None), (46800, 900, 2700)]
+    assert read("8am-9am 2 buses every 20 min") == [(28800, 32400, None)] and read("8am to 9am") == [] and read("8am - - 9am") == []
 
 
 def test_scalars(spark):
@@ -206,9 +238,9 @@ def test_local_preference(spark):
     schema = "u bigint, v bigint, freq double, time double, miles array<double>, dist double, zone_id bigint"
     g = search.Network(spark.createDataFrame([(1, 2, 32.0, 600.0, [0.0, 0.0, 2.0], None, None), (1, 3, 32.0, 400.0, [1.0, 0.0, 0.0], None, None), (3, 2, 32.0, 400.0, [1.0, 0.0, 0.0], None, None)], schema), spark.createDataFrame([], "u bigint, v bigint, time double, dist double"))
     ask = spark.createDataFrame([(0, 1, 2, 0.0)], "query_id int, origin bigint, destination bigint, threshold double")
-    free = CostParams(class_penalty=(0.0, 0.0, 0.0))
+    free = Prices(mile=(0.0, 0.0, 0.0))
     assert search.best_routes(g, ask, free)[1].count() == 1
-    assert search.best_routes(g, ask, MOST_LOCAL)[1].count() == 2
+    assert search.best_routes(g, ask, LOCAL)[1].count() == 2
 
 
 def test_flex(spark):
@@ -218,10 +250,15 @@ def test_flex(spark):
     nodes = spark.createDataFrame([(1, 40.05, -74.95), (2, 40.02, -74.92), (3, 40.05, -75.01), (4, 41.0, -75.0)], "node bigint, lat double, lon double")
     assert {(r.zone_id, r.node) for r in flex.zone_members(nodes, zones).collect()} == {(z, n) for z in ("z", "ada") for n in (1, 2)}
     rides, links, points = flex.flex_edges(nodes, zones, "2026-09-30")
-    assert {r.freq for r in rides.collect()} == {pytest.approx(256 / 28)} and rides.count() == 6 and links.count() == 2 and points.count() == 1
+    assert all(r.freq == pytest.approx(256 / 28) for r in rides.collect()) and rides.count() == 6 and links.count() == 2 and points.count() == 1
     ready = spark.createDataFrame([(0, "z", 2, 20 * H)], "k int, zone_id string, day0 int, ready bigint")
-    windows = spark.createDataFrame([("z", d, 6 * H, 18 * H, H) for d in range(5)], "zone_id string, weekday int, start int, end int, headway int")
+    windows = spark.createDataFrame([("z", d, 6 * H, 18 * H, None) for d in range(5)], "zone_id string, weekday int, start int, end int, headway int")
     assert replay.flex_pickup(ready, windows, ["k"]).first().pickup == 24 * H + 6 * H
+    noon = spark.createDataFrame([(0, "z", 2, 12 * H)], "k int, zone_id string, day0 int, ready bigint")
+    assert replay.flex_pickup(noon, windows, ["k"]).first().pickup == 12 * H + 1800  # half the usual headway, without one of its own
+    names = ["City Paratransit", "ADA ride", "Access-a-Ride", "Mobility Link", "Dial-a-Ride", "Senior Shuttle", "Canada Line"]
+    stated = spark.createDataFrame([(n, None) for n in names], "name string, agency string")
+    assert {r.name for r in flex.open_zones(stated).collect()} == {"Dial-a-Ride", "Senior Shuttle", "Canada Line"}
 
 
 def test_union_windows(spark):

@@ -13,6 +13,8 @@ def test_lanes(spark):
     cases = [
         ({"highway": "primary", "lanes": "4"}, (0, 2, 2)), ({"highway": "primary", "lanes": "3"}, (0, 1, 1)), ({"highway": "primary", "lanes:forward": "2", "lanes:backward": "1"}, (0, 2, 1)),
         ({"highway": "primary", "oneway": "yes", "lanes": "3"}, (1, 3, 1)), ({"highway": "residential"}, (0, None, None)),
+        ({"oneway": "yes", "lanes": "3", "lanes:forward": "2"}, (1, 3, 1)), ({"highway": "motorway", "oneway": "-1", "lanes": "2"}, (1, 2, 1)), ({"oneway": "-1", "lanes": "2.5;2"}, (-1, 1, 2.5)),
+        ({"oneway": "-1"}, (-1, 1, None)), ({"oneway": "yes"}, (1, None, 1)), ({"oneway": "reverse", "lanes": "3"}, (0, 1, 1)), ({"lanes:backward": "2"}, (0, 2, 2)),
     ]
     rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, tags map<string, string>")
     found = rows.select("i", F.struct(*fr.lanes_by_direction(F.col("tags"))).alias("r")).orderBy("i").collect()
@@ -70,3 +72,29 @@ def test_matching(spark):
     tunnel, over = way(5, (40.03, -75.02), (40.03, -74.98), 3, 0, True), way(6, (40.030054, -75.02), (40.030054, -74.98), 0)
     assert classes(spark, [tunnel, over], [(40.03, -75.01), (40.03, -74.99)]) == {0}
     assert classes(spark, [tunnel], [(40.03, -75.01), (40.03, -74.99)]) == {3}
+
+
+def test_road_classes_of_patterns(spark):
+    """A freeway and a looping street between the same stops: each pattern has its miles on its own road; one without a shape falls back."""
+    ends = ((40.0, -75.04), (40.0, -75.0))
+    ways_ = [way(1, *ends, 3), way(2, ends[0], (40.02, -75.04), 0), way(3, (40.02, -75.04), (40.02, -75.0), 0), way(4, (40.02, -75.0), ends[1], 0)]
+    index = spark.createDataFrame(ways_, "way_id bigint, nodes array<struct<lat: double, lon: double>>, cls_f int, cls_b int, oneway int, source string, off_grade boolean")
+    loop = [ends[0], (40.02, -75.04), (40.02, -75.0), ends[1]]
+    shapes = spark.createDataFrame([(s, i, a, b) for s, line in (("F", ends), ("L", loop)) for i, (a, b) in enumerate(line)], "shape_id string, seq int, lat double, lon double")
+    from transit_spark.functions.geo import project
+
+    stops = spark.createDataFrame([(p, s, i + 1, *ends[i]) for p, s in ((1, "F"), (2, "L"), (3, None)) for i in (0, 1)], "pattern_id int, shape_id string, pos int, lat double, lon double")
+    x, y = project(F.col("lat"), F.col("lon"))
+    density = spark.createDataFrame([(p, i, [float(i - 1), 0.0, 0.0]) for p in (1, 2, 3) for i in (1, 2)], "pattern_id int, pos int, miles array<double>")
+    rows = roads.classify_patterns(stops.select("pattern_id", "shape_id", "pos", x.alias("x"), y.alias("y")), shapes, roads.road_pieces(index), density)
+    found = {(r.pattern_id, r.pos): (r.miles, r.fallback) for r in rows.collect()}
+    assert found[1, 2][0][3] == pytest.approx(2.117, abs=0.05) and sum(found[1, 2][0][:3]) < 0.1 and not found[1, 2][1]
+    assert found[2, 2][0][0] == pytest.approx(4.88, abs=0.1) and found[2, 2][0][3] < 0.1
+    assert found[3, 2] == ([1.0, 0.0, 0.0, 0.0], True) and found[1, 1][0] == [0.0] * 4
+
+
+def test_shape_between_two_carriageways(spark):
+    """A shape drawn midway takes the carriageway of its direction, either way."""
+    east, west = way(3, (40.01, -75.02), (40.01, -74.98), 2, 1), way(4, (40.01013, -74.98), (40.01013, -75.02), 1, 1)
+    assert classes(spark, [east, west], [(40.010065, -75.01), (40.010065, -74.99)]) == {2}
+    assert classes(spark, [east, west], [(40.010065, -74.99), (40.010065, -75.01)]) == {1}

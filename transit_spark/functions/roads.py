@@ -7,27 +7,28 @@ from pyspark.sql import functions as F
 
 
 def _count(tags: Column, name: str) -> Column:
+    """The first number of a tag, which may be a fraction; null for anything else."""
     first = F.trim(F.split(tags[name], ";")[0])
-    return F.when(first.rlike(r"^\d+(\.\d+)?$"), F.floor(first.cast("double"))).cast("int")
+    return F.when(first.rlike(r"^\d+(\.\d*)?$"), first.cast("double"))
 
 
 def direction(tags: Column) -> Column:
-    """1 one way, -1 one way backwards, 0 both; roundabouts and motorways are one way unless stated."""
-    stated, highway = F.lower(F.coalesce(tags["oneway"], F.lit(""))), F.coalesce(tags["highway"], F.lit(""))
+    """1 one way, -1 one way backwards, 0 both; roundabouts are one way, and motorways unless they say no."""
+    stated, highway = F.coalesce(tags["oneway"], F.lit("")), F.coalesce(tags["highway"], F.lit(""))
     implied = F.coalesce(tags["junction"], F.lit("")).isin("roundabout", "circular") | (highway.isin("motorway", "motorway_link") & (stated != "no"))
-    return F.when(stated.isin("-1", "reverse"), -1).when(stated.isin("yes", "1", "true") | implied, 1).otherwise(0)
+    return F.when(stated.isin("yes", "1", "true") | implied, 1).when(stated == "-1", -1).otherwise(0)
 
 
 def lanes_by_direction(tags: Column) -> tuple[Column, Column, Column]:
-    """(oneway, lanes forward, lanes backward), null where no tag tells. Against a one-way street there is one lane unless tagged."""
+    """(oneway, lanes forward, lanes backward), null where no tag tells. A one-way street has all its lanes in its
+    direction, and one against it unless tagged; of two directions of which one is tagged the other has as many."""
     way = direction(tags)
     total, forward, backward = (_count(tags, x) for x in ("lanes", "lanes:forward", "lanes:backward"))
-    half = F.when(total.isNotNull(), F.greatest(F.floor(total / 2), F.lit(1))).cast("int")
-    back = F.coalesce(backward, F.when(F.coalesce(total, forward).isNotNull(), 1))
-    either = F.greatest(forward, backward)  # the one that is tagged
-    fwd = F.when(way == 1, F.coalesce(forward, total)).when(way == -1, F.coalesce(forward, F.when(F.coalesce(total, backward).isNotNull(), 1))).otherwise(F.coalesce(forward, either, half))
-    bwd = F.when(way == 1, back).when(way == -1, F.coalesce(backward, total)).otherwise(F.coalesce(backward, either, half))
-    return way, fwd.cast("int"), bwd.cast("int")
+    half = F.when(total.isNotNull(), F.greatest(F.floor(total / 2).cast("double"), F.lit(1.0)))
+    with_, against = lambda x: F.coalesce(total, x), lambda x: F.coalesce(x, F.lit(1.0))
+    fwd = F.when(way == 1, with_(forward)).when(way == -1, against(forward)).otherwise(F.coalesce(forward, backward, half))
+    bwd = F.when(way == 1, against(backward)).when(way == -1, with_(backward)).otherwise(F.coalesce(backward, forward, half))
+    return way, fwd, bwd
 
 
 def is_controlled(tags: Column) -> Column:

@@ -40,24 +40,42 @@ def route_display_name(short: Column, long: Column, route_id: Column) -> Column:
     return F.coalesce(F.when(short.isNotNull() & long.isNotNull(), F.concat_ws(" ", short, long)), short, long, route_id)
 
 
-def _half_day(hour: Column, minute: Column, half: Column) -> Column:
-    return (F.pmod(hour.cast("int"), F.lit(12)) + F.when(F.lower(half) == "p", 12).otherwise(0)) * 3600 + F.coalesce(F.nullif(minute, F.lit("")), F.lit("0")).cast("int") * 60
-
-
-_CLOCK = r"(\d{1,2})(?::(\d{2}))?\s*([ap])\.?m\.?"
-_HOURS = rf"(?i){_CLOCK}\s*[-\u2013]\s*{_CLOCK}(?:[^\d]*every\s*(\d+)\s*min)?"
+def _clock(token: Column) -> Column:
+    """Seconds after midnight of ``6am``, ``12:05 p.m.``."""
+    hour, minute = F.regexp_extract(token, r"^\d+", 0).cast("int"), F.regexp_extract(token, r":(\d+)", 1)
+    return F.pmod(hour, F.lit(12)) * 3600 + F.when(minute != "", minute.cast("int")).otherwise(0) * 60 + F.when(F.contains(token, F.lit("p")), 12 * 3600).otherwise(0)
 
 
 def parse_hours(text: Column) -> Column:
-    """All ``6:45am-5:12pm`` of a text, with ``: every 90 min`` or not, as [(start, end, headway)] in seconds; none: []."""
-    whole = F.regexp_extract_all(text, F.lit(_HOURS), F.lit(0))
-
-    def window(one: Column) -> Column:
-        g = [F.regexp_extract(one, _HOURS, i) for i in range(1, 8)]
-        return F.struct(_half_day(*g[:3]).alias("start"), _half_day(*g[3:6]).alias("end"), (F.nullif(g[6], F.lit("")).cast("int") * 60).alias("headway"))
-
-    out = F.transform(whole, window)
-    return F.coalesce(out, F.array().cast("array<struct<start:int,end:int,headway:int>>"))
+    """All ``6:45am-5:12pm`` of a text, with ``: every 90 min`` or not, as [(start, end, headway)] in seconds; none: [].
+
+    The text is read as a list of times, dashes, headways, digits and other words. Two times around a dash are a
+    window; a headway after it belongs to it unless a digit stands between them.
+    """
+    plain = F.replace(F.lower(text), F.lit("\u2013"), F.lit("-"))
+    tokens = F.regexp_extract_all(plain, F.lit(r"\d{1,2}(?::\d\d)?\s*[ap]\.?m\.?|every\s*\d+\s*min|-|\d|[a-z]+|\S"), F.lit(0))
+    window = "struct<start:int,end:int,headway:int>"
+    # from: the time before, dash: whether a dash follows it, open: whether the last window may still get a headway
+    zero = F.struct(F.array().cast(f"array<{window}>").alias("found"), F.lit(None).cast("int").alias("from"), F.lit(False).alias("dash"), F.lit(False).alias("open"))
+
+    def state(a: Column, **new: Column) -> Column:
+        return F.struct(*[new.get(name, a[name]).alias(name) for name in ("found", "from", "dash", "open")])
+
+    def step(a: Column, token: Column) -> Column:
+        no, none = F.lit(False), F.lit(None).cast("int")
+        ready = a["from"].isNotNull() & a["dash"]
+        made = F.struct(a["from"].alias("start"), _clock(token).cast("int").alias("end"), none.alias("headway"))
+        last = F.element_at(a["found"], -1)
+        every = F.struct(last["start"].alias("start"), last["end"].alias("end"), (F.regexp_extract(token, r"\d+", 0).cast("int") * 60).alias("headway"))
+        return (
+            F.when(token.rlike(r"^\d.*m") & ready, state(a, found=F.concat(a["found"], F.array(made)), **{"from": none}, dash=no, open=F.lit(True)))
+            .when(token.rlike(r"^\d.*m"), state(a, **{"from": _clock(token).cast("int")}, dash=no, open=no))
+            .when(token == "-", state(a, dash=a["from"].isNotNull() & ~a["dash"]))
+            .when(token.startswith("every") & token.endswith("min") & a["open"], state(a, found=F.concat(F.slice(a["found"], F.lit(1), F.size(a["found"]) - 1), F.array(every)), open=no))
+            .otherwise(state(a, **{"from": none}, dash=no, open=a["open"] & ~token.rlike(r"\d")))
+        )
+
+    return F.coalesce(F.aggregate(tokens, zero, step, lambda a: a["found"]), F.array().cast(f"array<{window}>"))
 
 
 def fmt_clock(seconds: Column) -> Column:

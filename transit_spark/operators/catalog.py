@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from transit_spark.config import CORRIDOR, USABLE_STATUSES
 from transit_spark.functions.geo import bbox_near_polyline, distance_to_polyline_m
 from transit_spark.functions.text import norm_name, norm_url
 
 
-def select_feeds(catalog: DataFrame, today: str, spine: list[tuple[float, float]], buffer_km: float = 60.0, exclude: list[str] | None = None) -> DataFrame:
+def select_feeds(catalog: DataFrame, today: str, spine: Sequence[tuple[float, float]] = CORRIDOR, buffer_km: float = 60.0, providers: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
     """``catalog`` (feed_id, provider, feed_name, status, url, service_end, bbox struct<south,west,north,east>, ...) with stale and
-    reason, the first test that a feed fails; null where it is kept. A feed without a complete box is not tested by place."""
+    reason, the first test that a feed fails; null where it is kept. ``providers`` and ``names`` are patterns of providers and of
+    feed names that are left out. A feed without a complete box is not tested by place; one without a status is not usable."""
     box = F.col("bbox")
     whole = F.coalesce(box["south"].isNotNull() & box["west"].isNotNull() & box["north"].isNotNull() & box["east"].isNotNull(), F.lit(False))
     near = bbox_near_polyline(box["south"], box["west"], box["north"], box["east"], spine, buffer_km * 1000)
-    names = F.concat_ws(" ", F.coalesce("provider", F.lit("")), F.coalesce("feed_name", F.lit("")))
-    out = F.when(~F.coalesce("status", F.lit("active")).isin("active", "future", "inactive"), F.concat(F.lit("status "), F.col("status")))
-    if exclude:
-        out = out.when(names.rlike("(?i)" + "|".join(f"(?:{p})" for p in exclude)), "excluded by name")
+    status = F.coalesce("status", F.lit(""))
+    out = F.when(~status.isin(*USABLE_STATUSES), F.concat(F.lit("status "), status))
+    for column, patterns in (("provider", providers), ("feed_name", names)):
+        if patterns:
+            out = out.when(F.coalesce(column, F.lit("")).rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), "excluded by name")
     out = out.when(F.coalesce("url", F.lit("")) == "", "no hosted dataset").when(whole & ~near, "outside the corridor")
     stale = F.to_date(F.substring("service_end", 1, 10)) < F.to_date(F.lit(today))
     return catalog.withColumns({"stale": F.coalesce(stale, F.lit(False)), "reason": out})

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from transit_spark.config import CostParams, GraphParams
+from transit_spark.checkpoint import cut
+from transit_spark.config import ROAD_MILE_NO_FREEWAY, Period, Prices, Walking
 from transit_spark.functions.cost import ride_cost, walk_cost, walk_seconds
 from transit_spark.functions.text import chain_step_matches
 from transit_spark.operators.frequency import pool_edges, stop_pairs
-from transit_spark.operators.search import ROUNDS, cut
+from transit_spark.operators.search import ROUNDS, Network, best_routes
 from transit_spark.operators.walks import _plane, attach_places, pairs_within
 
 
@@ -20,43 +21,71 @@ def chain_transfers(stops: DataFrame, nodes: DataFrame, step: int, radius: float
     return pairs_within(side(step, "u"), side(step + 1, "v"), radius).select("u", "v", "dist")
 
 
-def evaluate_chain(patterns: DataFrame, pattern_stops: DataFrame, freq: DataFrame, profile: DataFrame, miles: DataFrame, nodes: DataFrame, steps: list[str], places: DataFrame, cost: CostParams = CostParams(), transfer_walk: float = 800.0, p: GraphParams = GraphParams()) -> tuple[DataFrame, list[str]]:
-    """(ends: node, label, bottleneck, rides; problems) of the least-cost way from the origin to the destination of ``places`` (node, lat,
-    lon, role) that rides the named routes in order, each none, once or more. Transfers are walks of ``transfer_walk`` metres at most."""
+LEG = "struct<kind:string,u:bigint,v:bigint,time:double,freq:double,dist:double,miles:array<double>>"
+
+
+def _leg(kind: str, u: str, v: str, time: Column, freq: Column | None = None, dist: Column | None = None, miles: Column | None = None) -> Column:
+    none = F.lit(None)
+    parts = F.struct(F.lit(kind).alias("kind"), F.col(u).alias("u"), F.col(v).alias("v"), time.alias("time"), (none if freq is None else freq).cast("double").alias("freq"), (none if dist is None else dist).cast("double").alias("dist"), (none if miles is None else miles).cast("array<double>").alias("miles"))
+    return parts.cast(LEG)
+
+
+def _least(states: DataFrame) -> DataFrame:
+    """The cheapest state (node, label, legs) of each node, of equal ones that with fewer legs."""
+    return states.groupBy("node").agg(F.min(F.struct("label", F.size("legs").alias("n"), "legs")).alias("s")).select("node", "s.label", "s.legs")
+
+
+def _walked(states: DataFrame, links: DataFrame, prices: Prices) -> DataFrame:
+    """States after a walk (u, v, time, dist)."""
+    both = states.join(links, F.col("node") == F.col("u"))
+    paid = F.greatest(walk_cost(F.col("time"), F.col("dist"), F.lit(0.0), prices), F.lit(1.0))
+    return both.select(F.col("v").alias("node"), (F.col("label") + paid).alias("label"), F.concat("legs", F.array(_leg("walk", "u", "v", F.col("time"), dist=F.col("dist")))).alias("legs"))
+
+
+def evaluate_chain(patterns: DataFrame, pattern_stops: DataFrame, freq: DataFrame, profile: DataFrame, miles: DataFrame, nodes: DataFrame, steps: list[str], places: DataFrame, prices: Prices = Prices(), transfer_walk: float = 800.0, period: Period = Period(), walking: Walking = Walking()) -> tuple[DataFrame, list[str]]:
+    """(ends: node, cost, bottleneck, rides, legs; problems) of the least-cost way from the origin to the destination of ``places`` (node, lat,
+    lon, role) that rides the named routes in order, each none, once or more. ``miles`` has as many classes as ``prices.mile``.
+    Transfers are walks of ``transfer_walk`` metres at most; legs lists (kind, u, v, time, freq, dist, miles) in order."""
     problems, layers = [], []
+    classes = len(prices.mile)
     for k, name in enumerate(steps):
         own = patterns.where(chain_step_matches(F.col("route_name"), F.col("agency"), name)).select("pattern_id")
         if own.isEmpty():
             problems.append(f"no route {name}")
             continue
         stops = pattern_stops.join(own, "pattern_id", "left_semi")
-        edges = pool_edges(stop_pairs(stops, freq, profile, miles)).withColumn("miles", F.array("miles_0", "miles_1", "miles_2"))
-        rides = edges.withColumn("cost", F.greatest(ride_cost(F.col("time"), F.col("freq"), [F.col("miles")[i] for i in range(3)], None, cost, p), F.lit(1.0)))
-        rides = cut(rides.groupBy("u", "v").agg(F.min_by(F.struct("cost", "freq"), "cost").alias("r")).select(F.col("u").alias("node"), "v", "r.cost", "r.freq"))
+        edges = pool_edges(stop_pairs(stops, freq, profile, miles), classes).withColumn("miles", F.array(*[f"miles_{i}" for i in range(classes)]))
+        rides = edges.withColumn("cost", F.greatest(ride_cost(F.col("time"), F.col("freq"), [F.col("miles")[i] for i in range(classes)], None, prices, period), F.lit(1.0)))
+        rides = cut(rides.groupBy("u", "v").agg(F.min_by(F.struct("cost", "time", "freq", "miles"), F.struct("cost", -F.col("freq"))).alias("r")).select("u", "v", "r.*"))
         layers.append((rides, stops.select("node").distinct().withColumn("step", F.lit(k))))
-    access = attach_places(nodes, places, p)
-    least = lambda df: df.groupBy("node").agg(F.min(F.struct("label", (-F.col("bottleneck")).alias("neg"), "rides")).alias("s")).select("node", "s.label", (-F.col("s.neg")).alias("bottleneck"), "s.rides")
-    origin = places.where("role = 'origin'").select(F.col("node").alias("u"))
-    state = access.join(origin, "u", "left_semi").select(F.col("v").alias("node"), walk_cost(F.col("time"), F.col("dist"), F.lit(0.0), cost).alias("label"), F.lit(float("inf")).alias("bottleneck"), F.lit(0).alias("rides"))
+    access = attach_places(nodes, places, walking)
+    origin = places.where("role = 'origin'").select("node", F.lit(0.0).alias("label"), F.array().cast(f"array<{LEG}>").alias("legs"))
+    ends = lambda df: df.select("node", F.col("label").alias("cost"), F.array_min(F.transform("legs", lambda x: x["freq"])).alias("bottleneck"), F.size(F.filter("legs", lambda x: x["kind"] == "ride")).alias("rides"), "legs")
     if problems:
-        return state.where("false"), problems
+        return ends(origin.where("false")), problems
+    state = _walked(origin, access, prices)
     for k, (rides, stops) in enumerate(layers):
-        best = front = cut(least(state.join(stops.select("node"), "node", "left_semi")))
+        best = front = cut(_least(state.join(stops.select("node"), "node", "left_semi")))
         for _ in range(ROUNDS):
-            new = least(front.join(rides, "node").select(F.col("v").alias("node"), (F.col("label") + F.col("cost")).alias("label"), F.least("bottleneck", "freq").alias("bottleneck"), (F.col("rides") + 1).alias("rides")))
+            rode = front.join(rides, F.col("node") == F.col("u"))
+            ride = _leg("ride", "u", "v", F.col("time"), F.bround("freq", 2), miles=F.col("miles"))
+            new = _least(rode.select(F.col("v").alias("node"), (F.col("label") + F.col("cost")).alias("label"), F.concat("legs", F.array(ride)).alias("legs")))
             front = cut(new.join(best.select("node", F.col("label").alias("old")), "node", "left").where("old is null or label < old - 1e-9").drop("old"))
             if front.isEmpty():
                 break
-            best = cut(least(best.unionByName(front)))
+            best = cut(_least(best.unionByName(front)))
         else:
             raise RuntimeError("evaluate_chain: not settled")
+        state = best
         if k + 1 < len(layers):
             links = chain_transfers(stops.unionByName(layers[k + 1][1].withColumn("step", F.lit(k + 1))), nodes, k, transfer_walk)
-            seconds = walk_seconds(F.col("dist"), p)
-            state = best.join(links.withColumnRenamed("u", "node"), "node").select(F.col("v").alias("node"), (F.col("label") + walk_cost(seconds, F.col("dist"), F.lit(0.0), cost)).alias("label"), "bottleneck", "rides")
-        else:
-            state = best
+            state = _walked(best, links.withColumn("time", walk_seconds(F.col("dist"), walking)), prices)
     goal = places.where("role = 'destination'").select(F.col("node").alias("v"))
-    ends = state.join(access.join(goal, "v", "left_semi").withColumnRenamed("u", "node"), "node").select(F.col("v").alias("node"), (F.col("label") + walk_cost(F.col("time"), F.col("dist"), F.lit(0.0), cost)).alias("label"), "bottleneck", "rides")
-    ends = cut(least(ends))
-    return ends, ["the routes don't connect"] if ends.isEmpty() else []
+    out = cut(ends(_least(_walked(state, access.join(goal, "v", "left_semi"), prices))))
+    return out, ["the routes don't connect"] if out.isEmpty() else []
+
+
+def compare_chain(g: Network, origin: int, destination: int, max_walk: float = 800.0) -> tuple[DataFrame, DataFrame]:
+    """(routes, legs) of the way between the same places, at any frequency, with the fewest miles of the least local class: what a given chain is compared with."""
+    asked = g.rides.sparkSession.createDataFrame([(0, origin, destination, 0.0)], "query_id int, origin bigint, destination bigint, threshold double")
+    return best_routes(g, asked, Prices(mile=ROAD_MILE_NO_FREEWAY), max_walk)

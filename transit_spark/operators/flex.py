@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from transit_spark.config import GraphParams
+from transit_spark.config import PARATRANSIT, OnDemand, Period, Walking
 from transit_spark.functions.cost import walk_seconds
 from transit_spark.functions.geo import distance, nearest_on_segment, project
 from transit_spark.functions.text import parse_gtfs_time, parse_hours
 from transit_spark.operators.frequency import effective_frequency
 
-PARATRANSIT = r"(?i)paratransit|\bADA\b|dial.?a.?ride|senior|disab"
-
 
 def union_windows(df: DataFrame, keys: list[str]) -> DataFrame:
     """keys, start, end, headway: overlapping and touching windows of a key merged; the first one's headway stays."""
@@ -70,14 +68,14 @@ def nearest_boundary(nodes: DataFrame, zones: DataFrame, radius: float = 2500.0)
     return best.select("zone_id", "node", "q.dist", "q.qx", "q.qy")
 
 
-def flex_frequency(zones: DataFrame, day: str, p: GraphParams = GraphParams()) -> DataFrame:
+def flex_frequency(zones: DataFrame, day: str, demand: OnDemand = OnDemand(), period: Period = Period()) -> DataFrame:
     """zone_id, freq on a date: a departure every headway (the zone's own or the default) from each window's start to its end."""
-    windows = zones.select("zone_id", F.explode(F.element_at("service", F.weekday(F.to_date(F.lit(day))))).alias("w")).select("zone_id", "w.start", "w.end", F.coalesce("w.headway", F.lit(p.flex_headway)).alias("headway"))
+    windows = zones.select("zone_id", F.explode(F.element_at("service", F.weekday(F.to_date(F.lit(day))))).alias("w")).select("zone_id", "w.start", "w.end", F.coalesce("w.headway", F.lit(demand.headway)).alias("headway"))
     trips = windows.where("end >= start and headway > 0").select("zone_id", F.explode(F.expr("sequence(start, end, headway)")).alias("dep"))
-    return effective_frequency(trips, ["zone_id"], "dep", p.window_start, p.window_end)
+    return effective_frequency(trips, ["zone_id"], "dep", period.start, period.end)
 
 
-def flex_edges(nodes: DataFrame, zones: DataFrame, day: str, p: GraphParams = GraphParams(), most_points: int = 700) -> tuple[DataFrame, DataFrame, DataFrame]:
+def flex_edges(nodes: DataFrame, zones: DataFrame, day: str, demand: OnDemand = OnDemand(), walking: Walking = Walking(), period: Period = Period(), most_points: int = 700) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rides, walks, new nodes): rides between every two access points of an open zone that runs, which are the nodes inside
     and an edge point for each 250 m of boundary near outside nodes; walks between those nodes and the edge points. Of a
     zone with over ``most_points`` access points those nearest to their centroid are joined, as the job defines it."""
@@ -85,20 +83,20 @@ def flex_edges(nodes: DataFrame, zones: DataFrame, day: str, p: GraphParams = Gr
     x, y = project(F.col("lat"), F.col("lon"))
     plane = nodes.select("node", x.alias("x"), y.alias("y"))
     inside = zone_members(nodes, zones).join(plane, "node").select("zone_id", "node", "x", "y")
-    edge = nearest_boundary(nodes, zones, p.gap_radius).withColumns({"ex": F.floor(F.col("qx") / 250), "ey": F.floor(F.col("qy") / 250)})
+    edge = nearest_boundary(nodes, zones, walking.gap).withColumns({"ex": F.floor(F.col("qx") / 250), "ey": F.floor(F.col("qy") / 250)})
     point = edge.groupBy("zone_id", "ex", "ey").agg(F.min_by(F.struct("qx", "qy"), "node").alias("q"))
     point = point.select("zone_id", "ex", "ey", F.xxhash64(F.lit("zone edge"), "zone_id", "ex", "ey").alias("edge"), "q.qx", "q.qy")
     links = edge.select("zone_id", "node", "ex", "ey", "dist").join(point, ["zone_id", "ex", "ey"])
     walks = links.select(F.col("node").alias("u"), F.col("edge").alias("v"), "dist").unionByName(links.select(F.col("edge").alias("u"), F.col("node").alias("v"), "dist"))
-    walks = walks.select("u", "v", walk_seconds(F.col("dist"), p).alias("time"), "dist")
+    walks = walks.select("u", "v", walk_seconds(F.col("dist"), walking).alias("time"), "dist")
     access = inside.unionByName(point.select("zone_id", F.col("edge").alias("node"), F.col("qx").alias("x"), F.col("qy").alias("y")))
     whole = W.partitionBy("zone_id")
     access = access.withColumn("_d", distance(F.col("x"), F.col("y"), F.avg("x").over(whole), F.avg("y").over(whole)))
     access = access.withColumn("_n", F.row_number().over(whole.orderBy("_d", "node"))).where(F.col("_n") <= most_points).drop("_d", "_n")
-    running = flex_frequency(zones, day, p).where("freq > 0")
+    running = flex_frequency(zones, day, demand, period).where("freq > 0")
     a, b = (access.select("zone_id", F.col("node").alias(n), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}")) for n in ("u", "v"))
     rides = a.join(running, "zone_id").join(b, "zone_id").where("u <> v").withColumn("dist", distance(F.col("xu"), F.col("yu"), F.col("xv"), F.col("yv")))
-    rides = rides.select("u", "v", "freq", F.greatest(F.col("dist") * p.flex_detour / (p.flex_speed_kmh / 3.6), F.lit(60.0)).alias("time"), "dist", "zone_id")
+    rides = rides.select("u", "v", "freq", F.greatest(F.col("dist") * demand.detour / demand.pace, F.lit(60.0)).alias("time"), "dist", "zone_id")
     return rides, walks, point.select(F.col("edge").alias("node"), F.col("qx").alias("x"), F.col("qy").alias("y"), "zone_id")
 
 

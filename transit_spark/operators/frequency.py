@@ -35,7 +35,7 @@ def merge_mirrored_patterns(pattern_stops: DataFrame, pattern_times: DataFrame,
     if miles is not None:
         rows = rows.join(miles.select("pattern_id", "pos", F.transform("miles", lambda m: F.bround(m, 1)).alias("tenths")), ["pattern_id", "pos"], "left")
         place.append(F.col("tenths"))
-    keyed = rows.groupBy("pattern_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(*place)))), 256).alias("key"))
+    keyed = rows.groupBy("pattern_id").agg(F.array_sort(F.collect_list(F.struct(*place))).alias("key"))
     first = keyed.groupBy("key").agg(F.min("pattern_id").alias("merged"))
     named = keyed.join(first, "key").select("pattern_id", "merged")
     times = pattern_times.join(named, "pattern_id")

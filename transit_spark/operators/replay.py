@@ -6,18 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from transit_spark.operators.search import cut
+from transit_spark.checkpoint import cut
+from transit_spark.config import OnDemand
+from transit_spark.operators.frequency import dominant_class
 
 DAY = 86400
 
 
-def serving_options(legs: DataFrame, pattern_stops: DataFrame, pattern_times: DataFrame) -> DataFrame:
+def serving_options(legs: DataFrame, pattern_stops: DataFrame, pattern_times: DataFrame, miles: DataFrame | None = None) -> DataFrame:
     """route_id, leg_no, pattern_id, trip_no, dep, arr of trips that serve a leg (route_id, leg_no, u, v): from the first position of u at
-    which one may board and that has a later v to alight at, to the first such v."""
+    which one may board and that has a later v to alight at, to the first such v. With ``miles`` (pattern_id, pos, miles, a cumulative
+    array) only patterns stay whose most miles there are of the class that has most of the leg's (``miles`` of ``legs``), as
+    rides of one class are pooled and priced together."""
     on = pattern_stops.where("board").select("pattern_id", F.col("node").alias("u"), F.col("pos").alias("i"))
     off = pattern_stops.where("alight").select("pattern_id", F.col("node").alias("v"), F.col("pos").alias("j"))
     both = legs.select("route_id", "leg_no", "u", "v").join(on, "u").join(off, ["pattern_id", "v"]).where("i < j")
     one = both.groupBy("route_id", "leg_no", "pattern_id").agg(F.min(F.struct("i", "j")).alias("p")).select("route_id", "leg_no", "pattern_id", "p.i", "p.j")
+    if miles is not None:
+        at = lambda p, name: miles.select("pattern_id", F.col("pos").alias(p), F.col("miles").alias(name))
+        priced = legs.select("route_id", "leg_no", dominant_class(F.col("miles")).alias("cls"))
+        own = one.join(at("i", "m0"), ["pattern_id", "i"]).join(at("j", "m1"), ["pattern_id", "j"]).join(priced, ["route_id", "leg_no"])
+        one = own.where(dominant_class(F.zip_with("m1", "m0", lambda a, b: a - b)) == F.col("cls")).select("route_id", "leg_no", "pattern_id", "i", "j")
     dep = pattern_times.select("pattern_id", "trip_no", F.col("pos").alias("i"), "dep")
     arr = pattern_times.select("pattern_id", "trip_no", F.col("pos").alias("j"), "arr")
     return one.join(dep, ["pattern_id", "i"]).join(arr, ["pattern_id", "trip_no", "j"]).select("route_id", "leg_no", "pattern_id", "trip_no", "dep", "arr")
@@ -45,12 +54,12 @@ def next_trip(ready: DataFrame, options: DataFrame, keys: list[str]) -> DataFram
     return one.select(*keys, "route_id", "leg_no", "b.pattern_id", "b.trip_no", "b.off", (-F.col("b.neg")).alias("dep"), "b.arr")
 
 
-def flex_pickup(ready: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
-    """``ready`` (keys, zone_id, day0 weekday of its first day, ready) with the pickup: half a headway after the ready time or at the start of a
-    window (zone_id, weekday, start, end, headway), whichever is later, on the first of eight days on which that is within the window."""
-    rows = ready.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("weekday", F.pmod(F.col("day0") + F.floor(F.col("ready") / DAY) + F.col("d"), F.lit(7)).cast("int"))
-    base = (F.floor(F.col("ready") / DAY) + F.col("d")) * DAY
-    both = rows.join(windows, ["zone_id", "weekday"]).withColumn("pickup", F.greatest(F.col("ready") + F.col("headway") / 2, F.col("start") + base)).where(F.col("pickup") <= F.col("end") + base)
+def flex_pickup(ready: DataFrame, windows: DataFrame, keys: list[str], demand: OnDemand = OnDemand()) -> DataFrame:
+    """``ready`` (keys, zone_id, day0 weekday of the service day, ready) with the pickup: half the usual headway after the ready time or at the
+    start of a window (zone_id, weekday, start, end, headway) of the service day, whichever is later, on the first of
+    eight days on which that is within the window. As trips do, windows come again every day."""
+    rows = ready.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("base", (F.floor(F.col("ready") / DAY) + F.col("d")) * DAY)
+    both = rows.join(windows.withColumnRenamed("weekday", "day0"), ["zone_id", "day0"]).withColumn("pickup", F.greatest(F.col("ready") + demand.headway // 2, F.col("start") + F.col("base"))).where(F.col("pickup") <= F.col("end") + F.col("base"))
     return both.groupBy(*keys, "zone_id").agg(F.min("pickup").cast("bigint").alias("pickup"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from transit_spark.checkpoint import cut
 from transit_spark.config import BUS_ROUTE_TYPES
 from transit_spark.functions.text import parse_gtfs_time, route_display_name
 
@@ -86,7 +87,7 @@ def expand_frequencies(stop_times: DataFrame, frequencies: DataFrame) -> DataFra
 def compile_patterns(stop_times: DataFrame, trips: DataFrame, routes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(patterns, pattern_stops, pattern_times): trips of a route with equal ordered (stop, board, alight) are one pattern.
 
-    pattern_id is a hash of feed, route and sequence. Sequences under two stops are dropped. The headsign is that of the
+    pattern_id is a 64-bit hash of feed, route and sequence. Sequences under two stops are dropped. The headsign is that of the
     first trip id, the shape the most frequent one (the least of equally frequent ones). Trips that leave at the same
     time as an earlier trip id of the pattern are dropped.
     """
@@ -96,8 +97,8 @@ def compile_patterns(stop_times: DataFrame, trips: DataFrame, routes: DataFrame)
         F.array_sort(F.collect_list(F.struct("pos", "stop_id", "board", "alight", "arr", "dep"))).alias("rows"), F.first("trip_headsign").alias("headsign"), F.first("shape_id").alias("shape_id"))
     one = one.where(F.size("rows") >= 2)
     places = F.transform("rows", lambda r: F.struct(r["stop_id"].alias("stop_id"), r["board"].alias("board"), r["alight"].alias("alight")))
-    one = one.withColumn("places", places).withColumn("pattern_id", F.sha2(F.to_json(F.struct("feed_id", "route_id", "places")), 256))
-    one = one.withColumn("dep0", F.col("rows")[0]["dep"])
+    one = one.withColumn("places", places).withColumn("pattern_id", F.xxhash64("feed_id", "route_id", "places"))
+    one = cut(one.withColumn("dep0", F.col("rows")[0]["dep"]))  # read once for each of the three results
     patterns = one.groupBy("feed_id", "pattern_id", "route_id", "route_name", "agency").agg(
         F.min_by("headsign", F.struct("trip_id", "copy_no")).alias("headsign"), F.expr("mode(nullif(shape_id, ''), true)").alias("shape_id"), F.first("places").alias("places"))
     timed = first_per_key(one, ["pattern_id", "dep0"], ["trip_id", "copy_no"])

@@ -127,8 +127,8 @@ SELECT o_orderkey, o_custkey, CAST(s AS INTEGER) AS seconds, printf('%02d:%02d',
   round(2 * 6371000.0 * asin(sqrt(pow(sin(radians(40.0 - CAST(lat AS DOUBLE)) / 2), 2) + cos(radians(40.0)) * cos(radians(CAST(lat AS DOUBLE))) * pow(sin(radians(-75.0 - CAST(lon AS DOUBLE)) / 2), 2))), 2) AS great_circle FROM plane JOIN stops s ON s.stop_id = node""",
     "corridor_feeds": f"WITH {STOPS}, {PLANE} SELECT node % 300 AS feed_id FROM plane GROUP BY 1 HAVING min({_spine('x', 'y')}) <= 2000",
     "way_lanes": """WITH w AS (SELECT p_partkey AS id, p_size AS size, ['motorway', 'trunk', 'primary', 'secondary', 'residential', 'footway'][p_size % 6 + 1] AS h, CASE WHEN p_size % 3 <> 0 THEN p_size % 5 + 1 END AS n, p_partkey % 4 = 0 AS one FROM part)
-SELECT id AS way_id, CAST(one AS INTEGER) AS oneway, CAST(CASE WHEN one THEN n ELSE greatest(n // 2, CASE WHEN n IS NOT NULL THEN 1 END) END AS INTEGER) AS fwd,
-  CAST(CASE WHEN one THEN CASE WHEN n IS NOT NULL THEN 1 END ELSE greatest(n // 2, CASE WHEN n IS NOT NULL THEN 1 END) END AS INTEGER) AS bwd, h = 'motorway' AS controlled, id % 7 = 0 AS off_grade,
+SELECT id AS way_id, CAST(one AS INTEGER) AS oneway, CAST(CASE WHEN one THEN n ELSE greatest(n // 2, CASE WHEN n IS NOT NULL THEN 1 END) END AS DOUBLE) AS fwd,
+  CAST(CASE WHEN one THEN 1 ELSE greatest(n // 2, CASE WHEN n IS NOT NULL THEN 1 END) END AS DOUBLE) AS bwd, h = 'motorway' AS controlled, id % 7 = 0 AS off_grade,
   CAST(CASE WHEN h = 'motorway' THEN 3 WHEN n IS NULL THEN NULL WHEN CASE WHEN one THEN n ELSE greatest(n // 2, 1) END < 2 THEN 0 WHEN CASE WHEN one THEN n ELSE greatest(n // 2, 1) END < 3 THEN 1 ELSE 2 END AS INTEGER) AS cls FROM w""",
     "resampled_shapes": f"""WITH s AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n,
   radians(CAST(-75 + (l_suppkey * 104729 % 50) / 10000.0 AS DOUBLE)) * {X!r} AS x, radians(CAST(40.6 + (l_partkey * 7919 % 50) / 10000.0 AS DOUBLE)) * 6371000.0 AS y FROM lineitem),
