@@ -155,7 +155,7 @@ def normalise(archives: DataFrame, path: str) -> DataFrame:
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """INDEX rows from the sidecar files below ``path``."""
     parts = F.split("value", "\t")
-    lines = spark.read.text(f"{path}/*.idx").select("value", F.regexp_extract(F.input_file_name(), r"([^/]+)\.idx$", 1).alias("archive"))
+    lines = spark.read.option("pathGlobFilter", "*.idx").text(path).select("value", F.regexp_extract(F.input_file_name(), r"([^/]+)\.idx$", 1).alias("archive"))
     return lines.select("archive", *[parts[i].cast(t).alias(n) for i, (n, t) in enumerate((("offset", "bigint"), ("length", "bigint"), ("record_id", "string"), ("record_type", "string"), ("target_uri", "string"), ("digest", "string")))])
 
 
@@ -197,12 +197,13 @@ def digests(head: dict[str, str], http: dict[str, str], payload: bytes) -> tuple
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", uri: str = "url", html: str = "html") -> DataFrame:
-    """``key``, payload_bytes, payload_digest, record_type, refers_to of each page after ``archive``, ``normalise`` and ``read``.
+    """``key``, payload_bytes, payload_digest, record_type, refers_to of each page after ``archive``, ``normalise`` and ``read`` by the sidecars' offsets.
 
     Rows without a key keep none; an empty table gives no rows; other columns are not read.
     """
     path = folder(pages.sparkSession)
-    index = normalise(archive(pages, path, key, uri, html), path)
-    back = read(index, path, "key string, payload_bytes bigint, payload_digest string, record_type string, refers_to string", digests)
+    written = normalise(archive(pages, path, key, uri, html), path)
+    index = read_index(pages.sparkSession, path).join(written.select("archive").distinct(), "archive", "left_semi")  # not those of failed attempts
+    back = read(index.repartition("archive").sortWithinPartitions("archive", "offset"), path, "key string, payload_bytes bigint, payload_digest string, record_type string, refers_to string", digests)
     kind = pages.schema[key].dataType
     return back.select(F.col("key").cast(kind).alias(key), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
