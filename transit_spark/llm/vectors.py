@@ -15,6 +15,8 @@ from transit_spark.llm.scratch import keep
 #: Vectors of a cluster, of a group that one task takes, and from which centroids are learned; vectors whose links the audit counts.
 CLUSTER, GROUP, SAMPLE, AUDIT = 1000, 2000, 20_000, 200
 MOST_CLUSTERS = 4096
+#: Audited nodes with links from which a recall is believed, and draws, each four times the one before, to find them.
+AUDIT_LINKED, DRAWS = 50, 4
 #: Neighbours of a node, candidates for them, the pruning factor, and nodes a greedy search holds.
 DEGREE, CANDIDATES, ALPHA, BEAM = 16, 48, 1.2, 24
 #: How far below the limit a node may be for the search to go on through it.
@@ -23,6 +25,7 @@ SLACK = 0.08
 
 def unit(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, dtype=np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # no square overflows or vanishes
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -169,7 +172,8 @@ def _spread(nodes: DataFrame, overlap: int) -> DataFrame:
             own = np.sort(np.argpartition(-near, most - 1, axis=1)[:, :most], axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * most), pa.array(own.ravel()))], names=["node", "size", "x", "clusters"])
 
-    assigned = keep(nodes.select("node", "size", "x").mapInArrow(assign, "node bigint, size bigint, x array<float>, clusters array<int>"))
+    kind = dict(nodes.dtypes)["x"]
+    assigned = keep(nodes.select("node", "size", "x").mapInArrow(assign, f"node bigint, size bigint, x {kind}, clusters array<int>"))
     blocks = assigned.select(F.explode("clusters").alias("c")).groupBy("c").agg(F.ceil(F.count("*") * 2 / GROUP).cast("int").alias("b"))
     rows = assigned.withColumn("c", F.explode("clusters")).join(blocks, "c").withColumn("own", F.expr("pmod(xxhash64(node), b)"))
     pairs = F.expr("if(b = 1, array(0), filter(sequence(0, b - 1), y -> y <> own))")
@@ -236,41 +240,54 @@ def _links(spread: DataFrame, graph: DataFrame, limit: float) -> DataFrame:
 
 
 def audit(nodes: DataFrame, found: DataFrame, limit: float) -> float:
-    """Share of the links of AUDIT nodes at most, drawn by hash, that ``found`` (node, links) has; the truth is by brute force over all nodes."""
+    """The mean share of a node's links that ``found`` (node, links) has, over nodes with links, drawn by hash; the truth is by brute
+    force over all nodes. AUDIT nodes are drawn, and four times as many, DRAWS times at most, where too few have links;
+    a node counts as one however many links it has, so small families weigh as much as large ones."""
     n = nodes.count()
-    asked = nodes.where(F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(1 << 30)) < (1 << 30) * min(1.0, AUDIT / max(1, n))).orderBy("node").limit(AUDIT).select("node", "x").collect()
-    if not asked:
-        return 1.0
-    ids = np.array([r.node for r in asked])
-    sent = nodes.sparkSession.sparkContext.broadcast((ids, unit([r.x for r in asked])))
+    for draw in range(DRAWS):
+        most = AUDIT * 4**draw
+        asked = nodes.where(F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(1 << 30)) < (1 << 30) * min(1.0, most / max(1, n))).orderBy("node").limit(2 * most).select("node", "x").collect()
+        if not asked:
+            return 1.0
+        ids = np.array([r.node for r in asked])
+        truth = _brute_links(nodes, ids, unit([r.x for r in asked]), limit).where("truth > 0")
+        share = F.least(F.coalesce("links", F.lit(0)), "truth") / F.col("truth")
+        both = truth.join(found.select("node", "links"), "node", "left").agg(F.avg(share).alias("recall"), F.count("*").alias("n")).first()
+        if both["n"] >= AUDIT_LINKED or most >= n:
+            break
+    return 1.0 if both["recall"] is None else both["recall"]
+
+
+def _brute_links(nodes: DataFrame, ids: np.ndarray, asked: np.ndarray, limit: float) -> DataFrame:
+    """node, truth: the links of the nodes ``ids`` with all others."""
+    sent = nodes.sparkSession.sparkContext.broadcast((ids, asked))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, asked = sent.value
         total = np.zeros(len(ids), dtype=np.int64)
         for batch in batches:
-            if batch.num_rows:
-                node, size = (batch.column(i).to_numpy() for i in (0, 1))
-                near = asked @ unit(np.array(batch.column(2).flatten(), dtype=float).reshape(batch.num_rows, -1)).T >= limit
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                node, size = (part.column(i).to_numpy() for i in (0, 1))
+                near = asked @ unit(np.array(part.column(2).flatten(), dtype=float).reshape(part.num_rows, -1)).T >= limit
                 total += (near & (node[None, :] != ids[:, None])) @ size
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["node", "links"])
 
-    truth = nodes.select("node", "size", "x").mapInArrow(count, "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("truth"))
-    both = truth.join(found.select("node", "links"), "node", "left").agg(F.sum(F.least(F.coalesce("links", F.lit(0)), "truth")).alias("got"), F.sum("truth").alias("all")).first()
-    return both["got"] / both["all"] if both["all"] else 1.0
+    return nodes.select("node", "size", "x").mapInArrow(count, "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("truth"))
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", limit: float = 0.95, least_recall: float = 0.95) -> DataFrame:
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", limit: float = 0.95, least_recall: float = 0.95, never_under: float = 0.9) -> DataFrame:
     """``key``, n_links, component_id, kept per row of ``vectors``.
 
     Rows are linked when the cosine in double precision is at least ``limit``; n_links counts other rows linked
     directly, copies included; component_id is the smallest key that links reach. Equal vectors are one node of the
     graph and linked with each other. Vectors that are null, empty, zero, hold null or non-finite components, or have
     another length than most have no links. The recall of a bounded sample of nodes is measured by brute force, and the
-    graph is built with more overlap where it is under ``least_recall``. Repeated rows count each other as links; a
+    graph is built with more overlap where it is under ``least_recall``; a recall still under ``never_under`` is an error. Repeated rows count each other as links; a
     null key is larger than any other; an empty table gives no rows. Other columns are not read.
     """
     numbers = F.col("x")
-    rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("x"))
+    rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<float>" if "float" in dict(vectors.dtypes)[vector] else "array<double>").alias("x"))
     fine = numbers.isNotNull() & (F.size("x") > 0) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("x", lambda v: v != 0)
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     length = rows.where("fine").groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
@@ -283,6 +300,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         recall = audit(nodes, found, limit)
         if recall >= least_recall:
             break
+    if recall < never_under:
+        raise RuntimeError(f"near_duplicates: of the audited nodes' links {recall:.3f} were found, with the greatest overlap")
     roots = components(parts.select("node", "root"), "node", "root").select(F.col("node").alias("at"), "root")
     named = nodes.join(found, "node").join(roots, F.col("node") == F.col("at"), "left").select("node", "x", "low", "size", "links", F.coalesce("root", "node").alias("root"))
     low = named.groupBy("root").agg(F.min("low").alias("component_id"))
