@@ -48,7 +48,7 @@ class Search:
             entries.setdefault(f" {phrase} ", []).append((None, 0, label))
         for i, (notice, label) in enumerate(notices.items()):
             k = max(1, len(notice) // CHARACTERS_AN_EDIT)
-            self.notices.append((label, len(notice), k, regex.compile(f"(?be)(?:{regex.escape(notice)}){{e<={k}}}")))
+            self.notices.append((label, len(notice), k, regex.compile(f"(?e)(?:{regex.escape(notice)}){{e<={k}}}")))
             cuts = [len(notice) * j // (k + 1) for j in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 entries.setdefault(notice[a:b], []).append((i, a, ""))

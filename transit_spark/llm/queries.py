@@ -25,7 +25,7 @@ def op3_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.find_licenses(table(spark, sf_dir, "documents")).drop("spans")
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
 
 
 def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
