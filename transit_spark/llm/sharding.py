@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from transit_spark.llm.scratch import keep
 
-#: Rows which one task puts in order in the last permutation.
-ORDERED_ROWS = 20_000
+#: Rows, and bytes of their strings, which one task puts in order in the last permutation.
+ORDERED_ROWS, ORDERED_BYTES = 20_000, 64 << 20
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -55,13 +55,16 @@ def shuffle(docs: DataFrame, shards: int = 16, seed: int = 42) -> DataFrame:
     are read; the driver draws how many rows each block gives each shard (blocks x shards numbers, however many rows),
     every task permutes its rows and deals them out by those counts, and after the exchange each shard is put in
     random order, in as many parts as its rows need. A row's place depends on the seed and on its block and place
-    there, which the written table holds, so tasks run anew give the same. Nulls, repeated rows and long texts are rows like any.
+    there, which the written table holds, so tasks run anew give the same. Nulls, repeated rows and long texts are rows
+    like any. Columns of ``docs`` named __shard or __slot give way to the new ones; other names don't matter.
     """
-    place = F.monotonically_increasing_id()
-    held = keep(docs.select(place.alias("__place"), *docs.columns))
+    names = [c for c in docs.columns if c not in ("__shard", "__slot")]
+    held = keep(docs.select(F.monotonically_increasing_id().alias("__place"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row")))
     place = F.col("__place")
-    held = held.select(F.shiftright(place, 33).cast("int").alias("__block"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("__at"), *docs.columns)
-    sizes = {r["__block"]: r.n for r in held.groupBy("__block").agg(F.count("*").alias("n")).collect()}
+    held = held.select(F.shiftright(place, 33).cast("int").alias("__block"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("__at"), "__row")
+    long = [F.coalesce(F.octet_length(F.col("__row")[f.name]), F.lit(0)) for f in docs.schema if f.name in names and f.dataType.simpleString() in ("string", "binary")]
+    counted = held.groupBy("__block").agg(F.count("*").alias("n"), F.sum(sum(long, F.lit(0)).cast("bigint")).alias("size")).collect()
+    sizes = {r["__block"]: r.n for r in counted}
     total = sum(sizes.values())
     order = sorted(sizes)
     counts = matrix([sizes[b] for b in order], [total // shards + (j < total % shards) for j in range(shards)], np.random.default_rng(seed))
@@ -80,10 +83,10 @@ def shuffle(docs: DataFrame, shards: int = 16, seed: int = 42) -> DataFrame:
                 out[own] = np.searchsorted(stops, rank[at.to_numpy()[own]], "right")
             yield pd.Series(out)
 
-    parts = max(1, total // shards // ORDERED_ROWS)
+    parts = max(1, total // shards // ORDERED_ROWS, sum(r["size"] for r in counted) // shards // ORDERED_BYTES)
     key = F.xxhash64(F.lit(seed), "__block", "__at")
     dealt = held.withColumns({"__shard": deal("__block", "__at"), "__key": key}).withColumn("__part", F.expr(f"cast(floor((__key / 18446744073709551616D + 0.5D) * {parts}) as int)"))
     before = dealt.groupBy("__shard", "__part").agg(F.count("*").alias("n"))
     before = keep(before.select("__shard", "__part", (F.sum("n").over(W.partitionBy("__shard").orderBy("__part")) - F.col("n")).alias("__before")))
     ranked = dealt.withColumn("__rank", F.row_number().over(W.partitionBy("__shard", "__part").orderBy("__key", "__block", "__at")) - 1).join(before, ["__shard", "__part"])
-    return ranked.select("__shard", (F.col("__rank") + F.col("__before")).alias("__slot"), *docs.columns)
+    return ranked.select("__shard", (F.col("__rank") + F.col("__before")).alias("__slot"), *[F.col("__row")[c].alias(c) for c in names])
