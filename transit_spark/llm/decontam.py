@@ -14,61 +14,58 @@ from pyspark.sql import functions as F
 from transit_spark.llm import text as tx
 from transit_spark.llm.scratch import keep
 
-#: Bytes of item texts that one automaton takes; more are split over several, used one after the other.
-AUTOMATON_BYTES = 32 << 20
+#: Nodes of the automaton that one scan of the documents takes, in each Python worker: about 45 bytes each. More item
+#: words are split over several automata, used one after the other.
+AUTOMATON_NODES = 8_000_000
 
-_built: dict[int, tuple[ahocorasick.Automaton, list[list[str]]]] = {}
+_built: dict[int, tuple[ahocorasick.Automaton, list[list[str]], dict[bytes, int]]] = {}
 _numbers = itertools.count()
 
 
-def normalise(raw: bytes) -> tuple[str, int]:
-    """Words (ASCII letters in lower case, digits, all that is not ASCII) between single blanks, a byte a character, and their number."""
-    words = raw.translate(tx.WORDS_TABLE).split()
-    return f" {b' '.join(words).decode('latin-1')} ", len(words)
+def words_of(raw: bytes) -> list[bytes]:
+    """Words (ASCII letters in lower case, digits, all that is not ASCII)."""
+    return raw.translate(tx.WORDS_TABLE).split()
 
 
-def windows(raw: bytes, width: int) -> Iterator[tuple[str, int]]:
-    words = normalise(raw)[0].split(" ")[1:-1] if raw else []
-    words = [w for w in words if w]
-    for i in range(max(1, len(words) - width + 1) if words else 0):
-        part = words[i : i + width]
-        yield f" {' '.join(part)} ", len(part)
+def normalise(raw: bytes) -> tuple[str, int]:
+    """The words of ``words_of`` between single blanks, a byte a character, and their number."""
+    words = words_of(raw)
+    return f" {b' '.join(words).decode('latin-1')} ", len(words)
 
 
 class Passages:
-    """Windows of some items, sent to the executors; each Python worker builds the automaton once."""
-
-    def __init__(self, items: list[tuple[str, bytes]], width: int) -> None:
-        self.owners: dict[str, tuple[int, set[str]]] = {}
-        for item, raw in items:
-            for window, n in windows(raw, width):
-                self.owners.setdefault(window, (n, set()))[1].add(item)
+    """Windows of some items, sent to the executors; each Python worker builds the automaton once. Its symbols are the
+    numbers of the items' words, so that a window has a node a word, and places found are places of words."""
+
+    def __init__(self, items: list[tuple[list[str], bytes]], width: int) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.owners: dict[tuple[int, ...], set[str]] = {}
+        for names, raw in items:
+            words = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(raw))
+            for i in range(max(1, len(words) - width + 1) if words else 0):
+                self.owners.setdefault(words[i : i + width], set()).update(names)
         self.number = hash((next(_numbers), id(self)))
 
-    def automaton(self) -> tuple[ahocorasick.Automaton, list]:
+    def automaton(self) -> tuple[ahocorasick.Automaton, list, dict[bytes, int]]:
         if self.number not in _built:
             _built.clear()
-            found, lists = ahocorasick.Automaton(), []
-            for window, (n, items) in self.owners.items():
-                found.add_word(window, (len(window), n, len(lists)))
+            found, lists = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), []
+            for window, items in self.owners.items():
+                found.add_word(window, (len(window), len(lists)))
                 lists.append(sorted(items))
             if lists:
                 found.make_automaton()
-            _built[self.number] = found, lists
+            _built[self.number] = found, lists, self.numbers
         return _built[self.number]
 
     def scan(self, raw: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
         """(words, disjoint word intervals that windows cover, items found) of one text."""
-        found, lists = self.automaton()
-        text, n = normalise(raw)
-        if not lists or not n:
-            return n, [], set()
-        hits = list(found.iter(text))
-        if not hits:
-            return n, [], set()
-        blanks = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
-        first = np.searchsorted(blanks, [end - size + 1 for end, (size, _, _) in hits]).tolist()
-        return n, merged([(a, a + k) for a, (_, (_, k, _)) in zip(first, hits, strict=True)]), {x for i in {i for _, (_, _, i) in hits} for x in lists[i]}
+        found, lists, numbers = self.automaton()
+        words = words_of(raw)
+        if not lists or not words:
+            return len(words), [], set()
+        hits = list(found.iter(tuple(map(numbers.get, words, itertools.repeat(0)))))
+        return len(words), merged([(end + 1 - n, end + 1) for end, (n, _) in hits]), {x for i in {i for _, (_, i) in hits} for x in lists[i]}
 
 
 def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -81,14 +78,20 @@ def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _passages(benchmark: DataFrame, item: str, text: str, width: int) -> Iterator[object]:
-    """Broadcasts of ``Passages``: one where the items' texts are at most AUTOMATON_BYTES, else several of about that size."""
+def _passages(benchmark: DataFrame, item: str, text: str, width: int) -> Iterator[tuple[object, bool]]:
+    """(broadcast of ``Passages``, whether it is the last): one where the items' words make at most AUTOMATON_NODES, else several of about that size.
+    Equal texts are one item of several names; a part is collected, sent, and given up when the next one is asked for."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("raw"))
-    total = items.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
-    parts = max(1, -(-int(total) // AUTOMATON_BYTES))
+    words = F.size(F.expr(r"regexp_extract_all(decode(raw, 'utf-8'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 0)"))
+    items = keep(items.groupBy("raw").agg(F.sort_array(F.collect_set("item")).alias("items")).withColumn("words", words).where("words > 0"))
+    nodes = items.agg(F.sum(F.col("words") * F.least("words", F.lit(width)))).first()[0] or 0
+    parts = max(1, -(-int(nodes) // AUTOMATON_NODES))
     for i in range(parts):
-        yield spark.sparkContext.broadcast(Passages([(r.item, bytes(r.raw)) for r in items.where(F.pmod(F.xxhash64("raw"), F.lit(parts)) == i).collect()], width))
+        sent = spark.sparkContext.broadcast(Passages([(r["items"], bytes(r.raw)) for r in items.where(F.pmod(F.xxhash64("raw"), F.lit(parts)) == i).select("items", "raw").collect()], width))
+        yield sent, i == parts - 1
+        if i < parts - 1:
+            sent.unpersist()
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 10) -> DataFrame:
@@ -101,7 +104,6 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """
     kind = docs.schema[key].dataType.simpleString()
     held = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("raw"), F.lit(None).cast("array<bigint>").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
-    sent = list(_passages(benchmark, item, item_text, width))
 
     def scan(passages, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,17 +131,17 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
         return run
 
-    for passages in sent[:-1]:
-        held = keep(held.mapInArrow(scan(passages, False), f"key {kind}, raw binary, hit array<bigint>, items array<string>"))
-    out = held.mapInArrow(scan(sent[-1], True), f"key {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start: bigint, stop: bigint>>")
+    for passages, last in _passages(benchmark, item, item_text, width):
+        if not last:
+            held = keep(held.mapInArrow(scan(passages, False), f"key {kind}, raw binary, hit array<bigint>, items array<string>"))
+    out = held.mapInArrow(scan(passages, True), f"key {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start: bigint, stop: bigint>>")
     return out.withColumnRenamed("key", key) if key != "key" else out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 10) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text holds no window of an item."""
-    sent = list(_passages(benchmark, item, item_text, width))
     at = docs.columns.index(text)
-    for i, passages in enumerate(sent):
+    for passages, last in _passages(benchmark, item, item_text, width):
 
         def run(batches: Iterator[pa.RecordBatch], passages=passages) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -147,6 +149,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
-        if i < len(sent) - 1:
+        if not last:
             docs = keep(docs)
     return docs
