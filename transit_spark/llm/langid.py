@@ -14,6 +14,8 @@ from transit_spark.llm import text as tx
 
 #: Length of the vectors; documents a language from which its prototype is learned, about.
 DIMENSIONS, LEARNED_DOCS = 1024, 4000
+#: Texts and different trigrams whose counts are held at once.
+ROWS, GRAMS = 512, 8192
 
 
 @cache
@@ -53,8 +55,8 @@ def profiles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not len(grams):
         return out, np.zeros(len(texts), dtype=bool)
     letters = np.stack([letter_vector(int(c)) for c in seen])
-    for lo in range(0, len(grams), 8192):  # bounded memory for texts of many scripts
-        part = grams[lo : lo + 8192]
+    for lo in range(0, len(grams), GRAMS):  # bounded memory for texts of many scripts
+        part = grams[lo : lo + GRAMS]
         own = (gram >= lo) & (gram < lo + len(part))
         counts = np.bincount(row[own] * len(part) + gram[own] - lo, minlength=len(texts) * len(part)).reshape(len(texts), len(part))
         vectors = np.roll(letters, 2, axis=1)[part // (n * n)] * np.roll(letters, 1, axis=1)[part // n % n] * letters[part % n]
@@ -83,7 +85,7 @@ def prototypes(docs: DataFrame, key: str, text: str, lang: str, most: int) -> di
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in tx.pieces(batch, 1, 1 << 20):
+            for part in tx.pieces(batch, 1, 1 << 20, ROWS):
                 vectors, any_letter = profiles(part.column(1))
                 vectors = _unit(vectors.astype(float)) * any_letter[:, None]
                 names = np.array(part.column(0).to_pylist(), dtype=object)
@@ -114,7 +116,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, base = sent.value
         for batch in batches:
-            for part in tx.pieces(batch, 1, 1 << 20):
+            for part in tx.pieces(batch, 1, 1 << 20, ROWS):
                 vectors, any_letter = profiles(part.column(1))
                 if names:
                     cosine = _unit(vectors.astype(float)) @ base.T

@@ -57,14 +57,14 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]] if len(at) else whole[:0], at - at[0]
 
 
-def pieces(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``most`` bytes of text each; a longer row stands alone."""
+def pieces(batch: pa.RecordBatch, column: int, most: int = 2 << 20, most_rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes of text and ``most_rows`` rows each; a longer row stands alone."""
     if not batch.num_rows:
         return
     _, at = raw(batch.column(column))
     lo = 0
     while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
+        hi = min(lo + most_rows, max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1))
         yield batch.slice(lo, hi - lo)
         lo = hi
 
