@@ -55,10 +55,10 @@ def drop_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", s
 
     A line (text between newlines, compared without blanks at its ends, of ``min_chars`` characters or more) goes
     where ``min_sites`` distinct sites have it, but stays in the document with the smallest key that has it, so that
-    no line is lost to the corpus. A document whose lines to go are over ``most_removed`` of the characters of its
+    no line is lost to the corpus. A column of ``docs`` named as one of the two counts is kept and that count left out. A document whose lines to go are over ``most_removed`` of the characters of its
     text stays whole, for a near-duplicate operator, where it is a copy: its counted lines are, as a set, those of a
     document with another key. Without ``only_copies`` it stays whole in any case (the rule of op10's SQL). A null site
-    is a site of its own, a null text stays null and has no lines, an empty one has one. Repeated rows give equal
+    is the empty one, a null text stays null and has no lines, an empty one has one. Repeated rows give equal
     results. Rows without a key lose all such lines.
     """
     spread = keep(spread_lines(docs, key, text, site, min_sites, min_chars))
@@ -72,9 +72,10 @@ def drop_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", s
         gone = gone.join(copies, F.col("__k").eqNullSafe(F.col("__ck")) & (F.col("__t") == F.col("__ct")), "left")
         copy = F.col("__ct").isNotNull()
     gone = gone.withColumn("__copy", copy)
-    own = docs.withColumns({"__n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("bigint"), "__text": F.xxhash64(text)})
-    own = own.join(gone, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__text") == F.col("__t")), "left")
-    go = F.col("__gone").isNotNull() & ((F.col("__hit") <= most_removed * F.length(text)) | ~F.col("__copy"))
-    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    out = own.withColumns({"__n_removed": F.when(go, F.size("__gone")).otherwise(0).cast("bigint"), "__new": F.when(go, left).otherwise(F.col(text))})
-    return out.select("__n_lines", "__n_removed", *[F.col("__new").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    body = F.col("own")[text]  # the caller's columns stay in a struct, so that their names can't clash with those here
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.xxhash64(text).alias("__text"))
+    own = own.join(gone, F.col("own")[key].eqNullSafe(F.col("__k")) & (F.col("__text") == F.col("__t")), "left")
+    go = F.col("__gone").isNotNull() & ((F.col("__hit") <= most_removed * F.length(body)) | ~F.col("__copy"))
+    left = F.array_join(F.filter(F.split(body, "\n", -1), lambda _, i: ~F.array_contains("__gone", i)), "\n")
+    counts = {"__n_lines": F.when(body.isNull(), 0).otherwise(F.size(F.split(body, "\n", -1))).cast("bigint"), "__n_removed": F.when(go, F.size("__gone")).otherwise(0).cast("bigint")}
+    return own.select(*[c.alias(n) for n, c in counts.items() if n not in docs.columns], *[F.when(go, left).otherwise(body).alias(c) if c == text else F.col("own")[c].alias(c) for c in docs.columns])
