@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from transit_spark.llm import text as tx
 from transit_spark.llm.scratch import keep
+from transit_spark.llm.wanted import maybe_wanted
 
 STATISTICS = ("words", "word_bytes", "upper", "mark", "digit", "distinct_words", "top_word", "words_a_line", "ended_lines", "long_words", "distinct_lines")
 
@@ -159,7 +160,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", shrinkage: float = 0.02, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text scores at least ``threshold``; scored in the scan, so no row is moved."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(keep(measure(docs, key, text)), labels, key, label, shrinkage))
+    labelled = maybe_wanted(docs.select(key, text), key, labels.where(F.col(label).isin(0, 1)), key)  # only these are measured to learn from
+    model = docs.sparkSession.sparkContext.broadcast(fit(measure(labelled, key, text), labels, key, label, shrinkage))
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
