@@ -14,6 +14,8 @@ def folder(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         kept = spark.sparkContext.getCheckpointDir()
+        if kept is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; on a cluster it must name a folder that all executors share")
         if kept is None:
             spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
             kept = spark.sparkContext.getCheckpointDir()
