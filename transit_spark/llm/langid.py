@@ -85,7 +85,7 @@ def prototypes(docs: DataFrame, key: str, text: str, lang: str, most: int) -> di
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in tx.pieces(batch, 1, 1 << 20, ROWS):
+            for part in tx.pieces(batch, 1, most_rows=ROWS):
                 vectors, any_letter = profiles(part.column(1))
                 vectors = _unit(vectors.astype(float)) * any_letter[:, None]
                 names = np.array(part.column(0).to_pylist(), dtype=object)
@@ -116,7 +116,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, base = sent.value
         for batch in batches:
-            for part in tx.pieces(batch, 1, 1 << 20, ROWS):
+            for part in tx.pieces(batch, 1, most_rows=ROWS):
                 vectors, any_letter = profiles(part.column(1))
                 if names:
                     cosine = _unit(vectors.astype(float)) @ base.T

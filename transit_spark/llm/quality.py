@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from transit_spark.llm import text as tx
 from transit_spark.llm.scratch import keep
-from transit_spark.llm.wanted import maybe_wanted
+from transit_spark.llm.wanted import Wanted, passes
 
 STATISTICS = ("words", "word_bytes", "upper", "mark", "digit", "distinct_words", "top_word", "words_a_line", "ended_lines", "long_words", "distinct_lines")
 
@@ -99,17 +99,19 @@ def held_out(key: str, folds: int = 5) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds == 0
 
 
-def measure(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, x: the statistics of each row."""
+def measure(docs: DataFrame, key: str, text: str, wanted: Wanted | None = None) -> DataFrame:
+    """key, x: the statistics of each row, or only of those that ``wanted`` lets pass."""
     kind = docs.schema[key].dataType.simpleString()
+    sent = None if wanted is None else wanted.sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tx.pieces(batch, 1):
+            for part in tx.pieces(batch if sent is None else batch.filter(passes(sent, batch.column(2))), 1):
                 x = statistics(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))], names=["key", "x"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, x array<double>")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), *([] if wanted is None else [wanted.place(key)]))
+    return rows.mapInArrow(run, f"key {kind}, x array<double>")
 
 
 def fit(measured: DataFrame, labels: DataFrame, key: str, label: str, shrinkage: float) -> Discriminant:
@@ -160,8 +162,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", shrinkage: float = 0.02, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text scores at least ``threshold``; scored in the scan, so no row is moved."""
-    labelled = maybe_wanted(docs.select(key, text), key, labels.where(F.col(label).isin(0, 1)), key)  # only these are measured to learn from
-    model = docs.sparkSession.sparkContext.broadcast(fit(measure(labelled, key, text), labels, key, label, shrinkage))
+    labelled = Wanted(labels.where(F.col(label).isin(0, 1)).select(F.col(key).cast(docs.schema[key].dataType).alias(key)), key)  # only these are measured to learn from
+    model = docs.sparkSession.sparkContext.broadcast(fit(measure(docs, key, text, labelled), labels, key, label, shrinkage))
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,7 +57,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]] if len(at) else whole[:0], at - at[0]
 
 
-def pieces(batch: pa.RecordBatch, column: int, most: int = 2 << 20, most_rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: int, most: int = 1_000_000, most_rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text and ``most_rows`` rows each; a longer row stands alone."""
     if not batch.num_rows:
         return
