@@ -98,3 +98,23 @@ def test_shape_between_two_carriageways(spark):
     east, west = way(3, (40.01, -75.02), (40.01, -74.98), 2, 1), way(4, (40.01013, -74.98), (40.01013, -75.02), 1, 1)
     assert classes(spark, [east, west], [(40.010065, -75.01), (40.010065, -74.99)]) == {2}
     assert classes(spark, [east, west], [(40.010065, -74.99), (40.010065, -75.01)]) == {1}
+
+
+def test_aligned_stops_query_against_brute_force(spark):
+    """Every pattern of the registered query has the least summed distance that rising point numbers allow."""
+    from transit_spark.plans import queries, views
+
+    sf = "/root/testdata/sf0.001"
+    found = queries.aligned_stops(spark, sf).toPandas().sort_values(["pattern_id", "pos"])
+    stops = dict(list(queries._shape_stops(spark, sf).where("shape_id is not null").toPandas().sort_values("pos").groupby("pattern_id")))
+    points = dict(list(roads.resample_shapes(views.shape_points(spark, sf), 50.0).toPandas().sort_values("piece_no").groupby("shape_id")))
+    assert set(found.pattern_id) == {p for p in stops if p in points} and len(found) > 1000
+    for pattern, own in found.groupby("pattern_id"):
+        at, line = stops[pattern], points[pattern]
+        far = np.hypot(at.x.to_numpy()[:, None] - line.x0.to_numpy(), at.y.to_numpy()[:, None] - line.y0.to_numpy())
+        least = far[0]
+        for row in far[1:]:
+            least = np.array([row[p] + least[: p + 1].min() for p in range(len(row))])
+        chosen = own.point_no.to_numpy()
+        assert len(own) == len(at) and (np.diff(chosen) >= 0).all()
+        assert far[np.arange(len(at)), chosen].sum() == pytest.approx(least.min())

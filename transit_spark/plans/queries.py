@@ -165,6 +165,27 @@ def matched_roads(s: SparkSession, d: str) -> DataFrame:
     return roads.match_coverage(matched.join(pieces.select("shape_id", "piece_no", "length"), ["shape_id", "piece_no"])).select("source", F.round("metres", 1).alias("metres"), r4("share").alias("share"))
 
 
+def _shape_stops(s: SparkSession, d: str) -> DataFrame:
+    """Stops beside the points of every order's shape; each seventh order has no shape."""
+    x, y = geo.project(F.col("lat") + 0.0001, F.col("lon"))
+    shape = F.when(F.col("shape_id") % 7 != 0, F.col("shape_id"))
+    return v.shape_points(s, d).select(F.col("shape_id").alias("pattern_id"), shape.alias("shape_id"), F.col("seq").alias("pos"), x.alias("x"), y.alias("y"))
+
+
+def aligned_stops(s: SparkSession, d: str) -> DataFrame:
+    pieces = roads.resample_shapes(v.shape_points(s, d), 50.0)
+    points = pieces.select("shape_id", F.col("piece_no").alias("point_no"), F.col("x0").alias("x"), F.col("y0").alias("y"))
+    return roads.align_stops(_shape_stops(s, d).where("shape_id is not null"), points).select("pattern_id", "pos", "point_no", r4("median_offset").alias("median_offset"))
+
+
+def classified_patterns(s: SparkSession, d: str) -> DataFrame:
+    """Miles by road class up to every stop of a pattern; by stop density where it has no shape."""
+    stops = _shape_stops(s, d)
+    density = stops.select("pattern_id", "pos", F.array((F.col("pos") - 1) * 0.1, F.lit(0.0), F.lit(0.0)).alias("miles"))
+    out = roads.classify_patterns(stops, v.shape_points(s, d), roads.road_pieces(roads.build_road_index(v.ways(s, d))), density)
+    return out.select("pattern_id", "pos", *[r4(F.col("miles")[k]).alias(f"miles_{k}") for k in range(4)], "fallback")
+
+
 def smoothed_classes(s: SparkSession, d: str) -> DataFrame:
     li = v.table(s, d, "lineitem")
     rows = li.select("l_suppkey", F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")).alias("piece_no"), (F.col("l_linenumber") % 4 - 1).cast("int").alias("cls"), (F.col("l_quantity") * 4).cast("double").alias("length"))
@@ -321,7 +342,7 @@ def frequency_copies(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     effective_frequency_users, effective_frequency_types, interpolated_times, services_on_dates, calendar_ranges, service_dates, compiled_patterns, running_profiles,
     merged_nodes, pooled_edges, mirrored_patterns, stop_density, near_walks, gap_walks, place_access, scalar_functions, page_addresses, opening_hours, planar_distances,
-    corridor_feeds, way_lanes, imputed_lanes, resampled_shapes, matched_roads, smoothed_classes, united_windows, zone_stops, zone_boundaries, zone_rides,
+    corridor_feeds, way_lanes, imputed_lanes, resampled_shapes, matched_roads, aligned_stops, classified_patterns, smoothed_classes, united_windows, zone_stops, zone_boundaries, zone_rides,
     reachable_suppliers, widest_paths, best_routes, pareto_profile, profile_totals, route_totals, next_trips, replayed_profile, leg_statistics, selected_feeds,
     duplicate_feeds, atlas_matches, pruned_frontier, ride_costs, first_agencies, frequency_copies,
 )}
