@@ -181,3 +181,41 @@ s AS (SELECT DISTINCT trip, unnest(range(a, a + 3600, h)) AS t0 FROM f), own AS
 x AS (SELECT own.trip, s.t0, t + s.t0 - dep0 AS t FROM own JOIN s USING (trip) UNION ALL SELECT trip, NULL, t FROM own WHERE trip NOT IN (SELECT trip FROM f))
 SELECT CAST(trip AS VARCHAR) AS trip_id, count(DISTINCT coalesce(t0, -1)) AS copies, CAST(min(t) AS INTEGER) AS first_dep, CAST(max(t) AS INTEGER) AS last_arr FROM x GROUP BY trip""",
 }
+
+NORM = r"rtrim(regexp_replace(regexp_replace(lower(trim(url)), '^https?://', ''), '^www\.', ''), '/')"
+ZONES = f"""z AS (SELECT n_nationkey AS id, 40 + n_nationkey % 5 / 10.0 AS lat, -75 + n_nationkey // 5 / 10.0 AS lon FROM nation),
+c AS (SELECT id, i, lat + [0, 0, 0.06, 0.05][i] AS lat, lon + [0, 0.08, 0.09, 0.01][i] AS lon FROM z, generate_series(1, 4) t(i)),
+e AS (SELECT a.id, radians(CAST(a.lon AS DOUBLE)) * {X!r} AS x0, radians(CAST(a.lat AS DOUBLE)) * 6371000.0 AS y0, radians(CAST(b.lon AS DOUBLE)) * {X!r} AS x1, radians(CAST(b.lat AS DOUBLE)) * 6371000.0 AS y1 FROM c a JOIN c b ON a.id = b.id AND b.i = a.i % 4 + 1),
+inside AS (SELECT id, node FROM e, plane WHERE (y0 > y) <> (y1 > y) AND x < (x1 - x0) * (y - y0) / (y1 - y0) + x0 GROUP BY 1, 2 HAVING count(*) % 2 = 1)"""
+SAMPLES = ", ".join(f"({a[0] + (b[0] - a[0]) * k / 19!r}::DOUBLE, {a[1] + (b[1] - a[1]) * k / 19!r}::DOUBLE)" for a, b in zip(SPINE, SPINE[1:], strict=False) for k in range(20))
+
+SQL |= {
+    "selected_feeds": f"""WITH {CATALOG}, box AS (SELECT *, CAST(39.5 + feed_id % 20 / 10.0 AS DOUBLE) AS south, CAST(-76 + feed_id % 30 / 10.0 AS DOUBLE) AS west FROM cat),
+p AS (SELECT feed_id, radians(west + (west + 0.1::DOUBLE - west) * j / 4) * {X!r} AS x, radians(south + (south + 0.1::DOUBLE - south) * i / 4) * 6371000.0 AS y FROM box, generate_series(0, 4) t(i), generate_series(0, 4) u(j)),
+near AS (SELECT feed_id FROM p GROUP BY 1 HAVING min({_spine('x', 'y')}) <= 20000 UNION SELECT feed_id FROM box JOIN (VALUES {SAMPLES}) s(lat, lon) ON s.lat BETWEEN south AND south + 0.1::DOUBLE AND s.lon BETWEEN west AND west + 0.1::DOUBLE)
+SELECT feed_id, until < DATE '2026-09-30' AS stale, CASE WHEN status = 'deprecated' THEN 'status deprecated' WHEN bare THEN 'no hosted dataset' WHEN feed_id NOT IN (SELECT feed_id FROM near) THEN 'outside the corridor' END AS reason FROM box""",
+    "atlas_matches": f"""WITH p AS (SELECT page_id, url, {NORM} AS place FROM pages), h AS (SELECT regexp_extract(place, '^([^/]*)', 1) AS host, min(url) AS url, min(page_id) AS n FROM p GROUP BY 1),
+a AS (SELECT host, n, {NORM} AS place FROM h WHERE url <> ''), u AS (SELECT DISTINCT page_id, host FROM p JOIN a USING (place) WHERE place <> '')
+SELECT page_id AS feed_id, host AS onestop_id, TRUE AS by_url FROM u UNION ALL SELECT DISTINCT page_id, host, FALSE FROM p JOIN a ON n = page_id % 40 WHERE page_id NOT IN (SELECT page_id FROM u)""",
+    "zone_boundaries": f"""WITH {STOPS}, {PLANE}, {ZONES}, t AS (SELECT id, node, x, y, x0, y0, x1, y1, greatest(0, least(1, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / (pow(x1 - x0, 2) + pow(y1 - y0, 2)))) AS t FROM e, plane),
+d AS (SELECT id, node, min(sqrt(pow(x - x0 - t * (x1 - x0), 2) + pow(y - y0 - t * (y1 - y0), 2))) AS dist FROM t GROUP BY 1, 2) SELECT id AS zone_id, node, round(dist, 2) AS dist FROM d ANTI JOIN inside USING (id, node) WHERE dist <= 500""",
+    "zone_rides": f"""WITH {STOPS}, {PLANE}, {ZONES}, t AS (SELECT id, node, x, y, x0, y0, x1, y1, greatest(0, least(1, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / (pow(x1 - x0, 2) + pow(y1 - y0, 2)))) AS t FROM e, plane),
+q AS (SELECT id, node, x0 + t * (x1 - x0) AS qx, y0 + t * (y1 - y0) AS qy, sqrt(pow(x - x0 - t * (x1 - x0), 2) + pow(y - y0 - t * (y1 - y0), 2)) AS dist FROM t),
+b AS (SELECT id, node, arg_min((qx, qy), (dist, qx, qy)) AS q, min(dist) AS dist FROM q ANTI JOIN inside USING (id, node) GROUP BY 1, 2),
+k AS (SELECT id, arg_min(q, node) AS q FROM b WHERE dist <= 2500 GROUP BY id, floor(q[1] / 250), floor(q[2] / 250)),
+access AS (SELECT id, x, y FROM inside JOIN plane USING (node) UNION ALL SELECT id, q[1], q[2] FROM k), far AS (SELECT *, row_number() OVER () AS n, row_number() OVER (PARTITION BY id ORDER BY sqrt(pow(x - mx, 2) + pow(y - my, 2))) AS place
+  FROM (SELECT *, avg(x) OVER (PARTITION BY id) AS mx, avg(y) OVER (PARTITION BY id) AS my FROM access)), near AS (SELECT * FROM far WHERE place <= 700)
+SELECT a.id AS zone_id, count(*) AS rides, round(57600.0 * 57600 / (12 * 3600 * 3600 + 14400 * 14400), 4)::DOUBLE AS freq, round(max(greatest(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) * 1.35 / (35 / 3.6), 60)), 1)::DOUBLE AS longest FROM near a JOIN near b ON a.id = b.id AND a.n <> b.n GROUP BY 1""",
+    "mirrored_patterns": f"""WITH {FILLED}, one AS (SELECT trip, list((pos, stop % 7) ORDER BY pos) AS seq, arg_min(t, pos) AS dep0, count(*) AS len FROM filled GROUP BY trip HAVING count(*) >= 2)
+SELECT CAST(len AS BIGINT) AS stops, count(DISTINCT dep0) AS trips, CAST(min(dep0) AS INTEGER) AS first_dep, CAST(max(dep0) + 300 * (len - 1) AS INTEGER) AS last_dep FROM one GROUP BY seq, len""",
+    "imputed_lanes": f"""WITH w0 AS (SELECT p_partkey AS id, p_brand AS name, ['motorway', 'trunk', 'primary', 'secondary', 'residential', 'footway'][p_size % 6 + 1] AS h, CASE WHEN p_size % 3 <> 0 THEN p_size % 5 + 1 END AS n, p_partkey % 4 = 0 AS one,
+  CAST(40.6 + (p_partkey * 7919 % 500) / 10000.0 AS DOUBLE) AS lat, CAST(-75 + (p_partkey * 104729 % 500) / 10000.0 AS DOUBLE) AS lon FROM part),
+pt AS (SELECT id, i, radians(lon + (i % 2) * 0.001::DOUBLE) * {X!r} AS x, radians(lat + i * 0.001::DOUBLE) * 6371000.0 AS y FROM w0, generate_series(0, 2) t(i) WHERE h <> 'footway'),
+g AS (SELECT id, sum(d) AS length, avg(x) AS x, avg(y) AS y FROM (SELECT *, sqrt(pow(x - lead(x) OVER w, 2) + pow(y - lead(y) OVER w, 2)) AS d FROM pt WINDOW w AS (PARTITION BY id ORDER BY i)) GROUP BY 1),
+w AS (SELECT id, nullif(name, '') AS name, h, one, length, x, y, CAST(CASE WHEN one THEN n WHEN n IS NOT NULL THEN greatest(n // 2, 1) END AS DOUBLE) AS f FROM w0 JOIN g USING (id)),
+d AS (SELECT a.id, arg_min(b.f, (sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.id)) AS near FROM w a JOIN w b ON a.f IS NULL AND b.f IS NOT NULL AND a.name = b.name AND a.h = b.h AND a.one = b.one WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) < 1500 GROUP BY 1),
+s AS (SELECT h, one, f, sum(sum(length)) OVER (PARTITION BY h, one ORDER BY f) AS running, sum(sum(length)) OVER (PARTITION BY h, one) AS whole FROM w WHERE f IS NOT NULL GROUP BY h, one, f),
+m AS (SELECT h, one, greatest(1, round_even(min(f), 0)) AS median FROM s WHERE running >= whole / 2 GROUP BY 1, 2)
+SELECT w.id AS way_id, CAST(w.one AS INTEGER) AS oneway, CAST(coalesce(f, near, median, 1) AS DOUBLE) AS fwd, CAST(CASE WHEN w.one THEN 1 ELSE coalesce(f, near, median, 1) END AS DOUBLE) AS bwd,
+  CASE WHEN f IS NOT NULL THEN 'tagged' WHEN near IS NOT NULL THEN 'same street' ELSE 'street type' END AS source FROM w LEFT JOIN d USING (id) LEFT JOIN m ON m.h = w.h AND m.one = w.one""",
+}
