@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transit_spark.llm import decontam, langid, licenses, lines, ngram_join, packing, quality, sharding, vectors, warc
+from transit_spark.llm import ann, decontam, langid, lexical, licenses, lines, negatives, ngram_join, packing, quality, sharding, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +59,24 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def op11_threshold_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, label = F.col("vec_id"), F.col("label")
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(key % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.hard_negatives(rows, key % 100 == 0)
+
+
+def op12_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc_normaliser, op2_embedding_graph, op3_quality_discriminant, op4_license_search, op5_hypergeometric_shards,
     op6_aho_corasick_decontamination, op7_ngram_jaccard, op8_hyperdimensional_language, op9_minimum_bin_slack, op10_line_spread,
+    op11_threshold_negatives, op12_learned_partitions, op13_dual_tree_search,
 )}
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -119,4 +134,23 @@ j AS (SELECT l.doc_id, l.text, l.ls, hit.gone, hit.gone IS NOT NULL AND hit.n <=
 SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(CASE WHEN go THEN len(gone) ELSE 0 END AS BIGINT) AS n_removed,
   sha256(CASE WHEN go THEN array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(gone, i)), lambda i: ls[i]), chr(10)) ELSE coalesce(text, '') END) AS text_sha256
 FROM j""",
+    "op11_threshold_negatives": """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) AS INTEGER) AS rank, n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) <= 5""",
+    "op13_dual_tree_search": rf"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+d AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+tot AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM d),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM w WHERE t IN (SELECT t FROM i) GROUP BY doc_id, t),
+df AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, tot GROUP BY t, docs),
+x AS (SELECT tf.doc_id, tf.t, (1000000000 * tf.tf) // (1000 * tf.tf + 8 * (100 - 90 + (90 * d.n * docs) // words)) AS impact FROM tf JOIN d USING (doc_id), tot),
+s AS (SELECT i.item_id, x.doc_id, CAST(sum(df.w * x.impact) AS BIGINT) AS score FROM i JOIN df USING (t) JOIN x USING (t) GROUP BY i.item_id, x.doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""",
 }
