@@ -156,7 +156,9 @@ class DualTree:
 
     def search(self, floors: np.ndarray, tie: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(documents, scores) by item, the k best that reach its floor, of equal scores those with the smaller ``tie`` (-1, 0: no more). A pair of nodes is
-        left where its bound is below the weakest kth score of its items; what remains goes one level down, on both sides."""
+        left where its bound is below the weakest kth score of its items; what remains goes one level down, on both sides. ``opened``
+        counts the pairs of an item and a document leaf that are scored."""
+        self.opened = 0
         m = len(self.items)
         order = self.item_order
         floors = floors[order].astype(float)
@@ -176,6 +178,7 @@ class DualTree:
             mine = np.flatnonzero(alive[:, leaf] & (bound[:, leaf] >= kth))
             if not len(mine):
                 continue
+            self.opened += len(mine)
             s = slice(stop[leaf], stop[leaf + 1])
             used, at = np.unique(self.columns[s], return_inverse=True)
             size = min(LEAF, self.docs - leaf * LEAF)
