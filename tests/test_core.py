@@ -146,7 +146,7 @@ def test_replayed_profile_against_brute_force(spark):
     for route in {r for r, _ in options}:
         latest = {}
         for t0 in range(0, 2 * day, 60):
-            latest[ride((route, 3), ride((route, 1), t0) + 120)] = t0
+            latest[ride((route, 3), ride((route, 1), t0) + 120 + 120)] = t0  # the walk, and the slack that a walk doesn't spare
         kept, soonest = [], 10 * day
         for dep, arr in sorted(((d, a) for a, d in latest.items()), reverse=True):
             if arr < soonest:
@@ -156,6 +156,95 @@ def test_replayed_profile_against_brute_force(spark):
     assert {r.route_id: tuple(r)[1:] for r in replayed_profile(spark, folder).collect()} == expected
 
 
+def test_slack_outlives_walks_and_flex(spark):
+    """Ride (arrives 1000), walk 60 s, ride: one is ready at 1180 and takes the trip of 1300, not that of 1100; the same after an on-demand ride."""
+    option = lambda route, leg, trip, dep, arr: (route, leg, 10 * leg, trip, dep, arr)
+    options = spark.createDataFrame([option(r, 1, 1, 500, 1000) for r in (1, 2)] + [option(r, 3, t, d, d + 50) for r in (1, 2) for t, d in ((1, 1100), (2, 1300))], "route_id int, leg_no int, pattern_id int, trip_no int, dep int, arr int")
+    legs = spark.createDataFrame([(1, 1, "ride", 0.0, None), (1, 2, "walk", 60.0, None), (1, 3, "ride", 0.0, None), (2, 1, "ride", 0.0, None), (2, 2, "flex", 30.0, 7), (2, 3, "ride", 0.0, None)], "route_id int, leg_no int, kind string, time double, zone_id int")
+    windows = spark.createDataFrame([(7, 2, 0, 24 * H - 1, None)], "zone_id int, weekday int, start int, end int, headway int")
+    starts = spark.createDataFrame([(1, 400), (2, 400)], "route_id int, t0 int")
+    one = {(r.route_id, r.leg_no): (r.wait_from, r.dep, r.arr) for r in replay.replay(legs, options, windows, starts).collect()}
+    assert one[1, 3] == (1060, 1300, 1350)
+    assert one[2, 2] == (1000, 2800, 2830) and one[2, 3] == (2830, 1100 + 24 * H, 1150 + 24 * H)
+
+
+def _stepped(legs, windows, t0, day=24 * H):
+    """The arrival of one start, leg by leg and trip by trip; None where no trip is left."""
+    t, rode, board = t0, False, None
+    for kind, time, zone, trips in legs:
+        if kind == "walk":
+            t, board = t + round(time), None
+            continue
+        if kind == "flex":
+            times = [max(t + 1800, s + k * day) for k in range(t // day, t // day + 8) for s, e in windows[zone] if max(t + 1800, s + k * day) <= e + k * day]
+            if not times:
+                return None
+            t, board = min(times) + round(time), None
+        else:
+            ready, found = t + (120 if rode else 0), []
+            for pattern in {p for p, *_ in trips}:
+                for k in range(ready // day - 1, ready // day + 3):
+                    fits = [(a + k * day, -(d + k * day), pattern, n, k * day) for p, n, d, a in trips if p == pattern and d + k * day >= ready]
+                    if fits:
+                        found.append(min(fits))
+                        break
+            best = min(found, default=None)
+            stay = [(a + board[2], 0, p, n, board[2]) for p, n, d, a in trips if board and (p, n) == board[:2] and d + board[2] >= t]
+            if stay and (best is None or stay[0][0] <= best[0]):
+                best = stay[0]
+            if best is None:
+                return None
+            t, board = best[0], best[2:]
+        rode = True
+    return t
+
+
+def test_route_profiles_against_every_start(spark):
+    """Merged starts give the connections of a replay of all 2880, and of one that is stepped through by hand."""
+    import random
+
+    rng = random.Random(8)
+    shapes = [["walk", "ride", "walk", "ride"], ["ride", "ride", "walk"], ["ride", "flex", "ride"], ["flex", "ride"], ["walk", "flex"], ["ride"], ["walk"], ["ride", "ride", "ride"]]
+    legs, options, by_route = [], [], {}
+    for route, shape in enumerate(shapes):
+        own = []
+        for n, kind in enumerate(shape, 1):
+            time = rng.choice([0.4, 61.0, 200.6, 900.5])
+            legs.append((route, n, kind, time, 7 if kind == "flex" else None))
+            trips = []
+            if kind == "ride":
+                for pattern in (1, 2):
+                    for trip in range(12):
+                        # Trips of one number ride through: a later leg begins where the one before it ends, or a little later. Some run past midnight.
+                        dep = trip * 7300 + pattern * 977 + (n - 1) * 700 + rng.choice([0, 0, 30, 400])
+                        trips.append((pattern, trip, dep, dep + rng.choice([650, 700, 1900])))
+                options += [(route, n, *t) for t in trips]
+            own.append((kind, time, 7, trips))
+        by_route[route] = own
+    hours = {7: [(6 * H, 9 * H), (15 * H, 16 * H)]}
+    leg_rows = spark.createDataFrame(legs, "route_id int, leg_no int, kind string, time double, zone_id int")
+    option_rows = spark.createDataFrame(options, "route_id int, leg_no int, pattern_id int, trip_no int, dep int, arr int")
+    windows = spark.createDataFrame([(7, 2, s, e, None) for s, e in hours[7]], "zone_id int, weekday int, start int, end int, headway int")
+    found = sorted(tuple(r) for r in replay.route_profiles(leg_rows, option_rows, windows).collect())
+    want = []
+    for route, own in by_route.items():
+        latest = {}
+        for t0 in range(0, 48 * H, 60):
+            if (arr := _stepped(own, hours, t0)) is not None:
+                latest[arr] = t0
+        soonest = None
+        for dep, arr in sorted(((d, a) for a, d in latest.items() if d < 24 * H), reverse=True):
+            if soonest is None or arr < soonest:
+                want.append((route, dep, arr))
+                soonest = arr
+    assert found == sorted(want)
+    starts = replay.telling_starts(leg_rows, option_rows).groupBy("route_id").count().collect()
+    assert {r["count"] for r in starts if r.route_id in (3, 4, 6)} == {2880} and max(r["count"] for r in starts if r.route_id not in (3, 4, 6)) < 120
+    swept = replay.replay(leg_rows, option_rows, windows, replay.sweep(leg_rows.select("route_id").distinct().where("route_id in (0, 2, 3)"), 600))
+    ends = {(r.route_id, r.t0): r.arr for r in swept.join(leg_rows.groupBy("route_id").agg(F.max("leg_no").alias("leg_no")), ["route_id", "leg_no"]).collect()}
+    assert ends == {(r, t0): arr for r in (0, 2, 3) for t0 in range(0, 48 * H, 600) if (arr := _stepped(by_route[r], hours, t0)) is not None}
+
+
 def test_required_walk(spark):
     rides = spark.createDataFrame([(1, 2, 4.0, 60.0, [0.0] * 3, None, None), (3, 4, 4.0, 60.0, [0.0] * 3, None, None)], "u bigint, v bigint, freq double, time double, miles array<double>, dist double, zone_id bigint")
     links = spark.createDataFrame([(2, 5, 1500.0, 1500.0), (5, 3, 1500.0, 1500.0), (2, 3, 3100.0, 3500.0)], "u bigint, v bigint, time double, dist double")

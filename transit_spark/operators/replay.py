@@ -63,37 +63,88 @@ def flex_pickup(ready: DataFrame, windows: DataFrame, keys: list[str], demand: O
     return both.groupBy(*keys, "zone_id").agg(F.min("pickup").cast("bigint").alias("pickup"))
 
 
+def _begun(starts: DataFrame, options: DataFrame) -> DataFrame:
+    """The state of every start (route_id, t0): its time, whether a vehicle was ridden, and the trip on board."""
+    none = {"on_pattern": options.schema["pattern_id"].dataType.simpleString(), "on_trip": "bigint", "on_off": "bigint"}
+    return starts.select("route_id", "t0", F.col("t0").cast("bigint").alias("t"), F.lit(False).alias("rode"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+
+
+def _leg(state: DataFrame, legs: DataFrame, options: DataFrame, windows: DataFrame, day0: int, slack: int) -> DataFrame:
+    """route_id, t0, leg_no, kind, wait_from, dep, arr, rode, on_pattern, on_trip, on_off of ``state`` after one leg of its route; states without a trip have no row."""
+    now = state.join(legs.select("route_id", "leg_no", "kind", "time", "zone_id"), "route_id")
+    off = [F.lit(None).cast(state.schema[c].dataType).alias(c) for c in ("on_pattern", "on_trip", "on_off")]
+    row = ["route_id", "t0", "leg_no", "kind", F.col("t").alias("wait_from")]
+    spent = F.rint("time").cast("bigint")
+    walk = now.where("kind = 'walk'").select(*row, F.col("t").alias("dep"), (F.col("t") + spent).alias("arr"), "rode", *off)
+    rides = now.where("kind = 'ride'")
+    caught = next_trip(rides.select("route_id", "t0", "leg_no", (F.col("t") + F.when(F.col("rode"), slack).otherwise(0)).alias("ready")), options, ["t0"])
+    caught = caught.select("route_id", "t0", "arr", "dep", F.col("pattern_id").alias("on_pattern"), F.col("trip_no").cast("bigint").alias("on_trip"), F.col("off").alias("on_off"), F.lit(1).alias("rank"))
+    stay = rides.where("on_trip is not null").select("route_id", "t0", "leg_no", "t", "on_off", F.col("on_pattern").alias("pattern_id"), F.col("on_trip").alias("trip_no")).join(options, ["route_id", "leg_no", "pattern_id", "trip_no"])
+    stay = stay.where(F.col("dep") + F.col("on_off") >= F.col("t")).select("route_id", "t0", (F.col("arr") + F.col("on_off")).alias("arr"), (F.col("dep") + F.col("on_off")).alias("dep"), F.col("pattern_id").alias("on_pattern"), F.col("trip_no").cast("bigint").alias("on_trip"), "on_off", F.lit(0).alias("rank"))
+    best = caught.unionByName(stay).groupBy("route_id", "t0").agg(F.min(F.struct("arr", "rank", "dep", "on_pattern", "on_trip", "on_off")).alias("b"))
+    rode = rides.select(*row).join(best, ["route_id", "t0"]).select("route_id", "t0", "leg_no", "kind", "wait_from", "b.dep", "b.arr", F.lit(True).alias("rode"), "b.on_pattern", "b.on_trip", "b.on_off")
+    flex = now.where("kind = 'flex'")
+    picked = flex_pickup(flex.select("route_id", "t0", "zone_id", F.lit(day0).alias("day0"), F.col("t").alias("ready")), windows, ["route_id", "t0"]).select("route_id", "t0", "pickup")
+    taken = flex.join(picked, ["route_id", "t0"]).select(*row, F.col("pickup").alias("dep"), (F.col("pickup") + spent).alias("arr"), F.lit(True).alias("rode"), *off)
+    return walk.unionByName(rode).unionByName(taken)
+
+
+def _after(step: DataFrame) -> DataFrame:
+    return step.select("route_id", "t0", F.col("arr").alias("t"), "rode", "on_pattern", "on_trip", "on_off")
+
+
 def replay(legs: DataFrame, options: DataFrame, windows: DataFrame, starts: DataFrame, day0: int = 2, slack: int = 120) -> DataFrame:
     """route_id, t0, leg_no, kind, wait_from, dep, arr: every route of ``legs`` (route_id, leg_no, kind, time, zone_id) from every start (route_id, t0).
 
-    A ride needs ``slack`` seconds after a ride before it, unless one stays on the same trip, which wins if it arrives no
-    later. A leg without a trip ends the replay of its start: such starts have no row from that leg on. The loop is over
-    leg numbers, each for all routes and starts at once.
+    Once a vehicle was ridden, on demand or not, every ride needs ``slack`` seconds, also after a walk, unless one stays on the
+    same trip, which wins if it arrives no later. A leg without a trip ends the replay of its start: such starts have no row from
+    that leg on. The loop is over leg numbers, each for all routes and starts at once.
     """
-    last = legs.agg(F.max("leg_no")).first()[0] or 0
-    state = cut(starts.select("route_id", "t0", F.col("t0").cast("bigint").alias("t"), F.lit(False).alias("rode"), F.lit(None).cast(options.schema["pattern_id"].dataType).alias("on_pattern"), F.lit(None).cast("bigint").alias("on_trip"), F.lit(None).cast("bigint").alias("on_off")))
-    done = None
+    last = legs.agg(F.max("leg_no")).first()[0]
+    if last is None:
+        raise ValueError("replay: there are no legs")
+    state, done = cut(_begun(starts, options)), None
     for n in range(1, last + 1):
-        now = state.join(legs.where(F.col("leg_no") == n).select("route_id", "leg_no", "kind", "time", "zone_id"), "route_id")
-        walk = now.where("kind = 'walk'").select("route_id", "t0", "leg_no", "kind", F.col("t").alias("wait_from"), F.col("t").alias("dep"), (F.col("t") + F.rint("time").cast("bigint")).alias("arr"), F.lit(False).alias("rode"), "on_pattern", "on_trip", "on_off").withColumns({c: F.lit(None).cast(state.schema[c].dataType) for c in ("on_pattern", "on_trip", "on_off")})
-        rides = now.where("kind = 'ride'")
-        caught = next_trip(rides.select("route_id", "t0", "leg_no", (F.col("t") + F.when(F.col("rode"), slack).otherwise(0)).alias("ready")), options, ["t0"])
-        caught = caught.select("route_id", "t0", "arr", "dep", F.col("pattern_id").alias("on_pattern"), F.col("trip_no").cast("bigint").alias("on_trip"), F.col("off").alias("on_off"), F.lit(1).alias("rank"))
-        stay = rides.where("on_trip is not null").select("route_id", "t0", "leg_no", "t", "on_off", F.col("on_pattern").alias("pattern_id"), F.col("on_trip").alias("trip_no")).join(options, ["route_id", "leg_no", "pattern_id", "trip_no"])
-        stay = stay.where(F.col("dep") + F.col("on_off") >= F.col("t")).select("route_id", "t0", (F.col("arr") + F.col("on_off")).alias("arr"), (F.col("dep") + F.col("on_off")).alias("dep"), F.col("pattern_id").alias("on_pattern"), F.col("trip_no").cast("bigint").alias("on_trip"), "on_off", F.lit(0).alias("rank"))
-        best = caught.unionByName(stay).groupBy("route_id", "t0").agg(F.min(F.struct("arr", "rank", "dep", "on_pattern", "on_trip", "on_off")).alias("b"))
-        rode = rides.select("route_id", "t0", "leg_no", "kind", F.col("t").alias("wait_from")).join(best, ["route_id", "t0"]).select("route_id", "t0", "leg_no", "kind", "wait_from", "b.dep", "b.arr", F.lit(True).alias("rode"), "b.on_pattern", "b.on_trip", "b.on_off")
-        flex = now.where("kind = 'flex'")
-        picked = flex_pickup(flex.select("route_id", "t0", "zone_id", F.lit(day0).alias("day0"), F.col("t").alias("ready")), windows, ["route_id", "t0"]).select("route_id", "t0", "pickup")
-        taken = flex.join(picked, ["route_id", "t0"]).select("route_id", "t0", "leg_no", "kind", F.col("t").alias("wait_from"), F.col("pickup").alias("dep"), (F.col("pickup") + F.rint("time").cast("bigint")).alias("arr"), F.lit(False).alias("rode"), *[F.lit(None).cast(state.schema[c].dataType).alias(c) for c in ("on_pattern", "on_trip", "on_off")])
-        step = cut(walk.unionByName(rode).unionByName(taken))
+        step = cut(_leg(state, legs.where(F.col("leg_no") == n), options, windows, day0, slack))
         done = step if done is None else done.unionByName(step)
-        state = step.select("route_id", "t0", F.col("arr").alias("t"), "rode", "on_pattern", "on_trip", "on_off")
-    if done is None:
-        raise ValueError("replay: there are no legs")
+        state = _after(step)
     return done.select("route_id", "t0", "leg_no", "kind", "wait_from", "dep", "arr")
 
 
+def telling_starts(legs: DataFrame, options: DataFrame, step: int = 60, until: int = 2 * DAY - 60) -> DataFrame:
+    """route_id, t0: of the starts every ``step`` seconds those after which another trip is caught first.
+
+    All starts between two departures of the first ride catch the same trip, so the last of them stands for all: there are as many
+    as departures. Where a route begins on demand, or has no ride, every start arrives at a time of its own and all are kept."""
+    vehicle = legs.where("kind <> 'walk'").groupBy("route_id").agg(F.min(F.struct("leg_no", "kind")).alias("f")).select("route_id", F.col("f.leg_no").alias("first"), F.col("f.kind").alias("first_kind"))
+    routes = legs.join(vehicle, "route_id", "left").groupBy("route_id", "first", "first_kind").agg(F.sum(F.when(F.col("leg_no") < F.col("first"), F.rint("time")).otherwise(0)).cast("bigint").alias("before"))
+    by_trip = routes.where("first_kind = 'ride'")
+    times = options.join(by_trip.withColumnRenamed("first", "leg_no"), ["route_id", "leg_no"]).select("route_id", "before", F.pmod("dep", F.lit(DAY)).alias("at"))
+    ends = by_trip.select("route_id", "before", F.lit(DAY - 1).alias("at"))  # the day of a ready time ends here
+    days = times.unionByName(ends).distinct().withColumn("day", F.explode(F.array(*[F.lit(d) for d in range(-(-until // DAY) + 2)])))
+    last = days.select("route_id", (F.floor((F.col("at") + F.col("day") * DAY - F.col("before")) / step) * step).cast("int").alias("t0")).where(F.col("t0").between(0, until))
+    rest = sweep(routes.where("first_kind is null or first_kind <> 'ride'"), step, until)
+    return last.unionByName(by_trip.select("route_id", F.lit(until).alias("t0"))).unionByName(rest).distinct()
+
+
+def route_profiles(legs: DataFrame, options: DataFrame, windows: DataFrame, day0: int = 2, slack: int = 120, step: int = 60) -> DataFrame:
+    """``connection_profile`` of a ``replay`` of every start of two days, without replaying them all.
+
+    Only ``telling_starts`` are replayed, and after each leg starts that are at the same time on the same trip go on as one,
+    the latest: a leg has no more rows than departures, however many starts there are."""
+    last = legs.groupBy("route_id").agg(F.max("leg_no").alias("end"))
+    ends = None
+    state = cut(_begun(telling_starts(legs, options, step), options))
+    for n in range(1, (legs.agg(F.max("leg_no")).first()[0] or 0) + 1):
+        done = cut(_leg(state, legs.where(F.col("leg_no") == n), options, windows, day0, slack).join(last, "route_id"))
+        here = done.where(F.col("end") == n).groupBy("route_id", "arr").agg(F.max("t0").alias("dep")).select("route_id", "dep", "arr")
+        ends = here if ends is None else ends.unionByName(here)
+        state = _after(done.where(F.col("end") > n)).groupBy("route_id", "t", "rode", "on_pattern", "on_trip", "on_off").agg(F.max("t0").alias("t0"))
+    if ends is None:
+        raise ValueError("route_profiles: there are no legs")
+    return pareto_connections(ends.where(F.col("dep") < DAY), ["route_id"])
+
+
 def sweep(routes: DataFrame, step: int = 60, until: int = 2 * DAY - 60) -> DataFrame:
     """route_id, t0 for a start every ``step`` seconds over two days."""
     return routes.select("route_id", F.explode(F.sequence(F.lit(0), F.lit(until), F.lit(step))).alias("t0"))
@@ -109,7 +160,7 @@ def connection_profile(replayed: DataFrame, legs: DataFrame) -> DataFrame:
     """route_id, dep, arr: the latest start of each arrival among starts of the first day whose replay ends, without those that a later start beats."""
     last = legs.groupBy("route_id").agg(F.max("leg_no").alias("leg_no"))
     ends = replayed.join(last, ["route_id", "leg_no"]).groupBy("route_id", "arr").agg(F.max("t0").alias("dep"))
-    return pareto_connections(ends.select("route_id", "dep", "arr"), ["route_id"]).where(F.col("dep") < DAY)
+    return pareto_connections(ends.select("route_id", "dep", "arr").where(F.col("dep") < DAY), ["route_id"])
 
 
 def itinerary_steps(replayed: DataFrame, start: int) -> DataFrame:

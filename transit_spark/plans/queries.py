@@ -266,14 +266,13 @@ def next_trips(s: SparkSession, d: str) -> DataFrame:
 
 
 def replayed_profile(s: SparkSession, d: str) -> DataFrame:
-    """Two-leg routes replayed from a start every minute of two days, and their connections."""
+    """Ride, walk, ride: the connections of starts every minute of two days."""
     base = v.table(s, d, "lineitem").select((F.col("l_suppkey") % 20).alias("route_id"), (F.col("l_linenumber") % 2 * 2 + 1).alias("leg_no"), (F.col("l_partkey") % 3).alias("pattern_id"), (F.col("l_orderkey") * 61 % 86400).cast("int").alias("dep"), (F.col("l_partkey") % 1800 + 300).cast("int").alias("ride"))
     options = base.groupBy("route_id", "leg_no", "pattern_id", "dep").agg((F.col("dep") + F.min("ride")).alias("arr")).withColumn("trip_no", F.col("dep"))
     routes = base.select("route_id").distinct()
     legs = routes.withColumn("leg_no", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).select("route_id", "leg_no", F.when(F.col("leg_no") == 2, "walk").otherwise("ride").alias("kind"), F.lit(120.0).alias("time"), F.lit(None).cast("bigint").alias("zone_id"))
     windows = s.createDataFrame([], "zone_id bigint, weekday int, start int, end int, headway int")
-    done = replay.replay(legs, options, windows, replay.sweep(routes))
-    return report.profile_summary(replay.connection_profile(done, legs))
+    return report.profile_summary(replay.route_profiles(legs, options, windows))
 
 
 def leg_statistics(s: SparkSession, d: str) -> DataFrame:

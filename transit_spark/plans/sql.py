@@ -155,6 +155,16 @@ SELECT * FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.route_id = a.route
 SELECT r AS route_id, min(f) FILTER (ride) AS bottleneck, count(*) FILTER (ride) AS boardings, coalesce(sum(time) FILTER (ride), 0) AS ride_s, coalesce(sum(time) FILTER (NOT ride), 0) AS walk_s,
   round(coalesce(sum(57600 / f / 2) FILTER (ride), 0), 4) AS wait_s, coalesce(max(dist) FILTER (NOT ride), 0) AS longest_walk, round(coalesce(sum(f / 8) FILTER (ride AND k = 0), 0), 4) AS miles_0,
   round(coalesce(sum(f / 8) FILTER (ride AND k = 1), 0), 4) AS miles_1, round(coalesce(sum(f / 8) FILTER (ride AND k = 2), 0), 4) AS miles_2 FROM l GROUP BY r""",
+    "replayed_profile": """WITH b AS (SELECT l_suppkey % 20 AS r, l_linenumber % 2 * 2 + 1 AS leg, l_partkey % 3 AS p, l_orderkey * 61 % 86400 AS dep, min(l_partkey % 1800 + 300) AS ride FROM lineitem GROUP BY 1, 2, 3, 4),
+s AS (SELECT r, leg, p, dep, min(dep + ride) OVER (PARTITION BY r, leg, p ORDER BY dep DESC) AS arr FROM b),
+o AS (SELECT r, leg, p, dep + k * 86400 AS at, arr + k * 86400 AS arr FROM s, range(0, 5) t(k)),
+k AS (SELECT DISTINCT r, leg, p FROM b),
+t AS (SELECT r, t0 FROM (SELECT DISTINCT r FROM b), range(0, 172800, 60) x(t0)),
+one AS (SELECT a.r, a.t0, min(o.arr) AS t FROM (SELECT t.r, t0, p, leg FROM t JOIN k ON k.r = t.r AND k.leg = 1) a ASOF JOIN o ON o.r = a.r AND o.leg = a.leg AND o.p = a.p AND a.t0 <= o.at GROUP BY 1, 2),
+two AS (SELECT a.r, a.t0, min(o.arr) AS arr FROM (SELECT one.r, t0, one.t + 120 + 120 AS ready, p, leg FROM one JOIN k ON k.r = one.r AND k.leg = 3) a ASOF JOIN o ON o.r = a.r AND o.leg = a.leg AND o.p = a.p AND a.ready <= o.at GROUP BY 1, 2),
+c AS (SELECT r, arr, max(t0) AS dep FROM two GROUP BY 1, 2 HAVING max(t0) < 86400),
+m AS (SELECT *, min(arr) OVER (PARTITION BY r ORDER BY dep DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS later FROM c)
+SELECT r AS route_id, count(*) AS connections, CAST(min(arr - dep) AS BIGINT) AS min, CAST(floor(median(arr - dep)) AS BIGINT) AS median, CAST(max(arr - dep) AS BIGINT) AS max FROM m WHERE later IS NULL OR arr < later GROUP BY 1""",
     "next_trips": """WITH o AS (SELECT l_suppkey % 50 AS r, l_linenumber % 3 AS p, l_orderkey * 61 % 86400 AS dep, min(l_orderkey * 61 % 86400 + 300 + l_partkey % 1800) AS arr FROM lineitem GROUP BY 1, 2, 3),
 a AS (SELECT c_custkey, c_custkey % 50 AS r, c_custkey * 97 % 86400 AS ready, (g - 1) * 86400 AS off FROM customer, generate_series(0, 3) t(g)),
 m AS (SELECT c_custkey, p, off, dep + off AS dep, arr + off AS arr, min(off) OVER (PARTITION BY c_custkey, p) AS first FROM a JOIN o USING (r) WHERE dep + off >= ready),
