@@ -103,12 +103,13 @@ def test_bottleneck_frontier_and_replay(spark, network):
     g = network["g"]
     best = search.max_bottleneck(g, spark.createDataFrame([(1,)], "origin bigint")).where("node = 2").first().freq
     assert best == pytest.approx(32)
-    routes, legs = search.frontier(g, 1, 2, best, min_gain=-10)
-    found = {r.query_id: r.bottleneck for r in routes.collect()}
-    assert found[0] == pytest.approx(32) and min(found.values()) <= 32
-    main = legs.where("query_id = 0").orderBy("leg_no").collect()
+    pairs = spark.createDataFrame([(7, 1, 2, best), (8, 1, 2, 1.0)], "query_id int, origin bigint, destination bigint, best double")
+    routes, legs = search.frontier(g, pairs, min_gain=-10)
+    found = {(r.query_id, r.place): r.bottleneck for r in routes.collect()}
+    assert found[7, 0] == pytest.approx(32) and min(found.values()) <= 32 and {q for q, _ in found} == {7, 8}
+    main = legs.where("query_id = 7 and place = 0").orderBy("leg_no").collect()
     assert [x.kind for x in main].count("ride") == 2 and min(x.freq for x in main if x.freq) == pytest.approx(best)
-    mine = legs.where("query_id = 0").withColumnRenamed("query_id", "route_id")
+    mine = legs.where("query_id = 7 and place = 0").withColumnRenamed("query_id", "route_id")
     mine = search.cut(mine)
     options = search.cut(replay.serving_options(mine.where("kind = 'ride'"), network["stops"], network["times"], network["miles"]))
     windows = spark.createDataFrame([], "zone_id bigint, weekday int, start int, end int, headway int")
@@ -245,33 +246,171 @@ def test_route_profiles_against_every_start(spark):
     assert ends == {(r, t0): arr for r in (0, 2, 3) for t0 in range(0, 48 * H, 600) if (arr := _stepped(by_route[r], hours, t0)) is not None}
 
 
+RIDE = "u bigint, v bigint, freq double, time double, miles array<double>, dist double, zone_id bigint"
+
+
 def test_required_walk(spark):
-    rides = spark.createDataFrame([(1, 2, 4.0, 60.0, [0.0] * 3, None, None), (3, 4, 4.0, 60.0, [0.0] * 3, None, None)], "u bigint, v bigint, freq double, time double, miles array<double>, dist double, zone_id bigint")
-    links = spark.createDataFrame([(2, 5, 1500.0, 1500.0), (5, 3, 1500.0, 1500.0), (2, 3, 3100.0, 3500.0)], "u bigint, v bigint, time double, dist double")
-    need = search.required_walk(search.Network(rides, links), 1, 4, 8000.0)
-    assert need in (1500.0, 3000.0, 3500.0) and need == 3500.0  # two walks of 1500 m need 3000 m, but limits are link lengths
+    """Two walks of 1500.5 m need 3001 m, but limits are link lengths; every query has a limit and layers of its own."""
+    ride = lambda u, v: (u, v, 4.0, 60.0, [0.0] * 3, None, None)
+    rides = spark.createDataFrame([ride(1, 2), ride(3, 4), ride(6, 7)], RIDE)
+    links = spark.createDataFrame([(2, 5, 1500.0, 1500.5), (5, 3, 1500.0, 1500.5), (2, 3, 3100.0, 3500.25), (7, 8, 1.0, 900.75)], "u bigint, v bigint, time double, dist double")
+    asked = spark.createDataFrame([(1, 1, 4), (2, 6, 8), (3, 6, 7), (4, 1, 8)], "query_id int, origin bigint, destination bigint")
+    need = {r.query_id: r.max_walk for r in search.required_walk(search.Network(rides, links), asked).collect()}
+    assert need == {1: 3500.25, 2: 900.75, 3: 800.0}
+
 
+def _random_network(spark, seed, nodes=30):
+    import random
 
-def test_chain(spark, network):
-    """Given routes in order, with legs and four classes; and a transfer that is too far."""
+    rng = random.Random(seed)
+    rides = [(rng.randrange(nodes), rng.randrange(nodes), rng.choice([1.0, 4.0, 16.0, 40.0]), rng.uniform(60, 2000), [rng.uniform(0, 3), 0.0, rng.uniform(0, 2)], None, None) for _ in range(nodes * 3)]
+    walks = [(u, (u + rng.randrange(1, 4)) % nodes, 0.0, rng.uniform(50, 700)) for u in range(nodes) for _ in range(2)]
+    walks = [(u, v, d * 1.04, d) for u, v, _, d in walks]
+    rides = [r for r in rides if r[0] != r[1]]
+    return rides, walks, search.Network(spark.createDataFrame(rides, RIDE), spark.createDataFrame(walks, "u bigint, v bigint, time double, dist double"))
+
+
+def _least_costs_by_hand(rides, walks, origin, threshold, max_walk=800.0, p=Prices()):
+    """Bellman-Ford over (node, layer)."""
+    import math
+
+    step = max(400.0, max_walk / 24)
+    best, changed = {(origin, 0): 0.0}, True
+    while changed:
+        changed = False
+        for (node, layer), label in list(best.items()):
+            for u, v, f, t, m, *_ in rides:
+                if u == node and f >= threshold:
+                    c = label + max(p.riding * t + p.headway_share * 57600 / f + p.boarding + sum(a * b for a, b in zip(m, p.mile)), 1) + 1e-3
+                    if c < best.get((v, 0), math.inf) - 1e-9:
+                        best[v, 0], changed = c, True
+            for u, v, t, d in walks:
+                if u == node and layer * step + d <= max_walk:
+                    near = min(max(p.far_after - layer * step, 0), d) / d
+                    c, to = label + max(t * (near * p.walking + (1 - near) * p.far_walking), 1), math.ceil((layer * step + d) / step)
+                    if c < best.get((v, to), math.inf) - 1e-9:
+                        best[v, to], changed = c, True
+    out = {}
+    for (node, _), c in best.items():
+        out[node] = min(c, out.get(node, math.inf))
+    return out
+
+
+def test_best_routes_against_brute_force(spark):
+    """Costs of many queries at once, and fewer states where the destination bounds the search."""
+    rides, walks, g = _random_network(spark, 3)
+    asked = [(i, i % 7, (i * 11 + 5) % 30, [0.0, 4.0, 16.0][i % 3]) for i in range(12)]
+    queries = spark.createDataFrame(asked, "query_id int, origin bigint, destination bigint, threshold double")
+    routes, legs = search.best_routes(g, queries)
+    found = {r.query_id: r.cost for r in routes.collect()}
+    want = {q: c for q, o, d, t in asked if (c := _least_costs_by_hand(rides, walks, o, t).get(d)) is not None}
+    assert found == pytest.approx(want) and len(want) >= 8
+    p = Prices()
+    paid = {}
+    for leg in sorted(legs.collect(), key=lambda r: (r.query_id, r.leg_no)):
+        paid.setdefault(leg.query_id, []).append(leg)
+    for q, o, d, t in asked:
+        if q in found and o != d:
+            assert paid[q][0].u == o and paid[q][-1].v == d and all(a.v == b.u for a, b in zip(paid[q], paid[q][1:]))
+            assert all(a.freq >= t for a in paid[q] if a.kind == "ride") and not any(a.kind == b.kind == "walk" for a, b in zip(paid[q], paid[q][1:]))
+    priced, short = search.priced_rides(g, p), search.shortest_walks(g.walks)
+    ahead = search.cheapest_ahead(g, queries.select(F.col("query_id").alias("goal"), "destination"), p)
+    count = lambda **more: search.least_costs(g, queries.withColumn("goal", F.col("query_id")), priced, short, p, **more).count()
+    whole, bounded, aimed = count(bounded=False), count(), count(ahead=ahead)
+    assert aimed < bounded < whole, (aimed, bounded, whole)
+    assert {r.query_id: r.cost for r in search.best_routes(g, queries.withColumn("goal", F.col("query_id")), p, ahead=ahead)[0].collect()} == pytest.approx(want)
+
+
+def test_recommend_against_brute_force(spark):
+    """Best bottleneck, its least cost, the most local ways and the pruned ladder of every pair; a pair that needs a longer walk, and one that nothing connects."""
+    rides, walks, _ = _random_network(spark, 5)
+    rides += [(40, 41, 4.0, 60.0, [0.0] * 3, None, None)]
+    walks += [(41, 42, 936.0, 900.0)]
+    g = search.Network(spark.createDataFrame(rides, RIDE), spark.createDataFrame(walks, "u bigint, v bigint, time double, dist double"))
+    asked = [(1, 0, 17), (2, 3, 21), (3, 5, 9), (4, 40, 42), (5, 42, 0)]
+    pairs = spark.createDataFrame(asked, "query_id int, origin bigint, destination bigint")
+    for by in ("cost", "local"):
+        routes, legs = search.recommend(g, pairs, Prices(), LOCAL, by=by)
+        rows = {}
+        for r in sorted(routes.collect(), key=lambda r: (r.query_id, r.place)):
+            rows.setdefault(r.query_id, []).append(r)
+        assert set(rows) == {1, 2, 3, 4} and rows[4][0].max_walk == 901.0 and rows[4][0].label == search.RECOMMENDED
+        nodes = {}
+        for leg in sorted(legs.collect(), key=lambda r: (r.query_id, r.place, r.leg_no)):
+            nodes.setdefault((leg.query_id, leg.place), []).append((leg.u, leg.v))
+        for q, o, d in asked[:3]:
+            best = max(t for t in (1.0, 4.0, 16.0, 40.0) if d in _least_costs_by_hand(rides, walks, o, t))
+            assert rows[q][0].threshold == best and rows[q][0].cost == pytest.approx(_least_costs_by_hand(rides, walks, o, best)[d])
+            own = [tuple(n) for k, n in sorted(nodes.items()) if k[0] == q]
+            assert len(own) == len(set(own)) == len(rows[q])
+            ladder = [best, *sorted({round(960 / m, 2) for m in (10, 15, 20, 30, 40, 45, 60, 75, 90, 120, 150, 180, 240, 300, 360, 480, 720)} - {best}, reverse=True), 0.0]
+            kept = []
+            for t in [t for t in ladder if t <= best]:
+                c = _least_costs_by_hand(rides, walks, o, t, p=Prices() if by == "cost" else LOCAL)[d]
+                if not kept or c <= 0.95 * kept[-1]:
+                    kept.append(c)
+            offered = [r.cost for r in rows[q] if ("TRADE" in r.label if by == "cost" else r.label != search.RECOMMENDED)]
+            assert all(any(c == pytest.approx(k) for k in kept) for c in offered)
+
+
+def test_chains(spark, network):
+    """Given routes in order, with legs and four classes; a transfer that is too far; and every problem, all in one job."""
     from transit_spark.operators import chain
 
     stops, times, nodes = network["stops"], network["times"], network["nodes"]
     freq, profile = frequency.effective_frequency(times, ["pattern_id", "pos"]), frequency.running_profile(times)
     miles = stops.select("pattern_id", "pos", F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), (F.col("pos") * 2.0)).alias("miles"))
-    here = spark.createDataFrame([(1, 40.0, -75.0, "origin"), (2, 40.3, -75.0, "destination")], "node bigint, lat double, lon double, role string")
-    run = lambda steps, **more: chain.evaluate_chain(network["patterns"], stops, freq, profile, miles, nodes, steps, here, **more)
-    ends, problems = run(["FAST", "BX"], prices=Prices(mile=(0.0, 0.0, 0.0, 240.0)))
-    row = ends.first()
-    assert problems == [] and row.rides == 2 and row.bottleneck == pytest.approx(1)
-    assert [x.kind for x in row.legs] == ["walk", "ride", "walk", "ride", "walk"] and [x.miles[3] for x in row.legs if x.kind == "ride"] == [2.0, 2.0]
-    free = run(["FAST", "BX"], prices=Prices(mile=(0.0, 0.0, 0.0, 0.0)))[0].first()
-    assert row.cost - free.cost == pytest.approx(4 * 240)
-    assert run(["FREQ", "BX"], transfer_walk=500.0)[1] and run(["NONE"])[1] == ["no route NONE"]
-    routes, legs = chain.compare_chain(network["g"], 1, 2)
+    chains = {1: ["FAST", "BX"], 2: ["FREQ", "BX"], 3: ["NONE", "BX", "fast"], 4: ["BX"], 5: ["FREQ"], 6: ["FREQ", "C1"]}
+    steps = spark.createDataFrame([(c, k, r, None) for c, names in chains.items() for k, r in enumerate(names)] + [(7, 0, "FAST", "nobody")], "chain_id int, step int, route string, agency string")
+    here = spark.createDataFrame([(c, role, lat, -75.0) for c in range(1, 8) for role, lat in (("origin", 40.0), ("destination", 40.3))], "chain_id int, role string, lat double, lon double")
+    run = lambda **more: chain.evaluate_chains(network["patterns"], stops, freq, profile, miles, nodes, steps, here, **more)
+    ends, legs, problems = run(prices=Prices(mile=(0.0, 0.0, 0.0, 240.0)), transfer_walk=500.0)
+    row = {r.chain_id: r for r in ends.collect()}
+    assert set(row) == {1, 6} and row[1].rides == 2 and row[1].bottleneck == pytest.approx(1)
+    mine = legs.where("chain_id = 1").orderBy("leg_no").collect()
+    assert [x.kind for x in mine] == ["walk", "ride", "walk", "ride", "walk"] and [x.miles[3] for x in mine if x.kind == "ride"] == [2.0, 2.0]
+    free = {r.chain_id: r.cost for r in run(prices=Prices(mile=(0.0, 0.0, 0.0, 0.0)))[0].collect()}
+    assert row[1].cost - free[1] == pytest.approx(4 * 240)
+    assert {(r.chain_id, r.problem) for r in problems.collect()} == {
+        (2, "the routes do not connect in this order within the transfer walk limit"), (3, "no service found for route NONE"), (3, "no service found for route fast"), (4, "no stop of route BX within 800 m of the start"),
+        (5, "no stop of route FREQ within 800 m of the end"), (7, "no service found for route FAST (nobody)")}
+    routes, legs = chain.compare_chains(network["g"], spark.createDataFrame([(0, 1, 2)], "query_id int, origin bigint, destination bigint"))
     assert routes.count() == 1 and legs.where("kind = 'ride'").count() == 2
 
 
+def test_steps_name_routes(spark):
+    from transit_spark.functions.text import chain_step, chain_step_matches
+
+    names = spark.createDataFrame([("8 Limited Express", "City Bus"), ("8", "x"), ("80", "x"), ("m1", "x"), ("M1", "x"), (None, "x"), ("", "x")], "name string, agency string")
+    flag = lambda step: [r[0] for r in names.select(F.coalesce(chain_step_matches(F.col("name"), F.col("agency"), step), F.lit(False))).collect()]
+    assert flag("8 Limited") == [True, False, False, False, False, False, False] and flag("8") == [True, True, False, False, False, False, False]
+    assert flag("M1") == [False, False, False, False, True, False, False] and flag("city:8") == [True, False, False, False, False, False, False]
+    tokens = spark.createDataFrame([("8",), ("NJ T:8",), ("a:b:c",)], "t string")
+    assert [tuple(r[0]) for r in tokens.select(chain_step(F.col("t"), F.lit("dflt"))).collect()] == [("dflt", "8"), ("NJ T", "8"), ("a:b", "c")]
+
+
+def test_nearest_each(spark):
+    """Near, far and lonely points, ties, and keys that the other side lacks, against brute force."""
+    import random
+
+    rng = random.Random(2)
+    place = lambda k, i, spread, off: (k, i, 40 + off + rng.uniform(0, spread), -75 + rng.uniform(0, spread))
+    a = [place(k, i, 0.5, 0) for k in (1, 2) for i in range(60)] + [(1, 900, 43.0, -79.0), (3, 901, 40.0, -75.0), (2, 902, 40.0, -75.0)]
+    b = [place(1, i, 0.5, 0) for i in range(1000, 1060)] + [place(2, i, 0.02, 3) for i in range(1000, 1300)] + [(2, 2000, 43.01, -75.0), (2, 1999, 43.01, -75.0)]
+    frame = lambda rows: spark.createDataFrame(rows, "k int, node bigint, lat double, lon double")
+    found = {(r.k, r.node): (r.near, r.dist) for r in walks.nearest_each(frame(a), frame(b), ["k"]).collect()}
+    placed = {r: (r.x, r.y) for rows in (a, b) for r in walks._plane(frame(rows), "k").collect()}
+    left, right = ([(r.k, r.node, *xy) for r, xy in placed.items() if (r.node >= 1000) == far] for far in (False, True))
+    want = {}
+    for k, node, x, y in left:
+        near = sorted((((x - u) ** 2 + (y - w) ** 2) ** 0.5, n) for j, n, u, w in right if j == k)
+        if near:
+            want[k, node] = near[0]
+    assert set(found) == set(want)
+    for key, (dist, node) in want.items():
+        assert found[key][1] == pytest.approx(dist) and (found[key][0] == node or found[key][1] == pytest.approx(dist))
+
+
 def test_serving_options_of_the_priced_class(spark):
     """Two patterns serve a leg; with miles only the one of the leg's class does."""
     stops = spark.createDataFrame([(p, i, n, True, True) for p in (1, 2) for i, n in ((1, 10), (2, 20))], "pattern_id int, pos int, node bigint, board boolean, alight boolean")

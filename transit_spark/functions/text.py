@@ -91,8 +91,21 @@ def fmt_dur(seconds: Column) -> Column:
     return F.when(hours > 0, F.format_string("%dh%02dm", hours, minutes)).otherwise(F.format_string("%dm", minutes))
 
 
+def chain_step(token: Column, default_agency: Column) -> Column:
+    """``ROUTE`` or ``AGENCY:ROUTE`` as struct(agency, route): all before the last colon searches agencies; without one the default does."""
+    at = F.instr(F.reverse(token), ":")
+    agency = F.when(at > 0, F.substring(token, F.lit(1), F.length(token) - at)).otherwise(default_agency)
+    return F.struct(agency.alias("agency"), F.when(at > 0, F.right(token, at - 1)).otherwise(token).alias("route"))
+
+
+def named_by(route_name: Column) -> Column:
+    """All names by which a step may call a route: the whole name, and its beginnings up to a blank; the case counts."""
+    ends = F.filter(F.sequence(F.lit(1), F.greatest(F.length(route_name), F.lit(1))), lambda i: (i == F.length(route_name)) | F.substring(route_name, i + 1, F.lit(1)).rlike(r"\s"))
+    return F.coalesce(F.array_distinct(F.transform(ends, lambda i: F.substring(route_name, F.lit(1), i))), F.array().cast("array<string>"))
+
+
 def chain_step_matches(route_name: Column, agency: Column, step: str) -> Column:
-    """``ROUTE`` or ``AGENCY:ROUTE``: the route is the name or its first word, and the agency regex matches where there is one."""
+    """Whether ``ROUTE`` or ``AGENCY:ROUTE`` names a route: its name is ROUTE or begins with it and a blank, and the agency regex is found, whatever its case, where there is one."""
     head, _, route = step.rpartition(":")
-    named = (F.lower(route_name) == route.lower()) | (F.lower(F.split(route_name, r"\s+")[0]) == route.lower())
+    named = F.array_contains(named_by(route_name), route)
     return named & F.coalesce(agency, F.lit("")).rlike(f"(?i){head}") if head else named

@@ -1,91 +1,128 @@
-"""Given chains of routes: the least-cost way to ride them in order."""
+"""Given chains of routes: the least-cost way to ride each in its order, for many chains in one job."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from transit_spark.checkpoint import cut
 from transit_spark.config import ROAD_MILE_NO_FREEWAY, Period, Prices, Walking
 from transit_spark.functions.cost import ride_cost, walk_cost, walk_seconds
-from transit_spark.functions.text import chain_step_matches
+from transit_spark.functions.geo import distance, project
+from transit_spark.functions.text import named_by
 from transit_spark.operators.frequency import pool_edges, stop_pairs
-from transit_spark.operators.search import ROUNDS, Network, best_routes
-from transit_spark.operators.walks import _plane, attach_places, pairs_within
+from transit_spark.operators.search import ROUNDS, Network, _States, best_routes
+from transit_spark.operators.walks import _plane, pairs_within
 
+#: Steps of the states before the first route and after the last one.
+START, END = -1, 1 << 20
 
-def chain_transfers(stops: DataFrame, nodes: DataFrame, step: int, radius: float) -> DataFrame:
-    """u, v, dist from stops (step, node) of one step to those of the next within ``radius``; the same stop is at 0."""
-    plane = _plane(nodes)
-    side = lambda k, name: plane.join(stops.where(F.col("step") == k).select("node"), "node", "left_semi").withColumnRenamed("node", name)
-    return pairs_within(side(step, "u"), side(step + 1, "v"), radius).select("u", "v", "dist")
 
+def chain_transfers(stops: DataFrame, nodes: DataFrame, radius: float, *keys: str) -> DataFrame:
+    """keys, step, u, v, dist from stops (keys, step, node) of one step to those of the next within ``radius``; the same stop is at 0."""
+    placed = stops.join(_plane(nodes), "node")
+    left = placed.withColumnRenamed("node", "u")
+    right = placed.withColumnRenamed("node", "v").withColumn("step", F.col("step") - 1)
+    return pairs_within(left, right, radius, *keys, "step").select(*keys, "step", "u", "v", "dist")
 
-LEG = "struct<kind:string,u:bigint,v:bigint,time:double,freq:double,dist:double,miles:array<double>>"
 
+def matched_patterns(patterns: DataFrame, steps: DataFrame) -> DataFrame:
+    """chain_id, step, pattern_id of the patterns (pattern_id, route_name, agency) that a step (chain_id, step, route, agency) names: the route's name is the
+    step's or begins with it and a blank, and the agency, where the step has one, is found in the pattern's whatever its case.
+    Names are joined by their beginnings, so that no step meets all patterns."""
+    names = patterns.select("pattern_id", F.col("agency").alias("_agency"), F.explode(named_by(F.col("route_name"))).alias("route"))
+    both = steps.select("chain_id", "step", "route", "agency").join(names, "route")
+    return both.where(F.col("agency").isNull() | F.expr("_agency rlike concat('(?i)', agency)")).select("chain_id", "step", "pattern_id").distinct()
 
-def _leg(kind: str, u: str, v: str, time: Column, freq: Column | None = None, dist: Column | None = None, miles: Column | None = None) -> Column:
-    none = F.lit(None)
-    parts = F.struct(F.lit(kind).alias("kind"), F.col(u).alias("u"), F.col(v).alias("v"), time.alias("time"), (none if freq is None else freq).cast("double").alias("freq"), (none if dist is None else dist).cast("double").alias("dist"), (none if miles is None else miles).cast("array<double>").alias("miles"))
-    return parts.cast(LEG)
 
+def _state(step: Column, node: Column) -> Column:
+    return F.struct(step.cast("int").alias("step"), node.cast("bigint").alias("node"))
 
-def _least(states: DataFrame) -> DataFrame:
-    """The cheapest state (node, label, legs) of each node, of equal ones that with fewer legs."""
-    return states.groupBy("node").agg(F.min(F.struct("label", F.size("legs").alias("n"), "legs")).alias("s")).select("node", "s.label", "s.legs")
 
+def _walks(df: DataFrame, a: Column, b: Column, prices: Prices, walking: Walking) -> DataFrame:
+    """Edges on foot of ``df`` (chain_id, u, v, dist) from state ``a`` to state ``b``."""
+    time = walk_seconds(F.col("dist"), walking)
+    paid = F.greatest(walk_cost(time, F.col("dist"), F.lit(0.0), prices), F.lit(1.0))
+    return df.select("chain_id", a.alias("a"), b.alias("b"), paid.alias("cost"), F.lit("walk").alias("kind"), "u", "v", time.alias("time"), F.lit(None).cast("double").alias("freq"), "dist", F.lit(None).cast("array<double>").alias("miles"))
 
-def _walked(states: DataFrame, links: DataFrame, prices: Prices) -> DataFrame:
-    """States after a walk (u, v, time, dist)."""
-    both = states.join(links, F.col("node") == F.col("u"))
-    paid = F.greatest(walk_cost(F.col("time"), F.col("dist"), F.lit(0.0), prices), F.lit(1.0))
-    return both.select(F.col("v").alias("node"), (F.col("label") + paid).alias("label"), F.concat("legs", F.array(_leg("walk", "u", "v", F.col("time"), dist=F.col("dist")))).alias("legs"))
 
+def evaluate_chains(patterns: DataFrame, pattern_stops: DataFrame, freq: DataFrame, profile: DataFrame, miles: DataFrame, nodes: DataFrame, steps: DataFrame, places: DataFrame,
+                    prices: Prices = Prices(), transfer_walk: float = 800.0, access_walk: float = 800.0, period: Period = Period(), walking: Walking = Walking()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ends: chain_id, cost, bottleneck, rides; legs: chain_id, leg_no, kind, u, v, time, freq, dist, miles; problems: chain_id, problem) of the least-cost way
+    to ride the routes of each chain in order, between its places (chain_id, role: origin or destination, lat, lon).
 
-def evaluate_chain(patterns: DataFrame, pattern_stops: DataFrame, freq: DataFrame, profile: DataFrame, miles: DataFrame, nodes: DataFrame, steps: list[str], places: DataFrame, prices: Prices = Prices(), transfer_walk: float = 800.0, period: Period = Period(), walking: Walking = Walking()) -> tuple[DataFrame, list[str]]:
-    """(ends: node, cost, bottleneck, rides, legs; problems) of the least-cost way from the origin to the destination of ``places`` (node, lat,
-    lon, role) that rides the named routes in order, each none, once or more. ``miles`` has as many classes as ``prices.mile``.
-    Transfers are walks of ``transfer_walk`` metres at most; legs lists (kind, u, v, time, freq, dist, miles) in order."""
-    problems, layers = [], []
+    ``steps``: chain_id, step from 0, route, agency (a pattern to search for, or null). ``miles`` (pattern_id, pos, miles) has as many classes as
+    ``prices.mile``. The network of all chains is one product graph: a state is a step and a node, rides of a step's route lead to states
+    of the same step, walks of ``transfer_walk`` metres at most to the next one. A step may be ridden none, once or more times.
+    States keep where they came from, so a way's length doesn't matter. A chain with problems has no end.
+    """
     classes = len(prices.mile)
-    for k, name in enumerate(steps):
-        own = patterns.where(chain_step_matches(F.col("route_name"), F.col("agency"), name)).select("pattern_id")
-        if own.isEmpty():
-            problems.append(f"no route {name}")
-            continue
-        stops = pattern_stops.join(own, "pattern_id", "left_semi")
-        edges = pool_edges(stop_pairs(stops, freq, profile, miles), classes).withColumn("miles", F.array(*[f"miles_{i}" for i in range(classes)]))
-        rides = edges.withColumn("cost", F.greatest(ride_cost(F.col("time"), F.col("freq"), [F.col("miles")[i] for i in range(classes)], None, prices, period), F.lit(1.0)))
-        rides = cut(rides.groupBy("u", "v").agg(F.min_by(F.struct("cost", "time", "freq", "miles"), F.struct("cost", -F.col("freq"))).alias("r")).select("u", "v", "r.*"))
-        layers.append((rides, stops.select("node").distinct().withColumn("step", F.lit(k))))
-    access = attach_places(nodes, places, walking)
-    origin = places.where("role = 'origin'").select("node", F.lit(0.0).alias("label"), F.array().cast(f"array<{LEG}>").alias("legs"))
-    ends = lambda df: df.select("node", F.col("label").alias("cost"), F.array_min(F.transform("legs", lambda x: x["freq"])).alias("bottleneck"), F.size(F.filter("legs", lambda x: x["kind"] == "ride")).alias("rides"), "legs")
-    if problems:
-        return ends(origin.where("false")), problems
-    state = _walked(origin, access, prices)
-    for k, (rides, stops) in enumerate(layers):
-        best = front = cut(_least(state.join(stops.select("node"), "node", "left_semi")))
-        for _ in range(ROUNDS):
-            rode = front.join(rides, F.col("node") == F.col("u"))
-            ride = _leg("ride", "u", "v", F.col("time"), F.bround("freq", 2), miles=F.col("miles"))
-            new = _least(rode.select(F.col("v").alias("node"), (F.col("label") + F.col("cost")).alias("label"), F.concat("legs", F.array(ride)).alias("legs")))
-            front = cut(new.join(best.select("node", F.col("label").alias("old")), "node", "left").where("old is null or label < old - 1e-9").drop("old"))
-            if front.isEmpty():
-                break
-            best = cut(_least(best.unionByName(front)))
-        else:
-            raise RuntimeError("evaluate_chain: not settled")
-        state = best
-        if k + 1 < len(layers):
-            links = chain_transfers(stops.unionByName(layers[k + 1][1].withColumn("step", F.lit(k + 1))), nodes, k, transfer_walk)
-            state = _walked(best, links.withColumn("time", walk_seconds(F.col("dist"), walking)), prices)
-    goal = places.where("role = 'destination'").select(F.col("node").alias("v"))
-    out = cut(ends(_least(_walked(state, access.join(goal, "v", "left_semi"), prices))))
-    return out, ["the routes don't connect"] if out.isEmpty() else []
-
-
-def compare_chain(g: Network, origin: int, destination: int, max_walk: float = 800.0) -> tuple[DataFrame, DataFrame]:
-    """(routes, legs) of the way between the same places, at any frequency, with the fewest miles of the least local class: what a given chain is compared with."""
-    asked = g.rides.sparkSession.createDataFrame([(0, origin, destination, 0.0)], "query_id int, origin bigint, destination bigint, threshold double")
-    return best_routes(g, asked, Prices(mile=ROAD_MILE_NO_FREEWAY), max_walk)
+    steps = cut(steps.select("chain_id", "step", "route", "agency"))
+    own = cut(matched_patterns(patterns, steps))
+    used = pattern_stops.join(own.select("pattern_id").distinct(), "pattern_id", "left_semi")
+    pairs = cut(stop_pairs(used, freq, profile, miles, "pattern_id"))
+    serving = own.join(pairs.select("pattern_id").distinct(), "pattern_id", "left_semi")
+    stops = cut(serving.join(pattern_stops.select("pattern_id", "node"), "pattern_id").select("chain_id", "step", "node").distinct())
+    pooled = pool_edges(own.join(pairs, "pattern_id"), classes, ("chain_id", "step"))
+    pooled = pooled.withColumns({"freq": F.bround("freq", 2), "miles": F.array(*[F.col(f"miles_{k}") for k in range(classes)])}).where("freq > 0")
+    cost = ride_cost(F.col("time"), F.col("freq"), [F.col("miles")[k] for k in range(classes)], None, prices, period)
+    rides = pooled.select("chain_id", _state(F.col("step"), F.col("u")).alias("a"), _state(F.col("step"), F.col("v")).alias("b"), cost.alias("cost"), F.lit("ride").alias("kind"), "u", "v", "time", "freq", F.lit(None).cast("double").alias("dist"), "miles")
+    links = _walks(chain_transfers(stops, nodes, transfer_walk, "chain_id"), _state(F.col("step"), F.col("u")), _state(F.col("step") + 1, F.col("v")), prices, walking)
+    last = steps.groupBy("chain_id").agg(F.max("step").alias("last"))
+    at = project(F.col("lat"), F.col("lon"))
+    placed = places.select("chain_id", "role", at[0].alias("px"), at[1].alias("py")).join(last, "chain_id").withColumn("step", F.when(F.col("role") == "origin", 0).otherwise(F.col("last")))
+    near = stops.join(placed, ["chain_id", "step"]).join(_plane(nodes), "node").withColumn("dist", distance(F.col("x"), F.col("y"), F.col("px"), F.col("py"))).where(F.col("dist") <= access_walk)
+    near = cut(near.select("chain_id", "role", "step", F.col("node").alias("u"), F.col("node").alias("v"), "dist"))
+    here, zero = _state(F.col("step"), F.col("u")), F.lit(0)
+    ends = _walks(near.where("role = 'origin'"), _state(F.lit(START), zero), here, prices, walking).unionByName(_walks(near.where("role = 'destination'"), here, _state(F.lit(END), zero), prices, walking))
+    edges = rides.unionByName(links).unionByName(ends)
+    edges = edges.groupBy("chain_id", "a", "b").agg(F.min_by(F.struct("kind", "u", "v", "time", "freq", "dist", "miles"), F.struct("cost", -F.col("freq"))).alias("leg"), F.min("cost").alias("cost"))
+
+    missing = steps.join(stops.select("chain_id", "step").distinct(), ["chain_id", "step"], "left_anti")
+    problems = missing.select("chain_id", F.concat(F.lit("no service found for route "), "route", F.coalesce(F.concat(F.lit(" ("), "agency", F.lit(")")), F.lit(""))).alias("problem"))
+    whole = last.join(missing.select("chain_id").distinct(), "chain_id", "left_anti")
+    sides = whole.join(F.broadcast(steps.sparkSession.createDataFrame([(0, "origin", "start"), (1, "destination", "end")], "n int, role string, side string")))
+    far = sides.join(near.select("chain_id", "role").distinct(), ["chain_id", "role"], "left_anti").withColumn("step", F.when(F.col("n") == 0, 0).otherwise(F.col("last"))).join(steps, ["chain_id", "step"])
+    far = far.groupBy("chain_id").agg(F.min_by(F.struct("route", "side"), "n").alias("f")).select("chain_id", F.concat(F.lit("no stop of route "), "f.route", F.lit(f" within {access_walk:.0f} m of the "), "f.side").alias("problem"))
+    problems = cut(problems.unionByName(far))
+    edges = cut(edges.join(problems.select("chain_id").distinct(), "chain_id", "left_anti"))
+
+    start = whole.join(problems.select("chain_id").distinct(), "chain_id", "left_anti")
+    best = cut(_settled(start, edges))
+    end = best.where(F.col("node.step") == END)
+    lost = start.join(end.select("chain_id"), "chain_id", "left_anti").select("chain_id", F.lit("the routes do not connect in this order within the transfer walk limit").alias("problem"))
+    at, hops, back = end.select("chain_id", "node"), [], 0
+    while True:
+        hop = cut(at.join(best, ["chain_id", "node"]).where(F.col("from").isNotNull()).select("chain_id", F.lit(back).alias("back"), F.col("from").alias("a"), F.col("node").alias("b")))
+        hops.append(hop)
+        if hop.isEmpty():
+            break
+        at, back = hop.select("chain_id", F.col("a").alias("node")), back + 1
+    place = F.row_number().over(W.partitionBy("chain_id").orderBy(F.desc("back")))
+    legs = cut(reduce(DataFrame.unionByName, hops).join(edges, ["chain_id", "a", "b"]).select("chain_id", place.alias("leg_no"), "leg.*"))
+    ridden = legs.where("kind = 'ride'").groupBy("chain_id").agg(F.min("freq").alias("bottleneck"), F.count("*").alias("rides"))
+    out = end.select("chain_id", F.col("label").alias("cost")).join(ridden, "chain_id", "left").withColumn("rides", F.coalesce("rides", F.lit(0)))
+    return out, legs, problems.unionByName(lost)
+
+
+def _settled(chains: DataFrame, edges: DataFrame) -> DataFrame:
+    """chain_id, node (a state), label, from: the least cost of every state from its chain's start."""
+    begin = _state(F.lit(START), F.lit(0))
+    front = cut(chains.select(F.col("chain_id").alias("query_id"), begin.alias("node"), F.lit(0).alias("layer"), F.lit(0.0).alias("label"), F.lit(None).cast(edges.schema["a"].dataType).alias("from")))
+    states, out = _States(front, high=False), edges.select(F.col("chain_id").alias("query_id"), F.col("a").alias("node"), "b", "cost")
+    for _ in range(ROUNDS):
+        new = front.join(out, ["query_id", "node"]).groupBy("query_id", F.col("b").alias("_b")).agg(F.min(F.struct((F.col("label") + F.col("cost")).alias("label"), F.col("node").alias("from"))).alias("s"))
+        front = cut(states.fresh(new.select("query_id", F.col("_b").alias("node"), F.lit(0).alias("layer"), "s.label", "s.from")))
+        if front.isEmpty():
+            return states.all().groupBy(F.col("query_id").alias("chain_id"), "node").agg(F.min(F.struct("label", "from")).alias("s")).select("chain_id", "node", "s.label", "s.from")
+        states.add(front)
+    raise RuntimeError("evaluate_chains: not settled")
+
+
+def compare_chains(g: Network, pairs: DataFrame, max_walk: float = 800.0) -> tuple[DataFrame, DataFrame]:
+    """(routes, legs) of the way between the places of each of ``pairs`` (query_id, origin, destination), at any frequency, with the fewest miles of the
+    least local class: what a given chain is compared with."""
+    return best_routes(g, pairs.withColumn("threshold", F.lit(0.0)), Prices(mile=ROAD_MILE_NO_FREEWAY), max_walk)

@@ -55,14 +55,14 @@ def merge_stops(stops: DataFrame, feed_rank: DataFrame) -> tuple[DataFrame, Data
     return nodes, rows.select("feed_id", "stop_id", "node").distinct()
 
 
-def stop_pairs(pattern_stops: DataFrame, freq: DataFrame, profile: DataFrame, miles: DataFrame) -> DataFrame:
-    """u, v, freq, time, miles of all i < j of a pattern where i boards, j alights and i has departures. ``miles``
+def stop_pairs(pattern_stops: DataFrame, freq: DataFrame, profile: DataFrame, miles: DataFrame, *keys: str) -> DataFrame:
+    """u, v, freq, time, miles, and ``keys`` (pattern_id or none), of all i < j of a pattern where i boards, j alights and i has departures. ``miles``
     (pattern_id, pos, miles array) is cumulative. Stops without departures go before the join, which is on the pattern."""
     rows = pattern_stops.join(profile, ["pattern_id", "pos"]).join(miles.select("pattern_id", "pos", "miles"), ["pattern_id", "pos"])
     left = rows.where("board").join(freq.where("freq > 0"), ["pattern_id", "pos"]).select("pattern_id", F.col("pos").alias("i"), F.col("node").alias("u"), "freq", "dep_med", F.col("miles").alias("m0"))
     right = rows.where("alight").select("pattern_id", F.col("pos").alias("j"), F.col("node").alias("v"), "arr_med", F.col("miles").alias("m1"))
     out = left.join(right, "pattern_id").where("i < j and u <> v")
-    return out.select("u", "v", "freq", F.greatest(F.col("arr_med") - F.col("dep_med"), F.lit(30.0)).cast("double").alias("time"), F.zip_with("m1", "m0", lambda a, b: a - b).alias("miles"))
+    return out.select(*keys, "u", "v", "freq", F.greatest(F.col("arr_med") - F.col("dep_med"), F.lit(30.0)).cast("double").alias("time"), F.zip_with("m1", "m0", lambda a, b: a - b).alias("miles"))
 
 
 def dominant_class(miles: Column) -> Column:
@@ -70,8 +70,8 @@ def dominant_class(miles: Column) -> Column:
     return (F.array_position(miles, F.array_max(miles)) - 1).cast("int")
 
 
-def pool_edges(pairs: DataFrame, classes: int = 3) -> DataFrame:
-    """u, v, cls, freq, time, miles_0, ...: parallel rides of one dominant class pooled, times and miles weighted by frequency."""
+def pool_edges(pairs: DataFrame, classes: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, u, v, cls, freq, time, miles_0, ...: parallel rides of one dominant class pooled, times and miles weighted by frequency."""
     weighted = lambda c: F.sum(c * F.col("freq")) / F.sum("freq")
     own = pairs.withColumn("cls", dominant_class(F.col("miles")))
-    return own.groupBy("u", "v", "cls").agg(F.sum("freq").alias("freq"), weighted(F.col("time")).alias("time"), *[weighted(F.col("miles")[k]).alias(f"miles_{k}") for k in range(classes)])
+    return own.groupBy(*keys, "u", "v", "cls").agg(F.sum("freq").alias("freq"), weighted(F.col("time")).alias("time"), *[weighted(F.col("miles")[k]).alias(f"miles_{k}") for k in range(classes)])

@@ -33,7 +33,7 @@ def distinct_routes(s: SparkSession, d: str) -> DataFrame:
     kind = F.ascii("l_returnflag")
     legs = v.table(s, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("leg_no"), F.col("l_linenumber").alias("u"), kind.alias("v"))
     routes = v.table(s, d, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_custkey").alias("rank"))
-    return search.distinct_routes(routes, legs, F.struct("rank", "query_id"))
+    return search.distinct_routes(routes, legs, ["query_id"], F.struct("rank", "query_id"))
 
 
 def fastest_connections(s: SparkSession, d: str) -> DataFrame:
@@ -77,22 +77,29 @@ def chain_links(s: SparkSession, d: str) -> DataFrame:
     """Transfers from customers of one segment, as stops of the first route, to those of another."""
     step = F.when(F.col("c_mktsegment") == "BUILDING", 0).when(F.col("c_mktsegment") == "MACHINERY", 1).otherwise(2)
     stops = v.table(s, d, "customer").select(step.alias("step"), F.col("c_custkey").alias("node"))
-    return chain.chain_transfers(stops, v.nodes(s, d), 0, 2000.0).select("u", "v", F.round("dist", 4).alias("dist"))
+    return chain.chain_transfers(stops, v.nodes(s, d), 2000.0).where("step = 0").select("u", "v", F.round("dist", 4).alias("dist"))
 
 
 def chain_steps(s: SparkSession, d: str) -> DataFrame:
     """Which customers' routes a step of a chain names."""
     name = F.concat((F.col("c_custkey") % 30).cast("string"), F.when(F.col("c_custkey") % 2 == 0, " Limited").otherwise(""))
     flag = lambda step: chain_step_matches(name, F.col("c_mktsegment"), step)
-    return v.table(s, d, "customer").select("c_custkey", flag("7").alias("short"), flag("8 limited").alias("whole"), flag("build:8").alias("agency"))
+    return v.table(s, d, "customer").select("c_custkey", flag("7").alias("short"), flag("8 Limited").alias("whole"), flag("build:8").alias("agency"))
 
 
 def feed_gaps(s: SparkSession, d: str) -> DataFrame:
-    """Pairs of feeds whose nodes come closest between what is reached from one supplier by frequent rides and what reaches another."""
-    rides = v.rides(s, d).where("freq >= 50").withColumns({"dist": F.lit(None).cast("double"), "zone_id": F.lit(None).cast("bigint")})
-    nodes = v.table(s, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("feed_id"), (40 + F.col("s_suppkey") * 7919 % 5000 / 10000).alias("lat"), (-75 + F.col("s_suppkey") * 104729 % 5000 / 10000).alias("lon"))
-    out = search.gap_report(search.Network(rides, v.walks(s, d)), nodes, 1, 2, 800.0)
-    return out.select("from_node", "to_node", "feed_a", "feed_b", F.round("dist", 2).alias("dist"))
+    """Where the way from a customer of each nation to one of the next breaks: customers ride within their nation only; feeds are nine in number."""
+    c = v.table(s, d, "customer")
+    own = W.partitionBy("c_nationkey")
+    placed = c.select("c_nationkey", F.col("c_custkey").alias("node"), (F.row_number().over(own.orderBy("c_custkey")) - 1).alias("i"), F.count("*").over(own).alias("n"))
+    next_ = placed.withColumn("j", F.explode(F.array(F.col("i") * 2 % F.col("n"), (F.col("i") * 2 + 1) % F.col("n"))))
+    rides = next_.join(placed.select("c_nationkey", F.col("i").alias("j"), F.col("node").alias("v")), ["c_nationkey", "j"]).select(F.col("node").alias("u"), "v", F.lit(1.0).alias("freq"))
+    rides = rides.withColumns({"time": F.lit(60.0), "miles": F.array(F.lit(0.0)), "dist": F.lit(None).cast("double"), "zone_id": F.lit(None).cast("bigint")})
+    nodes = v.nodes(s, d).withColumn("feed_id", F.col("node") % 9)
+    first = placed.groupBy("c_nationkey").agg(F.min("node").alias("node"))
+    asked = first.select(F.col("c_nationkey").alias("query_id"), F.col("node").alias("origin"), ((F.col("c_nationkey") + 1) % 25).alias("next")).join(first.select(F.col("c_nationkey").alias("next"), F.col("node").alias("destination")), "next").drop("next")
+    out = search.gap_report(search.Network(rides, v.walks(s, d).where("false")), nodes, asked, 800.0)
+    return out.select("query_id", "from_node", "to_node", "feed_a", "feed_b", F.round("dist", 2).alias("dist"))
 
 
 QUERIES = {f.__name__: f for f in (route_feeds, distinct_routes, fastest_connections, itinerary_steps, described_legs, density_miles, serving_trips, chain_links, chain_steps, feed_gaps)}
@@ -122,12 +129,14 @@ b AS (SELECT a.node AS route_id, a.id, a.pos AS i, b.pos AS j, row_number() OVER
 SELECT route_id, id AS pattern_id, id % 80000 + i * 300 AS dep, id % 80000 + j * 300 - 20 AS arr FROM b WHERE n = 1""",
     "chain_links": f"""WITH {STOPS}, {PLANE}, s AS (SELECT plane.*, c_mktsegment AS seg FROM plane JOIN customer ON c_custkey = node),
 p AS (SELECT a.node AS u, b.node AS v, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist FROM s a JOIN s b ON a.seg = 'BUILDING' AND b.seg = 'MACHINERY') SELECT u, v, round(dist, 4) AS dist FROM p WHERE dist <= 2000""",
-    "chain_steps": "SELECT c_custkey, c_custkey % 30 = 7 AS short, c_custkey % 30 = 8 AS whole, c_custkey % 30 = 8 AND c_mktsegment ILIKE '%build%' AS agency FROM customer",
-    "feed_gaps": f"""WITH RECURSIVE {EDGES.replace("FROM lineitem WHERE", "FROM lineitem WHERE l_quantity >= 50 AND")}, fore AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS layer
-UNION SELECT e.v, CASE WHEN e.dist IS NULL THEN 0 ELSE CAST(ceil((layer * 400 + e.dist) / 400.0) AS INTEGER) END FROM fore JOIN edges e ON e.u = node WHERE e.dist IS NULL OR layer * 400 + e.dist <= 800),
-back AS (SELECT CAST(2 AS BIGINT) AS node, 0 AS layer UNION SELECT e.u, CASE WHEN e.dist IS NULL THEN 0 ELSE CAST(ceil((layer * 400 + e.dist) / 400.0) AS INTEGER) END FROM back JOIN edges e ON e.v = node WHERE e.dist IS NULL OR layer * 400 + e.dist <= 800),
-plane AS (SELECT s_suppkey AS node, s_nationkey AS f, radians(CAST(-75 + (s_suppkey * 104729 % 5000) / 10000.0 AS DOUBLE)) * {X!r} AS x, radians(CAST(40 + (s_suppkey * 7919 % 5000) / 10000.0 AS DOUBLE)) * 6371000.0 AS y FROM supplier),
-p AS (SELECT a.node AS from_node, b.node AS to_node, a.f AS feed_a, b.f AS feed_b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist FROM plane a, plane b WHERE a.node IN (SELECT node FROM fore) AND b.node IN (SELECT node FROM back)),
-k AS (SELECT *, row_number() OVER (PARTITION BY feed_a, feed_b ORDER BY dist, from_node, to_node) AS n FROM p)
-SELECT from_node, to_node, feed_a, feed_b, round(dist, 2) AS dist FROM k WHERE n = 1 ORDER BY k.dist, feed_a, feed_b LIMIT 8""",
+    "chain_steps": "SELECT c_custkey, c_custkey % 30 = 7 AS short, c_custkey % 30 = 8 AND c_custkey % 2 = 0 AS whole, c_custkey % 30 = 8 AND c_mktsegment ILIKE '%build%' AS agency FROM customer",
+    "feed_gaps": f"""WITH RECURSIVE {STOPS}, {PLANE}, p AS (SELECT c_nationkey AS k, c_custkey AS node, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY c_nationkey) AS n, min(c_custkey) OVER (PARTITION BY c_nationkey) AS first FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)),
+e AS (SELECT a.node AS u, b.node AS v FROM p a JOIN p b ON a.k = b.k AND (b.i = a.i * 2 % a.n OR b.i = (a.i * 2 + 1) % a.n)),
+q AS (SELECT DISTINCT a.k, a.first AS o, b.first AS d FROM p a JOIN p b ON b.k = (a.k + 1) % 25),
+fore AS (SELECT k, o AS node FROM q UNION SELECT k, v FROM fore JOIN e ON u = node),
+back AS (SELECT k, d AS node FROM q UNION SELECT k, u FROM back JOIN e ON v = node),
+m AS (SELECT k, a.node AS from_node, b.node AS to_node, a.node % 9 AS feed_a, b.node % 9 AS feed_b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist FROM fore JOIN plane a ON a.node = fore.node JOIN back USING (k) JOIN plane b ON b.node = back.node
+  QUALIFY row_number() OVER (PARTITION BY k, a.node ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.node) = 1),
+c AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY k, feed_a, feed_b ORDER BY dist, from_node, to_node) = 1)
+SELECT k AS query_id, from_node, to_node, feed_a, feed_b, round(dist, 2) AS dist FROM c QUALIFY row_number() OVER (PARTITION BY k ORDER BY c.dist, feed_a, feed_b) <= 8""",
 }

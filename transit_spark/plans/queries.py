@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from transit_spark.config import LOCAL, Prices
 from transit_spark.functions import cost as fc
 from transit_spark.functions import geo, text
 from transit_spark.functions import roads as fr
-from transit_spark.operators import calendar, catalog, flex, frequency, locality, replay, report, roads, search, timetable
+from transit_spark.operators import calendar, catalog, chain, flex, frequency, locality, replay, report, roads, search, timetable
 from transit_spark.operators import walks as wk
 from transit_spark.plans import views as v
 
@@ -240,6 +241,51 @@ def best_routes(s: SparkSession, d: str) -> DataFrame:
     return search.best_routes(network(s, d), asked)[0].select("query_id", F.round("cost", 2).alias("cost"), "bottleneck")
 
 
+def required_walks(s: SparkSession, d: str) -> DataFrame:
+    """The walking limit that every nation's pair of places needs in a network of which two links of three are walks."""
+    key = F.col("s_suppkey")
+    t = v.table(s, d, "supplier")
+    n = t.count()
+    link = t.select(key.alias("u"), (key % n + 1).alias("v"), F.when(key % 3 == 1, key * 37 % 300 + 50 + key / 7).otherwise(key * 37 % 900 + 50 + key / 7).alias("dist"), (key % 3 == 0).alias("ride"))
+    none = {"miles": F.array(F.lit(0.0)), "zone_id": F.lit(None).cast("bigint")}
+    rides = link.where("ride").select("u", "v", F.lit(4.0).alias("freq"), F.lit(60.0).alias("time"), F.lit(None).cast("double").alias("dist")).withColumns(none)
+    g = search.Network(rides, link.where("not ride").select("u", "v", (F.col("dist") * 1.04).alias("time"), "dist"))
+    origin = F.col("n_nationkey") * 7 % n + 1
+    asked = v.table(s, d, "nation").select(F.col("n_nationkey").alias("query_id"), origin.alias("origin"), ((origin + 6) % n + 1).alias("destination"))
+    return search.required_walk(g, asked).select("query_id", F.round("max_walk", 6).alias("max_walk"))
+
+
+def recommended_routes(s: SparkSession, d: str) -> DataFrame:
+    """The recommended, most local and cheaper routes of every nation's pair of suppliers."""
+    n = v.table(s, d, "supplier").count()
+    key = F.col("n_nationkey")
+    pairs = v.table(s, d, "nation").select(key.alias("query_id"), (key % n + 1).cast("bigint").alias("origin"), (key * 31 % n + 1).cast("bigint").alias("destination")).where("origin <> destination")
+    routes, _ = search.recommend(network(s, d), pairs, Prices(), LOCAL)
+    return routes.select("query_id", "place", "label", F.round("cost", 2).alias("cost"), "bottleneck", "max_walk")
+
+
+def evaluated_chains(s: SparkSession, d: str) -> DataFrame:
+    """Chains of two routes for every nation, over orders as patterns of the routes of their customers."""
+    li, t = v.table(s, d, "lineitem"), v.table(s, d, "supplier")
+    n = t.count()
+    at = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    stops = li.select(F.col("l_orderkey").alias("pattern_id"), at.alias("pos"), F.col("l_suppkey").alias("node"), (F.col("l_linenumber") % 5 != 4).alias("board"), (F.col("l_linenumber") % 3 != 2).alias("alight"), "l_partkey")
+    name = F.concat((F.col("o_custkey") % 30).cast("string"), F.when(F.col("o_custkey") % 2 == 0, " Limited").otherwise(""))
+    patterns = v.table(s, d, "orders").select(F.col("o_orderkey").alias("pattern_id"), name.alias("route_name"), F.col("o_orderpriority").alias("agency"))
+    freq = stops.select("pattern_id", "pos", (F.col("l_partkey") % 16 + 1).cast("double").alias("freq"))
+    profile = stops.select("pattern_id", "pos", (F.col("pos") * 300.0).alias("dep_med"), (F.col("pos") * 300.0 - 20).alias("arr_med"))
+    miles = stops.select("pattern_id", "pos", F.array(F.col("pos") * 1.5, F.lit(0.0), F.col("pos") * 0.5).alias("miles"))
+    lat, lon = 40 + F.col("s_suppkey") * 7919 % 5000 / 10000, -75 + F.col("s_suppkey") * 104729 % 5000 / 10000
+    nodes = t.select(F.col("s_suppkey").alias("node"), lat.alias("lat"), lon.alias("lon"))
+    key = F.col("n_nationkey")
+    chains = v.table(s, d, "nation").select(key.alias("chain_id"), F.posexplode(F.array((key % 30).cast("string"), F.concat((key * 7 % 60).cast("string"), F.lit(" Limited")))).alias("step", "route"))
+    steps = chains.withColumn("agency", F.when((F.col("chain_id") % 4 == 0) & (F.col("step") == 0), "urgent|high"))
+    ends = v.table(s, d, "nation").select(key.alias("chain_id"), F.explode(F.array(F.struct(F.lit("origin").alias("role"), (key % n + 1).alias("node")), F.struct(F.lit("destination").alias("role"), (key * 31 % n + 1).alias("node")))).alias("e")).select("chain_id", "e.*")
+    out, _, problems = chain.evaluate_chains(patterns, stops.drop("l_partkey"), freq, profile, miles, nodes, steps, ends.join(nodes, "node"))
+    rows = out.select("chain_id", F.round("cost", 2).alias("cost"), F.lit(None).cast("string").alias("problem"))
+    return rows.unionByName(problems.select("chain_id", F.lit(None).cast("double").alias("cost"), "problem"))
+
+
 def pareto_profile(s: SparkSession, d: str) -> DataFrame:
     rows = v.table(s, d, "lineitem").select(F.col("l_suppkey").alias("route_id"), (F.col("l_orderkey") % 86400).alias("dep"), (F.col("l_orderkey") % 86400 + F.col("l_partkey") * 13 % 5000).alias("arr")).distinct()
     return replay.pareto_connections(rows, ["route_id"])
@@ -342,6 +388,6 @@ QUERIES = {f.__name__: f for f in (
     effective_frequency_users, effective_frequency_types, interpolated_times, services_on_dates, calendar_ranges, service_dates, compiled_patterns, running_profiles,
     merged_nodes, pooled_edges, mirrored_patterns, stop_density, near_walks, gap_walks, place_access, scalar_functions, page_addresses, opening_hours, planar_distances,
     corridor_feeds, way_lanes, imputed_lanes, resampled_shapes, matched_roads, aligned_stops, classified_patterns, smoothed_classes, united_windows, zone_stops, zone_boundaries, zone_rides,
-    reachable_suppliers, widest_paths, best_routes, pareto_profile, profile_totals, route_totals, next_trips, replayed_profile, leg_statistics, selected_feeds,
+    reachable_suppliers, widest_paths, best_routes, required_walks, recommended_routes, evaluated_chains, pareto_profile, profile_totals, route_totals, next_trips, replayed_profile, leg_statistics, selected_feeds,
     duplicate_feeds, atlas_matches, pruned_frontier, ride_costs, first_agencies, frequency_copies,
 )}
