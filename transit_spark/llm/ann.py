@@ -16,8 +16,8 @@ from transit_spark.llm.scratch import keep
 PARTITION, MOST_PARTITIONS, LEARN = 1600, 128, 128
 #: Neighbours of a vector in the graph, rounds of power iteration, swap rounds and passes of training.
 NEIGHBOURS, POWER, SWAPS, EPOCHS = 10, 60, 8, 60
-#: Vectors and queries of a group that one task compares.
-BLOCK, QUERIES = 4096, 4096
+#: Groups of partitions, and vectors and queries of a group that one task compares; a query returns k rows from each group, not from each partition.
+SHARDS, BLOCK, QUERIES = 8, 65_536, 1024
 #: Queries by which the routed probability is chosen, and as many others by which the recall is measured.
 AUDIT = 192
 #: Probabilities that a query's partitions may have to sum to; the last one takes all partitions.
@@ -151,22 +151,30 @@ def _listed(own: object, keys: list[list], at: np.ndarray, score: np.ndarray, k:
 
 
 def _compared(groups: DataFrame, kind: str, k: int) -> DataFrame:
-    """query, key, score: the k best rows of each group for each of its queries."""
+    """query, key, score: the k best rows of each group for each of its queries, from the partitions that it goes to."""
 
     def run(table: pa.Table) -> pa.Table:
         x, asked = _matrix(table.column("x"), table.num_rows), table.column("asked").to_numpy(zero_copy_only=False)
-        keys = table.column("keys").to_pylist()
+        keys, parts = table.column("keys").to_pylist(), table.column("parts").to_pylist()
         mine, rows = np.flatnonzero(asked), np.flatnonzero(~asked)
-        names = [keys[i] for i in rows]
-        out: list[tuple] = []
-        if len(rows):
-            for i, at, score in best_rows(x[mine], x[rows], k + 1):
-                own = keys[mine[i]][0]
-                out += [(own, key, s) for s, key in _listed(own, names, at, score, k)]
+        of = np.array([parts[i][0] for i in rows], dtype=np.int64)
+        goes: dict[int, list[int]] = {}
+        for i in mine.tolist():
+            for part in parts[i]:
+                goes.setdefault(part, []).append(i)
+        held: dict[int, list[tuple]] = {}
+        for part, own in goes.items():
+            near = rows[of == part]
+            names = [keys[j] for j in near]
+            if names:
+                for i, at, score in best_rows(x[own], x[near], k + 1):
+                    found = held.get(own[i], []) + _listed(keys[own[i]][0], names, at, score, k)
+                    held[own[i]] = sorted(found, key=lambda r: (-r[0], r[1]))[:k]
+        out = [(keys[i][0], key, s) for i, found in held.items() for s, key in found]
         named = table.column("keys").type.value_type
         return pa.table({"query": pa.array([r[0] for r in out], named), "key": pa.array([r[1] for r in out], named), "score": pa.array([r[2] for r in out], pa.float64())})
 
-    return groups.groupBy("dim", "part", "block", "chunk").applyInArrow(run, f"query {kind}, key {kind}, score double")
+    return groups.groupBy("dim", "shard", "block", "chunk").applyInArrow(run, f"query {kind}, key {kind}, score double")
 
 
 class Router:
@@ -269,10 +277,13 @@ def nearest(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: st
     router = Router(learn(np.array(sample, dtype=float), parts) if sample else np.zeros((dim + 1, 1)), dim)
     nodes = keep(_assigned(nodes, router, None).select("x", "keys", "dim", F.col("parts")[0].alias("part")))
     mass, recall = _calibrated(nodes, drawn(asked, "audit", 2 * AUDIT, asked.count()), router, kind, k, least, never_under)
-    routed = _assigned(asked, router, mass).select(F.array("key").alias("keys"), "x", "dim", F.explode("parts").alias("part"))
-    size = lambda df, most, name: df.groupBy("dim", "part").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
-    sizes = F.broadcast(size(nodes, BLOCK, "blocks").join(size(routed, QUERIES, "chunks"), ["dim", "part"]))  # one row a partition
-    spread = lambda df, salt, own, other, asked: df.join(sizes, ["dim", "part"]).select("dim", "part", "keys", "x", F.pmod(F.xxhash64(F.lit(salt), "keys"), F.col(own + "s")).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other + "s") - 1)).alias(other), F.lit(asked).alias("asked"))
+    shard = lambda c: F.pmod(c, F.lit(SHARDS))
+    routed = _assigned(asked, router, mass).select(F.array("key").alias("keys"), "x", "dim", "parts", F.explode(F.array_distinct(F.transform("parts", shard))).alias("shard"))
+    routed = routed.withColumn("parts", F.filter("parts", lambda p: shard(p) == F.col("shard")))
+    nodes = nodes.select("keys", "x", "dim", F.array("part").alias("parts"), shard(F.col("part")).alias("shard"))
+    size = lambda df, most, name: df.groupBy("dim", "shard").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    sizes = F.broadcast(size(nodes, BLOCK, "blocks").join(size(routed, QUERIES, "chunks"), ["dim", "shard"]))  # SHARDS rows a length of vectors
+    spread = lambda df, salt, own, other, asked: df.join(sizes, ["dim", "shard"]).select("dim", "shard", "keys", "x", "parts", F.pmod(F.xxhash64(F.lit(salt), "keys"), F.col(own + "s")).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other + "s") - 1)).alias(other), F.lit(asked).alias("asked"))
     groups = spread(nodes, "block", "block", "chunk", False).unionByName(spread(routed, "chunk", "chunk", "block", True))
     place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "key"))
     found = _compared(groups, kind, k).withColumn("rank", place).where(F.col("rank") <= k)
