@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from transit_spark.config import CORRIDOR, USABLE_STATUSES
+from transit_spark.config import CORRIDOR, EXCLUDED_FEED_NAMES, EXCLUDED_PROVIDERS, USABLE_STATUSES
 from transit_spark.functions.geo import bbox_near_polyline, distance_to_polyline_m
 from transit_spark.functions.text import norm_name, norm_url
 
 
-def select_feeds(catalog: DataFrame, today: str, spine: Sequence[tuple[float, float]] = CORRIDOR, buffer_km: float = 60.0, providers: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
+def select_feeds(catalog: DataFrame, today: str, spine: Sequence[tuple[float, float]] = CORRIDOR, buffer_km: float = 60.0, providers: Sequence[str] = EXCLUDED_PROVIDERS, names: Sequence[str] = EXCLUDED_FEED_NAMES) -> DataFrame:
     """``catalog`` (feed_id, provider, feed_name, status, url, service_end, bbox struct<south,west,north,east>, ...) with stale and
     reason, the first test that a feed fails; null where it is kept. ``providers`` and ``names`` are patterns of providers and of
     feed names that are left out. A feed without a complete box is not tested by place; one without a status is not usable."""
@@ -22,9 +22,9 @@ def select_feeds(catalog: DataFrame, today: str, spine: Sequence[tuple[float, fl
     near = bbox_near_polyline(box["south"], box["west"], box["north"], box["east"], spine, buffer_km * 1000)
     status = F.coalesce("status", F.lit(""))
     out = F.when(~status.isin(*USABLE_STATUSES), F.concat(F.lit("status "), status))
-    for column, patterns in (("provider", providers), ("feed_name", names)):
+    for column, patterns, said in (("provider", providers, "provider excluded (not fixed-fare local bus)"), ("feed_name", names, "feed name excluded (rail/ferry/flex)")):
         if patterns:
-            out = out.when(F.coalesce(column, F.lit("")).rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), "excluded by name")
+            out = out.when(F.coalesce(column, F.lit("")).rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), said)
     out = out.when(F.coalesce("url", F.lit("")) == "", "no hosted dataset").when(whole & ~near, "outside the corridor")
     stale = F.to_date(F.substring("service_end", 1, 10)) < F.to_date(F.lit(today))
     return catalog.withColumns({"stale": F.coalesce(stale, F.lit(False)), "reason": out})
@@ -37,7 +37,7 @@ def dedup_catalog(feeds: DataFrame) -> DataFrame:
     return feeds.withColumn("_live", live).withColumn("reason", F.when((F.col("status") == "inactive") & F.col("_live").isNotNull(), F.concat(F.lit("inactive duplicate of "), F.col("_live").cast("string")))).drop("_live")
 
 
-def load_filter(manifest: DataFrame, date: str, exclude_feed: list[str] | None = None, max_stale_days: int | None = None, providers: list[str] | None = None) -> DataFrame:
+def load_filter(manifest: DataFrame, date: str, exclude_feed: list[str] | None = None, max_stale_days: int | None = None, providers: Sequence[str] = EXCLUDED_PROVIDERS) -> DataFrame:
     """Feeds with a path, not excluded by id or by provider (except those from the atlas), and not over ``max_stale_days`` past their end."""
     out = manifest.where(F.coalesce("path", F.lit("")) != "")
     if exclude_feed:
@@ -67,17 +67,18 @@ def exclude_agencies(feeds: DataFrame, patterns: DataFrame, regexes: list[str])
 
 
 def flatten_atlas(records: DataFrame) -> DataFrame:
-    """onestop_id, url, historic, operators of atlas files (feeds, operators): names of operators that name the feed, else of
-    those written below it, else of the only operator of the file."""
+    """onestop_id, url, historic, operators of atlas files (feeds, operators): names of the operators written below a feed and of those of its
+    file that name it, each once; where there is none that of the only operator of the file."""
     rows = records.withColumn("_file", F.monotonically_increasing_id())
     feeds = rows.select("_file", F.explode("feeds").alias("f")).where("f.spec = 'gtfs'")
     feeds = feeds.select("_file", F.col("f.id").alias("onestop_id"), F.col("f.urls.static_current").alias("url"), F.coalesce("f.urls.static_historic", F.array().cast("array<string>")).alias("historic"), F.col("f.operators.name").alias("own"))
     listed = rows.select("_file", F.explode("operators").alias("o")).select("_file", F.col("o.name").alias("name"), "o.associated_feeds")
-    named = listed.select("name", F.explode("associated_feeds").alias("a")).groupBy(F.col("a.feed_onestop_id").alias("onestop_id")).agg(F.array_sort(F.collect_set("name")).alias("named"))
-    only = listed.groupBy("_file").agg(F.count("*").alias("n"), F.first("name").alias("name")).where("n = 1").select("_file", F.array("name").alias("only"))
-    out = feeds.join(named, "onestop_id", "left").join(only, "_file", "left")
-    given = F.when(F.size(F.coalesce("own", F.array().cast("array<string>"))) > 0, F.col("own"))
-    return out.select("onestop_id", "url", "historic", F.coalesce("named", given, "only", F.array().cast("array<string>")).alias("operators"))
+    named = listed.select("_file", F.coalesce("name", F.lit("")).alias("name"), F.explode("associated_feeds").alias("a")).groupBy("_file", F.col("a.feed_onestop_id").alias("onestop_id")).agg(F.array_sort(F.collect_set("name")).alias("named"))
+    only = listed.groupBy("_file").agg(F.count("*").alias("n"), F.first("name").alias("name")).where("n = 1 and name <> ''").select("_file", F.array("name").alias("only"))
+    out = feeds.join(named, ["_file", "onestop_id"], "left").join(only, "_file", "left")
+    none = F.array().cast("array<string>")
+    both = F.array_distinct(F.concat(F.filter(F.coalesce("own", none), lambda n: n != ""), F.coalesce("named", none)))
+    return out.select("onestop_id", "url", "historic", F.when(F.size(both) > 0, both).otherwise(F.coalesce("only", none)).alias("operators"))
 
 
 def match_atlas(catalog: DataFrame, atlas: DataFrame) -> DataFrame:
@@ -100,12 +101,12 @@ def feed_bbox(stops: DataFrame) -> DataFrame:
 
 def pick_fresh(stale: DataFrame, candidates: DataFrame, today: str, pad: float = 0.3) -> DataFrame:
     """Of ``candidates`` (feed_id, order, url, label, by_url, service_start, service_end, bbox) the first that reaches today and
-    overlaps the box of the ``stale`` feed (feed_id, bbox); an unknown old box needs a match by address."""
+    overlaps the box of the ``stale`` feed (feed_id, bbox); an unknown old box needs a match by address, a copy whose box is unknown passes."""
     old = stale.select("feed_id", F.col("bbox").alias("old"))
     both = candidates.join(old, "feed_id")
     o, b = F.col("old"), F.col("bbox")
     apart = (b["south"] > o["north"] + pad) | (b["north"] < o["south"] - pad) | (b["west"] > o["east"] + pad) | (b["east"] < o["west"] - pad)
-    fits = F.when(o.isNull() | o["south"].isNull(), F.col("by_url")).otherwise(F.coalesce(~apart, F.lit(False)))
+    fits = F.when(o.isNull() | o["south"].isNull(), F.col("by_url")).otherwise(F.coalesce(~apart, F.lit(True)))
     ok = both.where((F.to_date("service_end") >= F.to_date(F.lit(today))) & fits)
     return ok.groupBy("feed_id").agg(F.min_by(F.struct("url", "label", "service_start", "service_end"), "order").alias("c")).select("feed_id", "c.*")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from transit_spark.checkpoint import cut
 from transit_spark.config import PARATRANSIT, OnDemand, Period, Walking
 from transit_spark.functions.cost import walk_seconds
 from transit_spark.functions.geo import distance, nearest_on_segment, project
@@ -50,18 +51,39 @@ def _near_box(nodes: DataFrame, segments: DataFrame, margin: float) -> DataFrame
     return own.join(dealt, ["cx", "cy"]).where((F.col("x") >= F.col("west") - margin) & (F.col("x") <= F.col("east") + margin) & (F.col("y") >= F.col("south") - margin) & (F.col("y") <= F.col("north") + margin)).select("zone_id", "node", "x", "y")
 
 
+#: Height of a row of the grid in which sides of zones meet nodes, in metres.
+ROW = 500.0
+
+
+def _by_row(sides: DataFrame, low: str, high: str, margin: float = 0.0) -> DataFrame:
+    """``sides`` once for every row of the grid that [low - margin, high + margin] touches."""
+    return sides.withColumn("row", F.explode(F.sequence(F.floor((F.col(low) - margin) / ROW), F.floor((F.col(high) + margin) / ROW))))
+
+
 def zone_members(nodes: DataFrame, zones: DataFrame) -> DataFrame:
-    """zone_id, node of nodes inside a zone: an odd number of sides of its rings crosses the ray to the east."""
+    """zone_id, node of nodes inside a zone: an odd number of sides of its rings crosses the ray to the east. A node meets only
+    the sides that touch its row of the grid, however many a zone has."""
     segments = zone_segments(zones)
-    sides = _near_box(nodes, segments, 0.0).join(segments, "zone_id")
+    sides = _by_row(segments.withColumns({"low": F.least("y0", "y1"), "high": F.greatest("y0", "y1")}).where("low < high"), "low", "high")
+    near = _near_box(nodes, segments, 0.0).withColumn("row", F.floor(F.col("y") / ROW)).join(sides, ["zone_id", "row"])
     crosses = ((F.col("y0") > F.col("y")) != (F.col("y1") > F.col("y"))) & (F.col("x") < (F.col("x1") - F.col("x0")) * (F.col("y") - F.col("y0")) / (F.col("y1") - F.col("y0")) + F.col("x0"))
-    return sides.groupBy("zone_id", "node").agg(F.sum(F.when(crosses, 1).otherwise(0)).alias("n")).where("n % 2 = 1").select("zone_id", "node")
+    return near.groupBy("zone_id", "node").agg(F.sum(F.when(crosses, 1).otherwise(0)).alias("n")).where("n % 2 = 1").select("zone_id", "node")
 
 
 def nearest_boundary(nodes: DataFrame, zones: DataFrame, radius: float = 2500.0) -> DataFrame:
-    """zone_id, node, dist, qx, qy: the point of a zone's boundary nearest to each node outside it, within ``radius``."""
+    """zone_id, node, dist, qx, qy: the point of a zone's boundary nearest to each node outside it, within ``radius``. A node meets the sides
+    in the cells of a grid of that side around its own."""
     segments = zone_segments(zones)
-    near = _near_box(nodes, segments, radius).join(zone_members(nodes, zones), ["zone_id", "node"], "left_anti").join(segments, "zone_id")
+    outside = _near_box(nodes, segments, radius).join(zone_members(nodes, zones), ["zone_id", "node"], "left_anti")
+    cell = lambda c: F.floor(c / radius)
+    across = lambda a, b: F.explode(F.sequence(cell(F.least(a, b)) - 1, cell(F.greatest(a, b)) + 1))
+    # Of a long side only the cells along it: its part within a column of cells spans few rows.
+    sides = segments.withColumn("cx", across("x0", "x1"))
+    slope = (F.col("y1") - F.col("y0")) / F.when(F.col("x1") != F.col("x0"), F.col("x1") - F.col("x0"))
+    at = lambda x: F.greatest(F.least("y0", "y1"), F.least(F.greatest("y0", "y1"), F.col("y0") + (x - F.col("x0")) * slope))
+    ends = [F.when(slope.isNull(), F.col(y)).otherwise(at((F.col("cx") + k) * radius)) for k, y in ((-1, "y0"), (2, "y1"))]  # least and greatest pass over nulls
+    sides = sides.withColumn("cy", F.explode(F.sequence(cell(F.least(*ends)) - 1, cell(F.greatest(*ends)) + 1)))
+    near = outside.withColumns({"cx": cell(F.col("x")), "cy": cell(F.col("y"))}).join(sides, ["zone_id", "cx", "cy"])
     qx, qy = nearest_on_segment(*(F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")))
     near = near.withColumns({"qx": qx, "qy": qy}).withColumn("dist", distance(F.col("x"), F.col("y"), F.col("qx"), F.col("qy")))
     best = near.where(F.col("dist") <= radius).groupBy("zone_id", "node").agg(F.min(F.struct("dist", "qx", "qy")).alias("q"))
@@ -78,8 +100,10 @@ def flex_frequency(zones: DataFrame, day: str, demand: OnDemand = OnDemand(), pe
 def flex_edges(nodes: DataFrame, zones: DataFrame, day: str, demand: OnDemand = OnDemand(), walking: Walking = Walking(), period: Period = Period(), most_points: int = 700) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rides, walks, new nodes): rides between every two access points of an open zone that runs, which are the nodes inside
     and an edge point for each 250 m of boundary near outside nodes; walks between those nodes and the edge points. Of a
-    zone with over ``most_points`` access points those nearest to their centroid are joined, as the job defines it."""
-    zones = open_zones(zones)
+    zone with over ``most_points`` access points those nearest to their centroid are joined, as the job defines it. A zone
+    that doesn't run on the day has no rides, walks or points."""
+    running = cut(flex_frequency(zones, day, demand, period).where("freq > 0"))
+    zones = cut(open_zones(zones).join(running.select("zone_id"), "zone_id", "left_semi"))
     x, y = project(F.col("lat"), F.col("lon"))
     plane = nodes.select("node", x.alias("x"), y.alias("y"))
     inside = zone_members(nodes, zones).join(plane, "node").select("zone_id", "node", "x", "y")
@@ -93,7 +117,6 @@ def flex_edges(nodes: DataFrame, zones: DataFrame, day: str, demand: OnDemand =
     whole = W.partitionBy("zone_id")
     access = access.withColumn("_d", distance(F.col("x"), F.col("y"), F.avg("x").over(whole), F.avg("y").over(whole)))
     access = access.withColumn("_n", F.row_number().over(whole.orderBy("_d", "node"))).where(F.col("_n") <= most_points).drop("_d", "_n")
-    running = flex_frequency(zones, day, demand, period).where("freq > 0")
     a, b = (access.select("zone_id", F.col("node").alias(n), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}")) for n in ("u", "v"))
     rides = a.join(running, "zone_id").join(b, "zone_id").where("u <> v").withColumn("dist", distance(F.col("xu"), F.col("yu"), F.col("xv"), F.col("yv")))
     rides = rides.select("u", "v", "freq", F.greatest(F.col("dist") * demand.detour / demand.pace, F.lit(60.0)).alias("time"), "dist", "zone_id")
@@ -109,11 +132,15 @@ def zones_from_layer(features: DataFrame, keep_types: list[str], type_field: str
 
 
 def gtfs_flex_zones(stop_times: DataFrame, trips: DataFrame, routes: DataFrame, locations: DataFrame, date: str) -> DataFrame:
-    """S4 columns of the zones in which trips of the date pick up: stop_times with a location, its polygon, and the united windows."""
-    rows = stop_times.where(F.coalesce("location_id", F.lit("")) != "").select("feed_id", F.trim("trip_id").alias("trip_id"), F.trim("location_id").alias("location_id"), parse_gtfs_time(F.col("start_pickup_drop_off_window")).alias("start"), parse_gtfs_time(F.col("end_pickup_drop_off_window")).alias("end"))
-    rows = rows.where("start is not null and end is not null and end > start").join(trips.select("feed_id", "trip_id", "route_id"), ["feed_id", "trip_id"]).join(routes.select("feed_id", "route_id", "route_name", "agency"), ["feed_id", "route_id"])
+    """S4 columns of the zones in which trips of the date pick up: stop_times (with a row_no) at a location, its polygon, and the united windows, those that end before
+    they begin too. A zone has the names of the route (route_short_name, else route_long_name, else the location's id; agency) of its first row, and its feed as source."""
+    rows = stop_times.where(F.coalesce("location_id", F.lit("")) != "").select("feed_id", "row_no", F.trim("trip_id").alias("trip_id"), F.trim("location_id").alias("location_id"), parse_gtfs_time(F.col("start_pickup_drop_off_window")).alias("start"), parse_gtfs_time(F.col("end_pickup_drop_off_window")).alias("end"))
+    rows = rows.where("start is not null and end is not null").join(trips.select("feed_id", "trip_id", "route_id"), ["feed_id", "trip_id"]).join(routes.select("feed_id", "route_id", "route_short_name", "route_long_name", "agency"), ["feed_id", "route_id"])
     windows = union_windows(rows.select("feed_id", "location_id", "start", "end", F.lit(None).cast("int").alias("headway")), ["feed_id", "location_id"])
     listed = windows.groupBy("feed_id", "location_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "headway"))).alias("windows"))
-    named = rows.groupBy("feed_id", "location_id").agg(F.min(F.struct("route_name", "agency")).alias("r"))
+    given = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
+    name = F.trim(F.coalesce(given("route_short_name"), given("route_long_name"), F.col("location_id")))
+    named = rows.groupBy("feed_id", "location_id").agg(F.min_by(F.struct(name.alias("name"), "agency"), "row_no").alias("r"))
     service = F.map_from_entries(F.array(F.struct(F.weekday(F.to_date(F.lit(date))), F.col("windows"))))
-    return locations.join(listed, ["feed_id", "location_id"]).join(named, ["feed_id", "location_id"]).select(F.concat_ws(":", "feed_id", "location_id").alias("zone_id"), F.col("r.route_name").alias("name"), "r.agency", "rings", service.alias("service"), F.concat(F.lit("gtfs-flex "), F.col("feed_id")).alias("source"), F.lit(None).cast("string").alias("info_url"))
+    feed = F.col("feed_id").cast("string")
+    return locations.join(listed, ["feed_id", "location_id"]).join(named, ["feed_id", "location_id"]).select(F.concat_ws("-", feed, "location_id").alias("zone_id"), "r.name", "r.agency", "rings", service.alias("service"), feed.alias("source"), F.lit(None).cast("string").alias("info_url"))

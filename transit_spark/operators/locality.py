@@ -10,13 +10,14 @@ from transit_spark.functions.geo import MILE, distance, project
 
 
 def stop_density_class(hops: DataFrame, keys: list[str], window_mi: float = 1.0) -> DataFrame:
-    """``hops`` (keys, pos, miles) and cls: stops a mile among the hops whose middles are within half of ``window_mi``; 0 from four, 1 from two, else 2."""
+    """``hops`` (keys, pos, miles) and cls: stops a mile among the hops whose middles are within half of ``window_mi``; 0 from four, 1 from two, else 2.
+    For the density, not in the miles, a hop is a thousandth of a mile at least."""
     by = ", ".join(keys)
-    rows = hops.withColumn("miles", F.greatest(F.col("miles"), F.lit(0.001)))
-    rows = rows.withColumn("_mid", F.sum("miles").over(W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)) - F.col("miles") / 2)
+    rows = hops.withColumn("_hop", F.greatest(F.col("miles"), F.lit(0.001)))
+    rows = rows.withColumn("_mid", F.sum("_hop").over(W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)) - F.col("_hop") / 2)
     frame = f"over (partition by {by} order by _mid range between {window_mi / 2}D preceding and {window_mi / 2}D following)"
-    rows = rows.withColumn("_density", F.expr(f"count(*) {frame} / sum(miles) {frame}"))
-    return rows.withColumn("cls", F.when(F.col("_density") >= 4, 0).when(F.col("_density") >= 2, 1).otherwise(2)).drop("_mid", "_density")
+    rows = rows.withColumn("_density", F.expr(f"count(*) {frame} / sum(_hop) {frame}"))
+    return rows.withColumn("cls", F.when(F.col("_density") >= 4, 0).when(F.col("_density") >= 2, 1).otherwise(2)).drop("_hop", "_mid", "_density")
 
 
 def stop_density_miles(pattern_stops: DataFrame, nodes: DataFrame, window_mi: float = 1.0) -> DataFrame:

@@ -32,13 +32,13 @@ def profile_summary(profile: DataFrame) -> DataFrame:
 
 def ride_stats(options: DataFrame, patterns: DataFrame, p: Period = Period()) -> DataFrame:
     """Per leg of ``options`` (route_id, leg_no, pattern_id, dep): distinct departures in the window and all day, first, last, headway, and the four
-    services with most departures, later names first among equals. ``patterns``: pattern_id, agency, route_name."""
+    services with most departures in the window, later names first among equals; services without one aren't listed. ``patterns``: pattern_id, agency, route_name."""
     keys = ["route_id", "leg_no"]
     inside = F.col("dep").between(p.start, p.end - 1)
     out = options.groupBy(*keys).agg(F.countDistinct(F.when(inside, F.col("dep"))).alias("in_window"), F.countDistinct("dep").alias("all_day"), F.min("dep").alias("first"), F.max("dep").alias("last"))
     freq = effective_frequency(options.select(*keys, "dep").distinct(), keys, "dep", p.start, p.end)
     out = out.join(freq.select(*keys, F.when(F.col("freq") > 0, p.seconds / F.col("freq")).alias("headway")), keys)
-    named = options.join(patterns.select("pattern_id", "agency", "route_name"), "pattern_id").groupBy(*keys, "agency", "route_name").agg(F.count("*").alias("n"))
+    named = options.where(inside).join(patterns.select("pattern_id", "agency", "route_name"), "pattern_id").groupBy(*keys, "agency", "route_name").agg(F.count("*").alias("n"))
     place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("n"), F.desc("agency"), F.desc("route_name")))
     top = named.withColumn("place", place).where("place <= 4").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "agency", "route_name", "n"))).alias("services"))
     return out.join(top, keys, "left")
@@ -53,8 +53,10 @@ def describe_legs(legs: DataFrame, nodes: DataFrame, stats: DataFrame) -> DataFr
 
 
 def route_feeds(legs: DataFrame, options: DataFrame, patterns: DataFrame, zones: DataFrame, manifest: DataFrame) -> DataFrame:
-    """route_id, feed_id, note of the feeds whose trips or zones serve a route; note where the feed's calendar is over."""
+    """route_id, feed_id, note of the feeds whose trips serve a route, and of those feeds of the manifest that are the source of its zones; note where the
+    feed's calendar is over."""
+    known = manifest.select("feed_id").distinct()
     ridden = options.select("route_id", "pattern_id").distinct().join(patterns.select("pattern_id", "feed_id"), "pattern_id").select("route_id", "feed_id")
-    taken = legs.where("kind = 'flex'").select("route_id", "zone_id").join(zones.select("zone_id", F.nullif(F.regexp_extract("source", "^gtfs-flex (.*)$", 1), F.lit("")).alias("feed_id")), "zone_id").where("feed_id is not null").select("route_id", "feed_id")
+    taken = legs.where("kind = 'flex'").select("route_id", "zone_id").join(zones.select("zone_id", F.col("source").alias("feed_id")), "zone_id").select("route_id", "feed_id").join(known, "feed_id", "left_semi").select("route_id", "feed_id")
     note = F.when(F.col("stale"), F.concat(F.lit("calendar ended "), F.substring("service_end", 1, 10)))
     return ridden.unionByName(taken).distinct().join(manifest.select("feed_id", note.alias("note")), "feed_id", "left")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from transit_spark.checkpoint import cut
-from transit_spark.config import BUS_ROUTE_TYPES
+from transit_spark.config import BUS_ROUTE_TYPES, EXCLUDED_AGENCIES
 from transit_spark.functions.text import parse_gtfs_time, route_display_name
 
 
@@ -17,22 +19,22 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return df.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
-def exclude_by_pattern(df: DataFrame, column: str, patterns: list[str]) -> DataFrame:
+def exclude_by_pattern(df: DataFrame, column: str, patterns: Sequence[str]) -> DataFrame:
     """Rows whose column matches none of the regexes, in whatever case; null matches none."""
     if not patterns:
         return df
     return df.where(~F.coalesce(F.col(column), F.lit("")).rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)))
 
 
-def bus_routes(routes: DataFrame, agency: DataFrame, feeds: DataFrame, route_types: tuple[int, ...] = BUS_ROUTE_TYPES, exclude: list[str] | None = None) -> DataFrame:
-    """feed_id, route_id, route_name, agency of bus routes; ``feeds`` (feed_id, provider) names the agency where no table does."""
-    kept = routes.where(F.expr("try_cast(trim(route_type) as int)").isin(*route_types))
+def bus_routes(routes: DataFrame, agency: DataFrame, feeds: DataFrame, route_types: tuple[int, ...] = BUS_ROUTE_TYPES, exclude: Sequence[str] = EXCLUDED_AGENCIES) -> DataFrame:
+    """feed_id, route_id, route_name, agency, route_short_name, route_long_name of bus routes whose agency no pattern of ``exclude`` finds; ``feeds`` (feed_id, provider) names the agency where no table does."""
+    kept = routes.where(F.expr("try_cast(trim(route_type) as double)").isin(*[float(t) for t in route_types]))
     kept = first_per_key(kept, ["feed_id", "route_id"], ["row_no"])
     named = first_per_key(agency, ["feed_id", "agency_id"], ["row_no"]).select("feed_id", "agency_id", F.nullif(F.trim("agency_name"), F.lit("")).alias("own"))
     first = agency.groupBy("feed_id").agg(F.min_by(F.nullif(F.trim("agency_name"), F.lit("")), "row_no").alias("first"))
     out = kept.join(named, ["feed_id", "agency_id"], "left").join(first, "feed_id", "left").join(feeds.select("feed_id", "provider"), "feed_id", "left")
-    out = out.select("feed_id", "route_id", route_display_name(F.col("route_short_name"), F.col("route_long_name"), F.col("route_id")).alias("route_name"), F.coalesce("own", "first", "provider").alias("agency"))
-    return exclude_by_pattern(out, "agency", exclude or [])
+    out = out.select("feed_id", "route_id", route_display_name(F.col("route_short_name"), F.col("route_long_name"), F.col("route_id")).alias("route_name"), F.coalesce("own", "first", "provider").alias("agency"), "route_short_name", "route_long_name")
+    return exclude_by_pattern(out, "agency", exclude)
 
 
 def valid_stops(stops: DataFrame, stop_times: DataFrame) -> DataFrame:
@@ -63,10 +65,10 @@ def fill_times(df: DataFrame, keys: list[str]) -> DataFrame:
 def clean_stop_times(stop_times: DataFrame, trips: DataFrame, stops: DataFrame) -> DataFrame:
     """feed_id, trip_id, pos, stop_id, board, alight, arr, dep of the trips' usable rows, in order from 1."""
     rows = stop_times.select(
-        "feed_id", "row_no", F.trim("trip_id").alias("trip_id"), F.trim("stop_id").alias("stop_id"), F.expr("try_cast(trim(stop_sequence) as int)").alias("seq"),
+        "feed_id", "row_no", F.trim("trip_id").alias("trip_id"), F.trim("stop_id").alias("stop_id"), F.expr("try_cast(trim(stop_sequence) as double)").alias("seq"),
         (F.trim(F.coalesce("pickup_type", F.lit(""))) != "1").alias("board"), (F.trim(F.coalesce("drop_off_type", F.lit(""))) != "1").alias("alight"),
         parse_gtfs_time(F.col("arrival_time")).alias("arr"), parse_gtfs_time(F.col("departure_time")).alias("dep"),
-    ).where("stop_id <> '' and seq is not null")
+    ).where("stop_id <> '' and seq is not null and not isnan(seq)")
     rows = rows.join(trips.select("feed_id", "trip_id").distinct(), ["feed_id", "trip_id"], "left_semi").join(stops.select("feed_id", "stop_id"), ["feed_id", "stop_id"], "left_semi")
     rows = rows.withColumn("pos", F.row_number().over(W.partitionBy("feed_id", "trip_id").orderBy("seq", "row_no")))
     return fill_times(rows.select("feed_id", "trip_id", "pos", "stop_id", "board", "alight", "arr", "dep"), ["feed_id", "trip_id"])
@@ -74,12 +76,12 @@ def clean_stop_times(stop_times: DataFrame, trips: DataFrame, stops: DataFrame)
 
 def expand_frequencies(stop_times: DataFrame, frequencies: DataFrame) -> DataFrame:
     """``stop_times`` and copy_no: a trip with frequencies becomes a copy every headway in [start, end), and loses its own time."""
-    times = frequencies.select("feed_id", F.trim("trip_id").alias("trip_id"), parse_gtfs_time(F.col("start_time")).alias("f0"), parse_gtfs_time(F.col("end_time")).alias("f1"), F.expr("try_cast(trim(headway_secs) as int)").alias("h"))
-    times = times.where("f0 is not null and f1 is not null and h > 0")
-    starts = times.where("f1 > f0").withColumn("t0", F.explode(F.expr("sequence(f0, f1 - 1, h)"))).select("feed_id", "trip_id", "t0").distinct()
+    times = frequencies.select("feed_id", F.trim("trip_id").alias("trip_id"), parse_gtfs_time(F.col("start_time")).alias("f0"), parse_gtfs_time(F.col("end_time")).alias("f1"), F.expr("try_cast(trim(headway_secs) as double)").alias("h"))
+    times = times.where("f0 is not null and f1 is not null and h > 0 and not isnan(h)")
+    starts = times.where("f1 > f0").withColumn("t0", F.explode(F.expr("transform(sequence(0, cast(ceil((f1 - f0) / h) as int) - 1), i -> f0 + i * h)"))).select("feed_id", "trip_id", "t0").distinct()
     starts = starts.withColumn("copy_no", F.row_number().over(W.partitionBy("feed_id", "trip_id").orderBy("t0")))
     own = stop_times.withColumn("_dep0", F.first("dep").over(W.partitionBy("feed_id", "trip_id").orderBy("pos")))
-    listed = own.join(starts, ["feed_id", "trip_id"]).withColumns({c: (F.col(c) + F.col("t0") - F.col("_dep0")).cast("int") for c in ("arr", "dep")}).drop("t0", "_dep0")
+    listed = own.join(starts, ["feed_id", "trip_id"]).withColumns({c: F.rint(F.col(c) + F.col("t0") - F.col("_dep0")).cast("int") for c in ("arr", "dep")}).drop("t0", "_dep0")
     plain = own.join(times.select("feed_id", "trip_id").distinct(), ["feed_id", "trip_id"], "left_anti").drop("_dep0").withColumn("copy_no", F.lit(0))
     return plain.unionByName(listed)
 

@@ -71,7 +71,7 @@ def fresh_copies(s: SparkSession, d: str) -> DataFrame:
     """For each customer's stale feed the first of its orders' copies that is current and lies in the same area."""
     key, order = F.col("c_custkey"), F.col("o_orderkey")
     stale = v.table(s, d, "customer").select(key.alias("feed_id"), F.when(key % 6 != 0, _box(39.5 + key % 20 / 10, -76 + key % 30 / 10)).alias("bbox"))
-    copies = v.table(s, d, "orders").select(F.col("o_custkey").alias("feed_id"), order.alias("order"), F.concat(F.lit("u"), order.cast("string")).alias("url"), F.col("o_orderpriority").alias("label"), (order % 2 == 0).alias("by_url"), F.lit("1990-01-01").alias("service_start"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("service_end"), _box(39.5 + order % 20 / 10, -76 + order % 30 / 10).alias("bbox"))
+    copies = v.table(s, d, "orders").select(F.col("o_custkey").alias("feed_id"), order.alias("order"), F.concat(F.lit("u"), order.cast("string")).alias("url"), F.col("o_orderpriority").alias("label"), (order % 2 == 0).alias("by_url"), F.lit("1990-01-01").alias("service_start"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("service_end"), F.when(order % 11 != 0, _box(39.5 + order % 20 / 10, -76 + order % 30 / 10)).alias("bbox"))
     return catalog.pick_fresh(stale, copies, "1996-01-01").select("feed_id", "url", "label", "service_end")
 
 
@@ -124,11 +124,11 @@ def layer_zones(s: SparkSession, d: str) -> DataFrame:
 def flex_zones(s: SparkSession, d: str) -> DataFrame:
     """Zones in which orders' trips pick up, with the first and last moment and the number of their windows."""
     own = v.table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("feed_id"))
-    rows = v.table(s, d, "orders").join(own, "o_custkey").withColumns({"trip_id": F.col("o_orderkey").cast("string"), "location_id": F.concat(F.lit("z"), F.col("o_custkey").cast("string")), "hour": F.col("o_orderkey") % 20})
+    rows = v.table(s, d, "orders").join(own, "o_custkey").withColumns({"trip_id": F.col("o_orderkey").cast("string"), "location_id": F.concat(F.lit("z"), F.col("o_custkey").cast("string")), "hour": F.col("o_orderkey") % 20 + 1})
     clock = lambda h: F.concat(h.cast("string"), F.lit(":00:00"))
-    times = rows.select("feed_id", "trip_id", "location_id", clock(F.col("hour")).alias("start_pickup_drop_off_window"), clock(F.col("hour") + F.col("o_orderkey") % 3).alias("end_pickup_drop_off_window"))
+    times = rows.select("feed_id", F.col("o_orderkey").alias("row_no"), "trip_id", "location_id", clock(F.col("hour")).alias("start_pickup_drop_off_window"), clock(F.col("hour") + F.col("o_orderkey") % 3 - 1).alias("end_pickup_drop_off_window"))
     trips = rows.select("feed_id", "trip_id", F.col("o_orderpriority").alias("route_id"))
-    routes = trips.select("feed_id", "route_id").distinct().withColumns({"route_name": F.col("route_id"), "agency": F.concat(F.lit("agency "), F.col("feed_id").cast("string"))})
+    routes = trips.select("feed_id", "route_id").distinct().withColumns({"route_short_name": F.when(~F.col("route_id").startswith("1"), F.col("route_id")), "route_long_name": F.concat(F.lit("long "), "route_id"), "agency": F.concat(F.lit("agency "), F.col("feed_id").cast("string"))})
     places = rows.select("feed_id", "location_id", F.array().alias("rings")).distinct()
     out = flex.gtfs_flex_zones(times, trips, routes, places, "2026-09-30").withColumn("w", F.map_values("service")[0])
     return out.select("zone_id", "name", "agency", "source", F.size("w").cast("bigint").alias("windows"), F.array_min(F.transform("w", lambda x: x["start"])).alias("opens"), F.array_max(F.transform("w", lambda x: x["end"])).alias("closes"))
@@ -148,15 +148,15 @@ WHERE c_custkey % 11 <> 0 AND c_custkey <> 7 AND (c_custkey % 5 = 0 OR c_mktsegm
 WHERE n_name NOT ILIKE 'united%' AND n_name NOT ILIKE '%furn%' AND c_mktsegment NOT ILIKE 'united%' AND c_mktsegment NOT ILIKE '%furn%' AND c_mktsegment || ' R' || c_custkey % 30 NOT ILIKE '%machinery r1'""",
     "feed_boxes": f"WITH {STOPS} SELECT feed_id, round(min(lat), 4)::DOUBLE AS south, round(min(lon), 4)::DOUBLE AS west, round(max(lat), 4)::DOUBLE AS north, round(max(lon), 4)::DOUBLE AS east FROM stops GROUP BY 1",
     "atlas_records": """WITH o AS (SELECT s_nationkey AS f, 'op ' || s_suppkey AS name, s_suppkey * 3 % (SELECT count(*) FROM supplier) + 1 AS feed FROM supplier WHERE s_suppkey % 4 = 1),
-n AS (SELECT feed, string_agg(DISTINCT name, '|' ORDER BY name) AS names FROM o GROUP BY 1), one AS (SELECT f, min(name) AS name FROM o GROUP BY 1 HAVING count(*) = 1)
+n AS (SELECT f, feed, string_agg(DISTINCT name, '|' ORDER BY name) AS names FROM o GROUP BY 1, 2), one AS (SELECT f, min(name) AS name FROM o GROUP BY 1 HAVING count(*) = 1)
 SELECT 'f-' || s_suppkey AS onestop_id, 'http://a/' || s_suppkey AS url, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS historic,
-  coalesce(names, CASE WHEN s_suppkey % 3 = 0 THEN 'own ' || s_suppkey END, one.name, '') AS operators FROM supplier LEFT JOIN n ON feed = s_suppkey LEFT JOIN one ON f = s_nationkey WHERE s_suppkey % 5 <> 0""",
+  coalesce(nullif(concat_ws('|', CASE WHEN s_suppkey % 3 = 0 THEN 'own ' || s_suppkey END, names), ''), one.name, '') AS operators FROM supplier LEFT JOIN n ON feed = s_suppkey AND n.f = s_nationkey LEFT JOIN one ON one.f = s_nationkey WHERE s_suppkey % 5 <> 0""",
     "extra_feeds": "SELECT 'o-' || s_suppkey AS onestop_id, s_name AS name FROM supplier WHERE s_suppkey < 200 AND s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",
     "united_candidates": """SELECT feed_id, max(note) AS note FROM (SELECT c_custkey AS feed_id, 'a' AS note FROM customer WHERE c_acctbal > 0 UNION ALL SELECT o_custkey, 'b' FROM orders
   UNION ALL SELECT c_custkey, 'c' FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1""",
     "fresh_copies": f"""WITH a AS (SELECT c_custkey AS feed_id, {AREA.format('c_custkey', 'a')} FROM customer), b AS (SELECT *, {AREA.format('o_orderkey', 'b')} FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1996-01-01'),
 k AS (SELECT feed_id, o_orderkey, o_orderpriority, o_orderdate, row_number() OVER (PARTITION BY feed_id ORDER BY o_orderkey) AS n FROM a JOIN b ON o_custkey = feed_id
-  WHERE CASE WHEN feed_id % 6 = 0 THEN o_orderkey % 2 = 0 ELSE b_s <= a_s + 0.1::DOUBLE + 0.3::DOUBLE AND b_s + 0.1::DOUBLE >= a_s - 0.3::DOUBLE AND b_w <= a_w + 0.1::DOUBLE + 0.3::DOUBLE AND b_w + 0.1::DOUBLE >= a_w - 0.3::DOUBLE END)
+  WHERE CASE WHEN feed_id % 6 = 0 THEN o_orderkey % 2 = 0 ELSE o_orderkey % 11 = 0 OR b_s <= a_s + 0.1::DOUBLE + 0.3::DOUBLE AND b_s + 0.1::DOUBLE >= a_s - 0.3::DOUBLE AND b_w <= a_w + 0.1::DOUBLE + 0.3::DOUBLE AND b_w + 0.1::DOUBLE >= a_w - 0.3::DOUBLE END)
 SELECT feed_id, 'u' || o_orderkey AS url, o_orderpriority AS label, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS service_end FROM k WHERE n = 1""",
     "used_stops": f"WITH {RAW} SELECT feed_id, CAST(stop AS VARCHAR) AS stop_id, name, lat, -75.25::DOUBLE AS lon FROM good",
     "cleaned_times": f"""WITH {RAW} SELECT feed_id, CAST(trip AS VARCHAR) AS trip_id, CAST(row_number() OVER (PARTITION BY feed_id, trip ORDER BY seq, row_no) AS INTEGER) AS pos, CAST(stop AS VARCHAR) AS stop_id, seq <> 3 AS board, flag <> 'R' AS alight,
@@ -167,7 +167,7 @@ SELECT zone_id, name FROM z WHERE zone_id % 7 <> 0 AND zone_id % 6 IN (2, 3, 5)"
     "layer_zones": """WITH z AS (SELECT c_custkey AS zone_id FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))
 SELECT zone_id, CAST(g AS INTEGER) AS day, CAST((zone_id % 6 + 5) * 3600 AS INTEGER) AS start, CAST((zone_id % 5 + 13) * 3600 AS INTEGER) AS "end", CAST(NULL AS INTEGER) AS headway FROM z, generate_series(0, 4) t(g)
 UNION ALL SELECT zone_id, 5, 32400, 43200, 1800 FROM z WHERE zone_id % 2 = 0""",
-    "flex_zones": """WITH r AS (SELECT c_nationkey AS f, o_custkey AS c, o_orderpriority AS route, o_orderkey % 20 * 3600 AS a, (o_orderkey % 20 + o_orderkey % 3) * 3600 AS b FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 3 > 0),
+    "flex_zones": """WITH r AS (SELECT c_nationkey AS f, o_custkey AS c, o_orderkey AS k, CASE WHEN o_orderpriority LIKE '1%' THEN 'long ' ELSE '' END || o_orderpriority AS route, (o_orderkey % 20 + 1) * 3600 AS a, (o_orderkey % 20 + o_orderkey % 3) * 3600 AS b FROM orders JOIN customer ON c_custkey = o_custkey),
 m AS (SELECT *, max(b) OVER (PARTITION BY f, c ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r)
-SELECT f || ':z' || c AS zone_id, min(route) AS name, 'agency ' || f AS agency, 'gtfs-flex ' || f AS source, count(*) FILTER (reach IS NULL OR a > reach) AS windows, CAST(min(a) AS INTEGER) AS opens, CAST(max(b) AS INTEGER) AS closes FROM m GROUP BY f, c""",
+SELECT f || '-z' || c AS zone_id, arg_min(route, k) AS name, 'agency ' || f AS agency, CAST(f AS VARCHAR) AS source, count(*) FILTER (reach IS NULL OR a > reach) AS windows, CAST(min(a) AS INTEGER) AS opens, CAST(max(b) AS INTEGER) AS closes FROM m GROUP BY f, c""",
 }

@@ -20,7 +20,7 @@ def _in_order(own: str = "l_orderkey") -> Column:
 def route_feeds(s: SparkSession, d: str) -> DataFrame:
     """Feeds that serve orders as routes: brands of the parts ridden, nations of the zones taken."""
     li, part = v.table(s, d, "lineitem"), v.table(s, d, "part")
-    zones = v.table(s, d, "supplier").join(v.table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("zone_id"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("gtfs-flex "), "n_name")).otherwise("layer").alias("source"))
+    zones = v.table(s, d, "supplier").join(v.table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("zone_id"), F.when(F.col("s_suppkey") % 2 == 0, F.col("n_name")).otherwise("layer").alias("source"))
     ids = part.select(F.col("p_brand").alias("feed_id")).unionByName(v.table(s, d, "nation").select(F.col("n_name").alias("feed_id"))).distinct()
     manifest = ids.select("feed_id", (F.length("feed_id") % 2 == 0).alias("stale"), F.lit("2026-05-31T00:00").alias("service_end"))
     legs = li.select(F.col("l_orderkey").alias("route_id"), F.when(F.col("l_returnflag") == "R", "flex").otherwise("ride").alias("kind"), F.col("l_suppkey").alias("zone_id"))
@@ -119,9 +119,9 @@ SELECT route_id, leg_no, 'wait' AS step, w AS begin, dep AS "end" FROM r WHERE d
 SELECT l_orderkey AS route_id, l_linenumber AS leg_no, a.s_name AS origin, b.s_name AS destination, l_quantity = min(l_quantity) OVER (PARTITION BY l_orderkey) AS bottleneck, all_day
 FROM lineitem LEFT JOIN supplier a ON a.s_suppkey = l_suppkey LEFT JOIN supplier b ON b.s_suppkey = l_partkey % (SELECT count(*) FROM supplier) + 1 LEFT JOIN c ON r = l_orderkey AND n = l_linenumber""",
     "density_miles": f"""WITH {STOPS}, {PLANE}, p AS (SELECT l_orderkey AS id, {ORDERED} AS pos, l_suppkey AS node, l_returnflag <> 'R' OR l_linenumber <> 2 AS served FROM lineitem), q AS (SELECT p.*, x, y FROM p JOIN plane USING (node)),
-h AS (SELECT id, pos, greatest(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) / {MILE!r}, 0.001) AS m, lag(x) OVER w IS NOT NULL AS ok FROM q WHERE served WINDOW w AS (PARTITION BY id ORDER BY pos)),
-g AS (SELECT id, pos, m, sum(m) OVER (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING) - m / 2 AS mid FROM h WHERE ok),
-c AS (SELECT id, pos, m, count(*) OVER w / sum(m) OVER w AS density FROM g WINDOW w AS (PARTITION BY id ORDER BY mid RANGE BETWEEN 0.5 PRECEDING AND 0.5 FOLLOWING))
+h AS (SELECT id, pos, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) / {MILE!r} AS m, lag(x) OVER w IS NOT NULL AS ok FROM q WHERE served WINDOW w AS (PARTITION BY id ORDER BY pos)),
+g AS (SELECT id, pos, m, greatest(m, 0.001) AS floored, sum(greatest(m, 0.001)) OVER (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING) - greatest(m, 0.001) / 2 AS mid FROM h WHERE ok),
+c AS (SELECT id, pos, m, count(*) OVER w / sum(floored) OVER w AS density FROM g WINDOW w AS (PARTITION BY id ORDER BY mid RANGE BETWEEN 0.5 PRECEDING AND 0.5 FOLLOWING))
 SELECT id AS pattern_id, CAST(pos AS INTEGER) AS pos, round(coalesce(sum(m) FILTER (density >= 4) OVER w, 0), 4) AS miles_0, round(coalesce(sum(m) FILTER (density >= 2 AND density < 4) OVER w, 0), 4) AS miles_1, round(coalesce(sum(m) FILTER (density < 2) OVER w, 0), 4) AS miles_2
 FROM q LEFT JOIN c USING (id, pos) WINDOW w AS (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING)""",
     "serving_trips": f"""WITH p AS (SELECT l_orderkey AS id, {ORDERED} AS pos, l_suppkey AS node, l_returnflag <> 'R' AS board, l_linenumber <> 3 AS alight FROM lineitem),

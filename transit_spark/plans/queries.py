@@ -373,7 +373,7 @@ def first_agencies(s: SparkSession, d: str) -> DataFrame:
     n = v.table(s, d, "nation")
     agency = n.select(F.col("n_nationkey").alias("feed_id"), F.explode(F.array(F.lit("0"), F.lit("1"))).alias("agency_id"), F.col("n_name")).select("feed_id", "agency_id", F.concat("n_name", "agency_id").alias("agency_name"), F.col("agency_id").cast("bigint").alias("row_no"))
     feeds = n.select(F.col("n_nationkey").alias("feed_id"), F.col("n_name").alias("provider"))
-    return timetable.bus_routes(route, agency, feeds, exclude=["^FRANCE"])
+    return timetable.bus_routes(route, agency, feeds, exclude=["^FRANCE"]).select("feed_id", "route_id", "route_name", "agency")
 
 
 def frequency_copies(s: SparkSession, d: str) -> DataFrame:

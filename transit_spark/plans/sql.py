@@ -25,6 +25,14 @@ ON = "(bits // CAST(pow(2, isodow(d.date) - 1) AS BIGINT)) % 2 = 1"
 RIDES = "rides AS (SELECT l_suppkey AS u, l_partkey % (SELECT count(*) FROM supplier) + 1 AS v, CAST(l_quantity AS DOUBLE) AS freq FROM lineitem WHERE l_suppkey <> l_partkey % (SELECT count(*) FROM supplier) + 1)"
 WALKS = "walks AS (SELECT s_suppkey AS u, s_suppkey % (SELECT count(*) FROM supplier) + 1 AS v, s_suppkey * 37 % 900 + 50 AS dist FROM supplier)"
 EDGES = f"{RIDES}, {WALKS}, edges AS (SELECT u, v, max(freq) AS freq, CAST(NULL AS BIGINT) AS dist FROM rides GROUP BY u, v UNION ALL SELECT u, v, CAST(NULL AS DOUBLE), dist FROM walks WHERE dist <= 800)"
+
+
+def rounds(name: str, first: str, step: str, n: int) -> str:
+    """CTEs name0 (``first``), name1, ... of n rounds in which ``step`` (of the one before, named {s}) may lower the labels."""
+    parts = [f"{name}0 AS MATERIALIZED ({first})"]
+    return ",\n".join(parts + [f"{name}{i + 1} AS MATERIALIZED ({step.format(s=f'{name}{i}')})" for i in range(n)])
+
+
 SPINE = [(40.0, -75.0), (40.2, -74.8), (40.5, -74.6)]
 CATALOG = """cat AS (SELECT c_custkey AS feed_id, ['active', 'inactive', 'deprecated', 'future'][c_custkey % 4 + 1] AS status, c_custkey % 9 = 0 AS bare, c_custkey % 200 AS name,
   CAST(DATE '2025-01-01' + CAST(c_custkey % 900 AS INTEGER) AS DATE) AS until FROM customer)"""
@@ -148,6 +156,44 @@ SELECT q AS query_id, count(*) AS nodes, CAST(sum(node) AS BIGINT) AS node_sum F
     "widest_paths": f"""WITH RECURSIVE {EDGES}, reach AS (SELECT n_nationkey + 1 AS o, n_nationkey + 1 AS node, 0 AS layer, 1e9 AS label FROM nation
 UNION SELECT o, e.v, CASE WHEN e.dist IS NULL THEN 0 ELSE CAST(ceil((layer * 400 + e.dist) / 400.0) AS INTEGER) END, least(label, coalesce(e.freq, 1e9)) FROM reach JOIN edges e ON e.u = node WHERE e.dist IS NULL OR layer * 400 + e.dist <= 800)
 SELECT o AS origin, node, CASE WHEN max(label) = 1e9 THEN -1 ELSE max(label) END AS freq FROM reach GROUP BY 1, 2""",
+    "best_routes": f"""WITH n AS (SELECT count(*) AS n FROM supplier), {WALKS},
+r AS MATERIALIZED (SELECT u, v, min(c) AS c, -min((c, -f))[2] AS f FROM (SELECT l_suppkey AS u, l_partkey % n + 1 AS v, CAST(l_quantity AS DOUBLE) AS f,
+  60 + l_partkey % 600 + 0.5 * 57600 / CAST(l_quantity AS DOUBLE) + 300 + l_partkey % 10 / 4 * CASE l_linenumber % 3 WHEN 1 THEN 60 WHEN 2 THEN 180 ELSE 0 END AS c FROM lineitem, n) WHERE u <> v AND f >= 45 GROUP BY u, v),
+q AS (SELECT n_nationkey AS q, n_nationkey + 1 AS o, n_nationkey * 31 % n + 1 AS d FROM nation, n WHERE n_nationkey + 1 <> n_nationkey * 31 % n + 1),
+{rounds("s", "SELECT q, o AS node, 0 AS layer, CAST(0 AS DOUBLE) AS c, CAST(NULL AS DOUBLE) AS f FROM q", """SELECT q, node, layer, min(c) AS c, arg_min_null(f, c) AS f FROM (SELECT * FROM {s}
+  UNION ALL SELECT q, r.v, 0, s.c + r.c + 1e-3, least(s.f, r.f) FROM {s} s JOIN r ON r.u = s.node
+  UNION ALL SELECT q, w.v, CAST(ceil((layer * 400 + dist) / 400.0) AS INTEGER), s.c + greatest(dist * 1.04 * (1.5 + 1.5 * (1 - least(greatest(1000 - layer * 400, 0), dist) / dist)), 1), s.f
+    FROM {s} s JOIN walks w ON w.u = s.node WHERE layer * 400 + dist <= 800) GROUP BY q, node, layer""", 12)}
+SELECT q AS query_id, round(min(c), 2) AS cost, arg_min_null(f, c) AS bottleneck FROM s12 JOIN q USING (q) WHERE node = d GROUP BY q""",
+    "required_walks": """WITH RECURSIVE n AS (SELECT count(*) AS n FROM supplier),
+k AS (SELECT s_suppkey AS s, CASE WHEN s_suppkey % 3 = 1 THEN s_suppkey * 37 % 300 ELSE s_suppkey * 37 % 900 END + 50 + s_suppkey / 7 AS d, s_suppkey % 3 = 0 AS ride FROM supplier),
+q AS (SELECT n_nationkey AS q, n_nationkey * 7 % n AS o FROM nation, n),
+c AS (SELECT CAST(800 AS DOUBLE) AS m UNION SELECT d FROM k WHERE NOT ride AND d > 800),
+w AS (SELECT q, o, m, 0 AS i, 0 AS layer FROM q, c
+  UNION ALL SELECT q, o, m, i + 1, CASE WHEN ride THEN 0 ELSE CAST(ceil((layer * 400 + d) / 400) AS INTEGER) END FROM w, n JOIN k ON k.s = (o + i) % n + 1 WHERE i < 7 AND (ride OR layer * 400 + d <= m))
+SELECT q AS query_id, round(min(m), 6) AS max_walk FROM w WHERE i = 7 GROUP BY q""",
+    "evaluated_chains": f"""WITH n AS (SELECT count(*) AS n FROM supplier),
+g AS (SELECT s_suppkey AS node, radians(CAST(-75 + s_suppkey * 104729 % 5000 / 10000.0 AS DOUBLE)) * {X!r} AS x, radians(CAST(40 + s_suppkey * 7919 % 5000 / 10000.0 AS DOUBLE)) * 6371000.0 AS y FROM supplier),
+near AS (SELECT a.node AS u, b.node AS v, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM g a JOIN g b ON sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 800),
+foot AS (SELECT u, v, greatest(greatest(d * 1.04, 1) * 1.5, 1) AS c FROM near),
+t AS (SELECT l_orderkey AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, l_suppkey AS node, l_linenumber % 5 <> 4 AS board, l_linenumber % 3 <> 2 AS alight, CAST(l_partkey % 16 + 1 AS DOUBLE) AS f FROM lineitem),
+pr AS (SELECT a.p, a.node AS u, b.node AS v, a.f, greatest(b.i * 300 - 20 - a.i * 300, 30) AS t, b.i - a.i AS hops FROM t a JOIN t b ON a.p = b.p AND a.i < b.i AND a.board AND b.alight AND a.node <> b.node),
+o AS (SELECT o_orderkey AS p, CAST(o_custkey % 30 AS VARCHAR) || CASE WHEN o_custkey % 2 = 0 THEN ' Limited' ELSE '' END AS name, o_orderpriority AS agency FROM orders),
+st AS (SELECT n_nationkey AS k, 0 AS step, CAST(n_nationkey % 30 AS VARCHAR) AS route, CASE WHEN n_nationkey % 4 = 0 THEN 'urgent|high' END AS agency FROM nation
+  UNION ALL SELECT n_nationkey, 1, CAST(n_nationkey * 7 % 60 AS VARCHAR) || ' Limited', NULL FROM nation),
+m AS (SELECT DISTINCT k, step, o.p FROM st JOIN o ON (o.name = st.route OR starts_with(o.name, st.route || ' ')) AND (st.agency IS NULL OR regexp_matches(o.agency, st.agency, 'i')) WHERE o.p IN (SELECT p FROM pr)),
+stops AS (SELECT DISTINCT k, step, node FROM m JOIN t USING (p)),
+e AS MATERIALIZED (SELECT k, step, u, v, sum(f * t) / sum(f) + 0.5 * 57600 / round_even(sum(f), 2) + 300 + sum(f * hops * 0.5) / sum(f) * 180 AS c FROM m JOIN pr USING (p) GROUP BY ALL),
+pl AS (SELECT n_nationkey AS k, n_nationkey % n + 1 AS a, n_nationkey * 31 % n + 1 AS z FROM nation, n),
+{rounds("s", "SELECT k, v AS node, c FROM pl JOIN foot ON u = a JOIN stops USING (k) WHERE step = 0 AND node = v", "SELECT k, node, min(c) AS c FROM (SELECT * FROM {s} UNION ALL SELECT k, e.v, s.c + e.c FROM {s} s JOIN e USING (k) WHERE e.step = 0 AND e.u = s.node) GROUP BY ALL", 6)},
+{rounds("b", "SELECT k, f.v AS node, min(s.c + f.c) AS c FROM s6 s JOIN foot f ON f.u = s.node JOIN stops USING (k) WHERE stops.step = 1 AND stops.node = f.v GROUP BY ALL", "SELECT k, node, min(c) AS c FROM (SELECT * FROM {s} UNION ALL SELECT k, e.v, s.c + e.c FROM {s} s JOIN e USING (k) WHERE e.step = 1 AND e.u = s.node) GROUP BY ALL", 6)},
+done AS (SELECT k, min(b.c + f.c) AS c FROM b6 b JOIN pl USING (k) JOIN foot f ON f.u = b.node AND f.v = z GROUP BY k),
+missing AS (SELECT k, 'no service found for route ' || route || coalesce(' (' || agency || ')', '') AS problem FROM st WHERE NOT EXISTS (SELECT 1 FROM stops x WHERE x.k = st.k AND x.step = st.step)),
+far AS (SELECT k, arg_min('no stop of route ' || route || ' within 800 m of the ' || CASE step WHEN 0 THEN 'start' ELSE 'end' END, step) AS problem FROM st JOIN pl USING (k) WHERE k NOT IN (SELECT k FROM missing)
+  AND NOT EXISTS (SELECT 1 FROM stops x JOIN foot ON foot.u = x.node WHERE x.k = st.k AND x.step = st.step AND foot.v = CASE st.step WHEN 0 THEN a ELSE z END) GROUP BY k),
+bad AS (SELECT * FROM missing UNION ALL SELECT * FROM far)
+SELECT k AS chain_id, round(c, 2) AS cost, CAST(NULL AS VARCHAR) AS problem FROM done WHERE k NOT IN (SELECT k FROM bad) UNION ALL SELECT k, NULL, problem FROM bad
+UNION ALL SELECT k, NULL, 'the routes do not connect in this order within the transfer walk limit' FROM pl WHERE k NOT IN (SELECT k FROM bad) AND k NOT IN (SELECT k FROM done)""",
     "pareto_profile": """WITH r AS (SELECT DISTINCT l_suppkey AS route_id, l_orderkey % 86400 AS dep, l_orderkey % 86400 + l_partkey * 13 % 5000 AS arr FROM lineitem)
 SELECT * FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.route_id = a.route_id AND b.arr <= a.arr AND (b.dep > a.dep OR (b.dep = a.dep AND b.arr < a.arr)))""",
     "profile_totals": """SELECT l_suppkey AS route_id, count(*) AS connections, CAST(min(l_partkey * 13 % 5000) AS BIGINT) AS min, CAST(floor(median(l_partkey * 13 % 5000)) AS BIGINT) AS median, CAST(max(l_partkey * 13 % 5000) AS BIGINT) AS max FROM lineitem GROUP BY 1""",
@@ -170,9 +216,9 @@ a AS (SELECT c_custkey, c_custkey % 50 AS r, c_custkey * 97 % 86400 AS ready, (g
 m AS (SELECT c_custkey, p, off, dep + off AS dep, arr + off AS arr, min(off) OVER (PARTITION BY c_custkey, p) AS first FROM a JOIN o USING (r) WHERE dep + off >= ready),
 b AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY arr, dep DESC) AS n FROM m WHERE off = first) SELECT c_custkey, dep, arr FROM b WHERE n = 1""",
     "leg_statistics": f"""WITH o AS (SELECT l_suppkey % 50 AS r, l_linenumber % 2 AS l, l_partkey % 9 % 6 AS name, l_orderkey * 61 % 86400 AS dep FROM lineitem), u AS (SELECT DISTINCT r, l, dep FROM o), {frequency('u', '(r, l)', 'dep')},
-t AS (SELECT r, l, name, row_number() OVER (PARTITION BY r, l ORDER BY count(*) DESC, name DESC) AS n FROM o GROUP BY r, l, name)
+t AS (SELECT r, l, name, row_number() OVER (PARTITION BY r, l ORDER BY count(*) DESC, name DESC) AS n FROM o WHERE dep >= 21600 AND dep < 79200 GROUP BY r, l, name)
 SELECT u.r AS route_id, u.l AS leg_no, count(*) FILTER (dep >= 21600 AND dep < 79200) AS in_window, count(*) AS all_day, CAST(min(dep) AS INTEGER) AS first, CAST(max(dep) AS INTEGER) AS last,
-  round(any_value(CASE WHEN freq > 0 THEN 57600 / freq END), 2) AS headway, any_value(CAST(t.name AS VARCHAR)) AS top FROM u JOIN f ON f.key = (u.r, u.l) JOIN t ON t.r = u.r AND t.l = u.l AND t.n = 1 GROUP BY 1, 2""",
+  round(any_value(CASE WHEN freq > 0 THEN 57600 / freq END), 2) AS headway, any_value(CAST(t.name AS VARCHAR)) AS top FROM u JOIN f ON f.key = (u.r, u.l) LEFT JOIN t ON t.r = u.r AND t.l = u.l AND t.n = 1 GROUP BY 1, 2""",
     "duplicate_feeds": f"""WITH {CATALOG}, m AS (SELECT *, min(CASE WHEN status <> 'inactive' THEN feed_id END) OVER (PARTITION BY name) AS live FROM cat)
 SELECT feed_id, CASE WHEN status = 'inactive' AND live IS NOT NULL THEN 'inactive duplicate of ' || live END AS reason FROM m""",
     "pruned_frontier": """WITH RECURSIVE c AS (SELECT l_orderkey AS k, l_linenumber AS n, max(CAST(l_extendedprice AS DOUBLE)) AS cost FROM lineitem GROUP BY 1, 2),
