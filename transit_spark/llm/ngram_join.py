@@ -238,6 +238,16 @@ def _split(member: DataFrame, roots: DataFrame) -> DataFrame:
     return named.join(mixed, "gid")
 
 
+def _folded(sketch: list[bytes]) -> np.ndarray:
+    """Sketches as rows of words, the wider ones folded to the narrowest."""
+    width = np.array([len(x) for x in sketch], dtype=np.int64) // 8
+    words = np.zeros((len(sketch), width.min(initial=1 << 40) if len(sketch) else 1), dtype=np.uint64)
+    for v in np.unique(width):
+        at = np.flatnonzero(width == v)
+        words[at] = np.bitwise_xor.reduce(np.frombuffer(b"".join([sketch[i] for i in at.tolist()]), np.uint64).reshape(len(at), v // words.shape[1], words.shape[1]), axis=1)
+    return words
+
+
 def _compared(label: np.ndarray | None, n: np.ndarray, sketch: list[bytes], run: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows in one run whose labels differ (if there are any), whose sizes fit and whose sketches are near."""
     start = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
@@ -412,23 +422,18 @@ def _joining(docs: DataFrame, key: str, text: str, width: int, percent: int, cla
         fine = fine[np.unique(part.column("node").to_numpy()[fine], return_index=True)[1]]
         sets = [h[stop[i] - n[i] : stop[i]] for i in fine]
         node, label, sketch = part.column("node").to_numpy()[fine], part.column("label").to_numpy()[fine], [part.column("sketch")[i].as_py() for i in fine.tolist()]
-        a, b = _compared(label, n[fine], sketch, np.ones(len(fine), dtype=np.int64), percent) if len(fine) else ([], [])
-        far = np.array([hamming(sketch[x], sketch[y]) for x, y in zip(a, b, strict=True)])
-        root = {x: x for x in label.tolist()}
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        out: tuple[list[int], list[int]] = [], []
-        for i in np.argsort(far, kind="stable").tolist():
-            x, y = int(a[i]), int(b[i])
-            p, q = find(int(label[x])), find(int(label[y]))
-            if p != q and _similar(sets[x], sets[y], percent):
-                root[p] = q
-                out[0].append(int(node[x]))
-                out[1].append(int(node[y]))
+        size, words, out = n[fine], _folded(sketch), ([], [])
+        # Pairs that a link would join are tried row by row, the nearest first; a row that is joined leaves the others no pair to try.
+        joined = np.unique(label, return_inverse=True)[1]
+        for i in range(len(fine) - 1):
+            at = i + 1 + np.flatnonzero((joined[i + 1 :] != joined[i]) & (100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :])))
+            bits = np.bitwise_count(words[i] ^ words[at]).sum(axis=1, dtype=np.int64)
+            near = (100 + percent) * bits <= (100 - percent) * (size[i] + size[at])
+            for j in at[near][np.argsort(bits[near], kind="stable")].tolist():
+                if joined[j] != joined[i] and _similar(sets[i], sets[j], percent):
+                    joined[joined == joined[j]] = joined[i]
+                    out[0].append(int(node[i]))
+                    out[1].append(int(node[j]))
         return out
 
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
@@ -495,6 +500,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     rows = _labelled(docs, key, text, width, percent).where(F.col("key").eqNullSafe(F.col("component_id")))
     chosen = rows.where("n_shingles > 0").groupBy("key", "component_id").agg(F.min("t").alias("t"), F.count("*").alias("n")).select("key", "t", "n")
     stay = keep(chosen.unionByName(rows.where("n_shingles = 0").groupBy("key", "t").agg(F.count("*").alias("n"))))
-    own = stay.select(F.col("key").alias("stay_key"), F.col("t").alias("stay_text"))
-    out = docs.join(own, F.col(key).eqNullSafe(F.col("stay_key")) & (F.xxhash64(F.col(text).cast("string")) == F.col("stay_text")), "left_semi")
+    free = "stay"  # a name that no column of docs begins with
+    while any(c.lower().startswith(free) for c in docs.columns):
+        free = f"_{free}"
+    own = stay.select(F.col("key").alias(f"{free}_key"), F.col("t").alias(f"{free}_text"))
+    out = docs.join(own, F.col(f"`{key}`").eqNullSafe(F.col(f"{free}_key")) & (F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col(f"{free}_text")), "left_semi")
     return out.dropDuplicates([key, text]) if stay.where("n > 1").limit(1).count() else out
