@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transit_spark.llm.scratch import keep
+from transit_spark.llm.scratch import discard, keep
 
 
 def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
@@ -24,7 +24,8 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = keep(near.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        before, edges = edges, keep(near.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

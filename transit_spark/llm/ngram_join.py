@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from transit_spark.llm import text as tx
 from transit_spark.llm.components import components
-from transit_spark.llm.scratch import discard, keep, release
+from transit_spark.llm.scratch import Held, discard, keep, release
 from transit_spark.llm.wanted import maybe_wanted
 
 _U = np.uint64
@@ -363,7 +363,7 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _verified(docs: DataFrame, key: str, text: str, width: int, percent: int, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, key: str, text: str, width: int, percent: int, classes: DataFrame, pairs: DataFrame, held: Held) -> DataFrame:
     """a, b of ``pairs`` (a, b: nodes) with similar sets. Texts are sent once for each pair; a hub's once for 64 pairs."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sketch{x}"))
     named = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
@@ -374,11 +374,11 @@ def _verified(docs: DataFrame, key: str, text: str, width: int, percent: int, cl
             ok = [hamming(x, y) <= t for t, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    named = keep(named.mapInArrow(near, "a bigint, b bigint"))
+    named = held.keep(named.mapInArrow(near, "a bigint, b bigint"))
     parts = named.groupBy("a").agg(F.ceil(F.count("*") / 64).alias("parts"))
     named = named.join(parts, "a").select("a", "b", F.expr("pmod(xxhash64(b), parts)").alias("part"))
-    want = keep(named.select("a", "part", F.col("b").alias("node"), F.lit(1).alias("role")).unionByName(named.select("a", "part", F.col("a").alias("node"), F.lit(0).alias("role")).distinct()))
-    asked = keep(classes.join(want.select("node").distinct(), "node", "left_semi").select("node", "rep", "s1", "s2"))
+    want = held.keep(named.select("a", "part", F.col("b").alias("node"), F.lit(1).alias("role")).unionByName(named.select("a", "part", F.col("a").alias("node"), F.lit(0).alias("role")).distinct()))
+    asked = held.keep(classes.join(want.select("node").distinct(), "node", "left_semi").select("node", "rep", "s1", "s2"))
     rows = want.join(_texts(docs, key, text, asked), "node").repartition("a", "part").sortWithinPartitions("a", "part", "role", "node").select("a", "part", "role", "node", "text", "s1", "s2")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,12 +400,12 @@ def _verified(docs: DataFrame, key: str, text: str, width: int, percent: int, cl
     return rows.mapInArrow(verify, "a bigint, b bigint").distinct()
 
 
-def _joining(docs: DataFrame, key: str, text: str, width: int, percent: int, classes: DataFrame, member: DataFrame) -> DataFrame:
+def _joining(docs: DataFrame, key: str, text: str, width: int, percent: int, classes: DataFrame, member: DataFrame, held: Held) -> DataFrame:
     """a, b: links between the components of each group's members (gid, node, label, n, sketch), enough to join all that links
     of the group join. The members' texts meet in a task, a part of a group at a time, which verifies pairs of near
     sketches, the nearest first, and leaves out those whose components are joined already."""
     size = member.groupBy("gid").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("bigint").alias("blocks"))
-    asked = keep(classes.join(member.select("node").distinct(), "node", "left_semi").select("node", "rep", "s1", "s2"))
+    asked = held.keep(classes.join(member.select("node").distinct(), "node", "left_semi").select("node", "rep", "s1", "s2"))
     rows = _dealt(member.join(size, "gid"), "node", "label", "n", "sketch").join(_texts(docs, key, text, asked), "node")
     rows = rows.repartition("gid", "part").sortWithinPartitions("gid", "part", "node").select("gid", "part", "node", "label", "n", "sketch", "s1", "s2", "text")
 
@@ -455,25 +455,39 @@ def _labelled(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
     shared = F.col("times") * (F.col("size") - 1)
     starred = member.withColumns({"degree": F.sum(shared).over(own), "place": F.row_number().over(own.orderBy(F.desc(shared), "gid"))})
     starred = keep(starred.where(F.col("place") <= STAR_GROUPS).select("gid", "times", "node", "degree"))
+    release(docs.sparkSession)
     tried = links = roots = None
     for _ in range(STARS):
-        rows = starred if roots is None else _split(starred, roots)
+        rows, step = starred if roots is None else _split(starred, roots), Held()
         hub = rows.groupBy("gid").agg(F.max(F.struct("degree", "node")).alias("hub")).select("gid", F.col("hub.node").alias("a"))
         star = rows.select("gid", "times", F.col("node").alias("b")).join(hub, "gid").where("a <> b").groupBy("a", "b").agg(F.sum("times").alias("times"))
         star = star if tried is None else star.join(tried, ["a", "b"], "left_anti")
         star = keep(star.groupBy("b").agg(F.max(F.struct("times", "a")).alias("best")).select("best.a", "b"))
+        more = _verified(docs, key, text, width, percent, classes, star, step)
+        old = [x for x in (tried, links, roots) if x is not None]
         tried = star if tried is None else keep(tried.unionByName(star))
-        more = _verified(docs, key, text, width, percent, classes, star)
         links = keep(more if links is None else links.unionByName(more))
         roots = keep(components(links, "a", "b"))
+        discard(*old)
+        step.discard()
+        release(docs.sparkSession)
     # Last, all members of a group which are still in different components.
     facts = classes.select("node", "n", "sketch")
     labelled = member.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     cross = _near_members(labelled.join(facts, "node").select("gid", "size", "times", "node", "n", "sketch", "label"), percent, True)
     cross = cross.select("gid", "node").distinct().join(roots.withColumnRenamed("root", "label"), "node", "left").join(facts, "node")
     cross = keep(cross.select("gid", "node", F.coalesce("label", "node").alias("label"), "n", "sketch"))
+    discard(member, starred, tried)
+    release(docs.sparkSession)
     if cross.limit(1).count():
-        roots = keep(components(keep(links.unionByName(_joining(docs, key, text, width, percent, classes, cross))), "a", "b"))
+        step = Held()
+        whole = keep(links.unionByName(_joining(docs, key, text, width, percent, classes, cross, step)))
+        discard(links, roots)
+        step.discard()
+        release(docs.sparkSession)
+        roots = keep(components(whole, "a", "b"))
+        discard(whole)
+    discard(cross)
 
     named = classes.join(roots, "node", "left").select("s1", "s2", "rep", F.coalesce("root", "node").alias("root"))
     low = named.groupBy("root").agg(F.min("rep").alias("component_id"))

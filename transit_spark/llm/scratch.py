@@ -30,6 +30,21 @@ def keep(df: DataFrame, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Held:
+    """Tables of a step, deleted together when its result is written."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.tables.append(keep(df))
+        return self.tables[-1]
+
+    def discard(self) -> None:
+        discard(*self.tables)
+        self.tables = []
+
+
 def discard(*kept: DataFrame) -> None:
     """Deletes tables that ``keep`` wrote, after their last reader."""
     for df in kept:
