@@ -122,6 +122,28 @@ def test_vectors_in_double_precision(spark):
     assert found == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 10: (0, 10), 11: (0, 11)}
 
 
+@pytest.mark.parametrize("many", [4000, 40])
+def test_vectors_of_every_length(spark, monkeypatch, many):
+    """Lengths are searched each, the rare ones too; a crowd of one vector is dealt to several tasks; the recall is told."""
+    monkeypatch.setattr(vectors, "MANY", many)
+    monkeypatch.setattr(vectors, "HOT", 20)
+    rng = np.random.default_rng(6)
+    rows, key = [], 0
+    for d, n in ((3, 120), (5, 60), (2, 7), (1, 2)):
+        base = rng.normal(size=(n // 2 + 1, d))
+        for v in [*base, *(base[: n // 2] + 0.01 * rng.normal(size=(n // 2, d)))]:
+            rows.append((key, [float(np.float32(x)) for x in v], 1, "k"))
+            key += 1
+    rows += [(1000 + i, [1.0, 1.0], 1, "k") for i in range(30)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, x int, key string")).collect()
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    links = {i: {j for j, b, *_ in rows if j != i and len(b) == len(a) and cos(a, b) >= 0.95} for i, a, *_ in rows}
+    assert {r.vec_id: r.n_links for r in got} == {i: len(v) for i, v in links.items()}
+    assert len({r.recall for r in got}) == 1 and got[0].recall == 1.0
+    lone = vectors.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id bigint, embedding array<float>")).collect()
+    assert {(r.vec_id, r.n_links, r.recall) for r in lone} == {(1, 0, None), (2, 0, None)}
+
+
 def test_vectors_audit_sees_small_families(spark):
     """Of one large family and many pairs, all pairs lost: the recall tells."""
     rng = np.random.default_rng(3)
@@ -314,6 +336,8 @@ def test_ngram_join(spark, docs, texts, odd, none):
     assert sorted(r.doc_id or 0 for r in ngram_join.one_of_each(odd).collect()) == [0, 1, 2, 3, 4, 6, 8]
     rows = [(0, "u v w x y z"), (1, "a b c d e f"), (1, "u v w x y z"), (2, "k l m n o p"), (2, "K l m n o p"), (3, None), (3, ""), (3, "")]
     stay = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    clash = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id bigint, text string, stay_key int, Stay_text int, _stay int")
+    assert sorted(tuple(r)[:2] for r in ngram_join.one_of_each(clash).collect()) == sorted(tuple(r) for r in stay)
     assert sorted((r.doc_id, (r.text or "-").lower()) for r in stay) == [(0, "u v w x y z"), (1, "a b c d e f"), (2, "k l m n o p"), (3, "-"), (3, "-")]
 
 

@@ -17,7 +17,7 @@ def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
 def op3_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:

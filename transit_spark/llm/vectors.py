@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +16,12 @@ from transit_spark.llm.scratch import keep
 #: Vectors of a cluster, of a group that one task takes, and from which centroids are learned; vectors whose links the audit counts.
 CLUSTER, GROUP, SAMPLE, AUDIT = 1000, 2000, 20_000, 200
 MOST_CLUSTERS = 4096
+#: Vectors of one length from which that length has clusters of its own; fewer are one cluster, each two blocks of which meet.
+MANY = 4000
 #: Audited nodes with links from which a recall is believed, and draws, each four times the one before, to find them.
 AUDIT_LINKED, DRAWS = 50, 4
+#: Rows of one vector from which it is dealt to several tasks, and how many.
+HOT, SALTS = 10_000, 64
 #: Neighbours of a node, candidates for them, the pruning factor, and nodes a greedy search holds.
 DEGREE, CANDIDATES, ALPHA, BEAM = 16, 48, 1.2, 24
 #: How far below the limit a node may be for the search to go on through it.
@@ -153,14 +158,11 @@ def search(x: np.ndarray, nbrs: np.ndarray, limit: float) -> tuple[np.ndarray, n
     return q[ok], n[ok]
 
 
-def _spread(nodes: DataFrame, overlap: int) -> DataFrame:
-    """node, size, x, clusters, c, i, j: every node in the groups (blocks i < j of cluster c; i = j where a cluster is one
-    block) of its ``overlap`` nearest clusters. A cluster over half of GROUP is split into blocks by a hash, and each two
-    blocks make a group, so every two nodes of a cluster meet in a group of bounded size however large the cluster is."""
-    n = nodes.count()
+def _clustered(nodes: DataFrame, overlap: int, first: int, n: int) -> DataFrame:
+    """node, size, x, clusters of ``n`` nodes of one length: the ``overlap`` nearest of at most MOST_CLUSTERS clusters, numbered from ``first``."""
     share = min(1.0, SAMPLE / max(1, n))
     sample = nodes.where(F.pmod(F.xxhash64(F.lit("sample"), "node"), F.lit(1 << 20)) < share * (1 << 20)).orderBy("node").limit(2 * SAMPLE)
-    rows = unit([r.x for r in sample.select("x").collect()] or [[1.0]])
+    rows = unit([r.x for r in sample.select("x").collect()] or [nodes.select("x").first().x])
     k = max(1, min(MOST_CLUSTERS, n // CLUSTER, len(rows) // 4))
     sent = nodes.sparkSession.sparkContext.broadcast(centroids(rows, k))
     most = min(overlap, k)
@@ -169,11 +171,24 @@ def _spread(nodes: DataFrame, overlap: int) -> DataFrame:
         for batch in batches:
             x = unit(np.array(batch.column(2).flatten(), dtype=float).reshape(batch.num_rows, -1)) if batch.num_rows else np.zeros((0, sent.value.shape[1]))
             near = x @ sent.value.T
-            own = np.sort(np.argpartition(-near, most - 1, axis=1)[:, :most], axis=1).astype(np.int32)
+            own = (first + np.sort(np.argpartition(-near, most - 1, axis=1)[:, :most], axis=1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * most), pa.array(own.ravel()))], names=["node", "size", "x", "clusters"])
 
     kind = dict(nodes.dtypes)["x"]
-    assigned = keep(nodes.select("node", "size", "x").mapInArrow(assign, f"node bigint, size bigint, x {kind}, clusters array<int>"))
+    return nodes.select("node", "size", "x").mapInArrow(assign, f"node bigint, size bigint, x {kind}, clusters array<int>")
+
+
+def _spread(nodes: DataFrame, overlap: int) -> DataFrame:
+    """node, size, x, clusters, c, b, own, i, j: every node in the groups (blocks i < j of cluster c; i = j where a cluster is one
+    block) of its ``overlap`` nearest clusters. A cluster over half of GROUP is split into blocks by a hash, and each two
+    blocks make a group, so every two nodes of a cluster meet in a group of bounded size however large the cluster is.
+    Vectors meet those of their own length: lengths that at least MANY vectors have are clustered each, any other one is a cluster of its own."""
+    many = nodes.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).where(F.col("n") >= MANY).orderBy(F.desc("n"), "d").collect()
+    few = nodes.where(~F.size("x").isin([r.d for r in many])) if many else nodes
+    assigned = few.select("node", "size", "x", F.array(-F.size("x")).alias("clusters"))
+    for i, r in enumerate(many):
+        assigned = assigned.unionByName(_clustered(nodes.where(F.size("x") == r.d), overlap, i * MOST_CLUSTERS, r.n))
+    assigned = keep(assigned)
     blocks = assigned.select(F.explode("clusters").alias("c")).groupBy("c").agg(F.ceil(F.count("*") * 2 / GROUP).cast("int").alias("b"))
     rows = assigned.withColumn("c", F.explode("clusters")).join(blocks, "c").withColumn("own", F.expr("pmod(xxhash64(node), b)"))
     pairs = F.expr("if(b = 1, array(0), filter(sequence(0, b - 1), y -> y <> own))")
@@ -239,73 +254,86 @@ def _links(spread: DataFrame, graph: DataFrame, limit: float) -> DataFrame:
     return rows.groupBy("c", "i", "j").applyInArrow(find, "node bigint, links bigint, root bigint")
 
 
-def audit(nodes: DataFrame, found: DataFrame, limit: float) -> float:
+def audit(nodes: DataFrame, found: DataFrame, limit: float) -> float | None:
     """The mean share of a node's links that ``found`` (node, links) has, over nodes with links, drawn by hash; the truth is by brute
     force over all nodes. AUDIT nodes are drawn, and four times as many, DRAWS times at most, where too few have links;
-    a node counts as one however many links it has, so small families weigh as much as large ones."""
+    a node counts as one however many links it has, so small families weigh as much as large ones. None where no node drawn has any link."""
     n = nodes.count()
+    both = None
     for draw in range(DRAWS):
         most = AUDIT * 4**draw
         asked = nodes.where(F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(1 << 30)) < (1 << 30) * min(1.0, most / max(1, n))).orderBy("node").limit(2 * most).select("node", "x").collect()
         if not asked:
-            return 1.0
-        ids = np.array([r.node for r in asked])
-        truth = _brute_links(nodes, ids, unit([r.x for r in asked]), limit).where("truth > 0")
+            continue
+        truth = _brute_links(nodes, [(r.node, r.x) for r in asked], limit).where("truth > 0")
         share = F.least(F.coalesce("links", F.lit(0)), "truth") / F.col("truth")
         both = truth.join(found.select("node", "links"), "node", "left").agg(F.avg(share).alias("recall"), F.count("*").alias("n")).first()
         if both["n"] >= AUDIT_LINKED or most >= n:
             break
-    return 1.0 if both["recall"] is None else both["recall"]
+    return both["recall"] if both else None
 
 
-def _brute_links(nodes: DataFrame, ids: np.ndarray, asked: np.ndarray, limit: float) -> DataFrame:
-    """node, truth: the links of the nodes ``ids`` with all others."""
-    sent = nodes.sparkSession.sparkContext.broadcast((ids, asked))
+def _brute_links(nodes: DataFrame, asked: list[tuple[int, list[float]]], limit: float) -> DataFrame:
+    """node, truth: the links of the nodes ``asked`` (node, vector) with all others of their length."""
+    by_length: dict[int, tuple[list, list]] = {}
+    for node, x in asked:
+        ids, rows = by_length.setdefault(len(x), ([], []))
+        ids.append(node)
+        rows.append(x)
+    sent = nodes.sparkSession.sparkContext.broadcast({d: (np.array(ids), unit(rows)) for d, (ids, rows) in by_length.items()})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, asked = sent.value
-        total = np.zeros(len(ids), dtype=np.int64)
+        total = {d: np.zeros(len(ids), dtype=np.int64) for d, (ids, _) in sent.value.items()}
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                node, size = (part.column(i).to_numpy() for i in (0, 1))
-                near = asked @ unit(np.array(part.column(2).flatten(), dtype=float).reshape(part.num_rows, -1)).T >= limit
-                total += (near & (node[None, :] != ids[:, None])) @ size
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["node", "links"])
+            length = pc.list_value_length(batch.column(2)).to_numpy()
+            for d, (ids, rows) in sent.value.items():
+                same = np.flatnonzero(length == d)
+                for lo in range(0, len(same), 1024):
+                    part = batch.take(pa.array(same[lo : lo + 1024]))
+                    node, size = (part.column(i).to_numpy() for i in (0, 1))
+                    near = rows @ unit(np.array(part.column(2).flatten(), dtype=float).reshape(part.num_rows, -1)).T >= limit
+                    total[d] += (near & (node[None, :] != ids[:, None])) @ size
+        for d, (ids, _) in sent.value.items():
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[d])], names=["node", "links"])
 
     return nodes.select("node", "size", "x").mapInArrow(count, "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("truth"))
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", limit: float = 0.95, least_recall: float = 0.95, never_under: float = 0.9) -> DataFrame:
-    """``key``, n_links, component_id, kept per row of ``vectors``.
+    """``key``, n_links, component_id, kept, recall per row of ``vectors``.
 
     Rows are linked when the cosine in double precision is at least ``limit``; n_links counts other rows linked
     directly, copies included; component_id is the smallest key that links reach. Equal vectors are one node of the
-    graph and linked with each other. Vectors that are null, empty, zero, hold null or non-finite components, or have
-    another length than most have no links. The recall of a bounded sample of nodes is measured by brute force, and the
-    graph is built with more overlap where it is under ``least_recall``; a recall still under ``never_under`` is an error. Repeated rows count each other as links; a
+    graph and linked with each other. Vectors of different lengths aren't linked; those of every length are searched. Vectors that are null, empty, zero, or hold null or
+    non-finite components have no links. The recall of a bounded sample of nodes is measured by brute force, and the
+    graph is built with more overlap where it is under ``least_recall``; a recall still under ``never_under`` is an error. ``recall`` is
+    the one measured, null where no node of the sample has a link. Repeated rows count each other as links; a
     null key is larger than any other; an empty table gives no rows. Other columns are not read.
     """
     numbers = F.col("x")
     rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<float>" if "float" in dict(vectors.dtypes)[vector] else "array<double>").alias("x"))
     fine = numbers.isNotNull() & (F.size("x") > 0) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("x", lambda v: v != 0)
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    length = rows.where("fine").groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    rows = rows.withColumn("fine", F.col("fine") & (F.size("x") == (length.d if length else 0)))
     nodes = keep(rows.where("fine").groupBy("x").agg(F.min("key").alias("low"), F.count("*").alias("size")).select(F.monotonically_increasing_id().alias("node"), "size", "x", "low"))
     for overlap in (2, 4, 8):
         spread = keep(_spread(nodes, overlap))
         parts = keep(_links(spread, keep(_graph(spread, limit)), limit))
         found = keep(parts.groupBy("node").agg(F.sum("links").alias("links")))
         recall = audit(nodes, found, limit)
-        if recall >= least_recall:
+        if recall is None or recall >= least_recall:
             break
-    if recall < never_under:
+    if recall is not None and recall < never_under:
         raise RuntimeError(f"near_duplicates: of the audited nodes' links {recall:.3f} were found, with the greatest overlap")
     roots = components(parts.select("node", "root"), "node", "root").select(F.col("node").alias("at"), "root")
     named = nodes.join(found, "node").join(roots, F.col("node") == F.col("at"), "left").select("node", "x", "low", "size", "links", F.coalesce("root", "node").alias("root"))
     low = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(low, "root").select(F.col("x"), (F.col("links") + F.col("size") - 1).alias("n_links"), "component_id")
-    out = rows.where("fine").join(named, "x").select("key", "n_links", "component_id")
+    named = keep(named.join(low, "root").select("x", "size", (F.col("links") + F.col("size") - 1).alias("n_links"), "component_id"))
+    # A vector that very many rows share is dealt to SALTS tasks; there is one such vector in HOT rows at most.
+    hot = F.broadcast(named.where(F.col("size") >= HOT).select(F.xxhash64("x").alias("h"), F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(F.lit("salt"), "key"), F.lit(SALTS))).otherwise(0).cast("int")
+    own = rows.where("fine").withColumn("h", F.xxhash64("x")).join(hot, "h", "left").select("key", "x", salt.alias("salt"))
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = named.withColumn("h", F.xxhash64("x")).join(hot, "h", "left").select("x", "n_links", "component_id", F.explode(salts).alias("salt"))
+    out = own.join(dealt, ["x", "salt"]).select("key", "n_links", "component_id")
     out = out.unionByName(rows.where("not fine").select("key", F.lit(0).cast("bigint").alias("n_links"), F.col("key").alias("component_id")))
-    return out.select(F.col("key").alias(key), "n_links", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select(F.col("key").alias(key), "n_links", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"), F.lit(recall).cast("double").alias("recall"))
