@@ -275,3 +275,28 @@ m AS (SELECT h, one, greatest(1, round_even(min(f), 0)) AS median FROM s WHERE r
 SELECT w.id AS way_id, CAST(w.one AS INTEGER) AS oneway, CAST(coalesce(f, near, median, 1) AS DOUBLE) AS fwd, CAST(CASE WHEN w.one THEN 1 ELSE coalesce(f, near, median, 1) END AS DOUBLE) AS bwd,
   CASE WHEN f IS NOT NULL THEN 'tagged' WHEN near IS NOT NULL THEN 'same street' ELSE 'street type' END AS source FROM w LEFT JOIN d USING (id) LEFT JOIN m ON m.h = w.h AND m.one = w.one""",
 }
+
+#: Road pieces of 40 m at most, shape pieces of 100 m with the side at their middle, and each shape piece's best road piece.
+MATCHED = f"""imp AS ({SQL['imputed_lanes']}),
+rn AS (SELECT p_partkey AS way, p_partkey % 7 = 0 AS off, p_size % 6 = 0 AS controlled, i, radians(CAST(-75 + (p_partkey * 104729 % 500) / 10000.0 + (i % 2) * 0.001 AS DOUBLE)) * {X!r} AS x, radians(CAST(40.6 + (p_partkey * 7919 % 500) / 10000.0 + i * 0.001 AS DOUBLE)) * 6371000.0 AS y FROM part, generate_series(0, 2) t(i)),
+rs AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, CAST(ceil(sqrt(pow(lead(x) OVER w - x, 2) + pow(lead(y) OVER w - y, 2)) / 40) AS INTEGER) AS n FROM rn WINDOW w AS (PARTITION BY way ORDER BY i)),
+class AS (SELECT way_id, oneway, fwd, bwd, source FROM imp),
+rp AS MATERIALIZED (SELECT way, i || '-' || k AS piece, x + (nx - x) * k / n AS ax, y + (ny - y) * k / n AS ay, x + (nx - x) * (k + 1) / n AS ex, y + (ny - y) * (k + 1) / n AS ey, off, oneway, source,
+  CASE WHEN controlled THEN 3 WHEN fwd < 1.5 THEN 0 WHEN fwd < 2.5 THEN 1 ELSE 2 END AS cf, CASE WHEN controlled THEN 3 WHEN bwd < 1.5 THEN 0 WHEN bwd < 2.5 THEN 1 ELSE 2 END AS cb FROM rs JOIN class ON way_id = way, range(0, n) t(k) WHERE nx IS NOT NULL),
+s0 AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n,
+  radians(CAST(-75 + (l_suppkey * 104729 % 50) / 10000.0 AS DOUBLE)) * {X!r} AS x, radians(CAST(40.6 + (l_partkey * 7919 % 50) / 10000.0 AS DOUBLE)) * 6371000.0 AS y FROM lineitem),
+s1 AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS d FROM s0 WINDOW w AS (PARTITION BY id ORDER BY n)),
+s2 AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, sqrt(pow(lead(x) OVER w - x, 2) + pow(lead(y) OVER w - y, 2)) AS len FROM s1 WHERE d IS NULL OR d > 0.01 WINDOW w AS (PARTITION BY id ORDER BY n)),
+s3 AS MATERIALIZED (SELECT *, coalesce(sum(len) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM s2 WHERE len > 0),
+tot AS (SELECT id, max(a + len) AS total FROM s3 GROUP BY id),
+ask AS (SELECT id, k, w, CASE w WHEN 0 THEN k * 100.0 WHEN 2 THEN least((k + 1) * 100.0, total) ELSE (k * 100.0 + least((k + 1) * 100.0, total)) / 2 END AS pos FROM tot, range(0, CAST(greatest(ceil(total / 100 - 1e-9), 1) AS BIGINT)) t(k), range(0, 3) v(w)),
+place AS (SELECT ask.id, k, w, x + least((pos - a) / len, 1) * (nx - x) AS x, y + least((pos - a) / len, 1) * (ny - y) AS y, (nx - x) / len AS hx, (ny - y) / len AS hy FROM ask ASOF JOIN s3 ON s3.id = ask.id AND ask.pos >= s3.a),
+sp AS MATERIALIZED (SELECT id, k, max(x) FILTER (w = 1) AS mx, max(y) FILTER (w = 1) AS my, max(hx) FILTER (w = 1) AS hx, max(hy) FILTER (w = 1) AS hy,
+  sqrt(pow((max(x) FILTER (w = 2) - max(x) FILTER (w = 0)) * cos(max(y) FILTER (w = 1) / 6371000.0) / {math.cos(math.radians(40.6))!r}, 2) + pow(max(y) FILTER (w = 2) - max(y) FILTER (w = 0), 2)) AS length FROM place GROUP BY id, k),
+cell AS (SELECT rp.*, floor((ax + ex) / 2 / 50) + i AS cx, floor((ay + ey) / 2 / 50) + j AS cy, sqrt(pow(ex - ax, 2) + pow(ey - ay, 2)) AS side FROM rp, range(-1, 2) t(i), range(-1, 2) u(j)),
+near AS (SELECT sp.id, k, way, piece, off, oneway, source, cf, cb, greatest(-1, least(1, (hx * (ex - ax) + hy * (ey - ay)) / side)) AS cosine, greatest(0, least(1, ((mx - ax) * (ex - ax) + (my - ay) * (ey - ay)) / (side * side))) AS share, mx, my, ax, ay, ex, ey
+  FROM sp JOIN cell ON cx = floor(mx / 50) AND cy = floor(my / 50)),
+scored AS (SELECT *, sqrt(pow(mx - ax - share * (ex - ax), 2) + pow(my - ay - share * (ey - ay), 2)) AS dist, degrees(acos(abs(cosine))) AS deg FROM near),
+best AS (SELECT id, k, min((dist + 0.4 * deg + CASE WHEN oneway * sign(cosine) < 0 THEN 15 ELSE 0 END + CASE WHEN off THEN 12 ELSE 0 END, way, piece, CASE WHEN cosine >= 0 THEN cf ELSE cb END, source)) AS b FROM scored WHERE dist <= 25 AND deg <= 40 GROUP BY id, k)"""
+SQL["matched_roads"] = f"""WITH {MATCHED}, c AS (SELECT coalesce(b[5], 'unmatched') AS source, sum(length) AS metres FROM sp LEFT JOIN best USING (id, k) GROUP BY 1)
+SELECT source, round(metres, 1) AS metres, round(metres / sum(metres) OVER (), 4) AS share FROM c"""
