@@ -50,8 +50,10 @@ def service_dates(s: SparkSession, d: str) -> DataFrame:
 
 
 def _patterns(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = timetable.fill_times(v.stop_times(s, d).select(F.lit("f").alias("feed_id"), F.col("trip").alias("trip_id"), "pos", F.col("stop").alias("stop_id"), F.lit(True).alias("board"), (F.col("pos") % 7 != 3).alias("alight"), F.col("t").alias("arr"), F.col("t").alias("dep")), ["feed_id", "trip_id"])
-    trips = v.stop_times(s, d).select(F.lit("f").alias("feed_id"), F.col("trip").alias("trip_id"), F.col("route").alias("route_id"), F.concat(F.lit("to "), (F.col("trip") % 5).cast("string")).alias("trip_headsign"), F.concat(F.lit("s"), (F.col("trip") % 3).cast("string")).alias("shape_id")).distinct()
+    feed = (F.col("route") % 25).cast("string").alias("feed_id")
+    raw = v.stop_times(s, d)
+    rows = timetable.fill_times(raw.select(feed, F.col("trip").alias("trip_id"), "pos", F.col("stop").alias("stop_id"), F.lit(True).alias("board"), (F.col("pos") % 7 != 3).alias("alight"), F.col("t").alias("arr"), F.col("t").alias("dep")), ["feed_id", "trip_id"])
+    trips = raw.select(feed, F.col("trip").alias("trip_id"), F.col("route").alias("route_id"), F.concat(F.lit("to "), (F.col("trip") % 5).cast("string")).alias("trip_headsign"), F.concat(F.lit("s"), (F.col("trip") % 3).cast("string")).alias("shape_id")).distinct()
     routes = trips.select("feed_id", "route_id").distinct().withColumns({"route_name": F.col("route_id").cast("string"), "agency": F.lit("a")})
     return timetable.compile_patterns(rows.withColumn("copy_no", F.lit(0)), trips, routes)
 
@@ -306,14 +308,16 @@ def route_totals(s: SparkSession, d: str) -> DataFrame:
 
 def next_trips(s: SparkSession, d: str) -> DataFrame:
     """The next trip for every order at a supplier's leg: an as-of join over day offsets."""
-    options = v.table(s, d, "lineitem").select((F.col("l_suppkey") % 50).alias("route_id"), F.lit(1).alias("leg_no"), (F.col("l_linenumber") % 3).alias("pattern_id"), F.col("l_orderkey").alias("trip_no"), (F.col("l_orderkey") * 61 % 86400).cast("int").alias("dep"), (F.col("l_orderkey") * 61 % 86400 + 300 + F.col("l_partkey") % 1800).cast("int").alias("arr")).groupBy("route_id", "leg_no", "pattern_id", "dep").agg(F.min("arr").alias("arr"), F.min("trip_no").alias("trip_no"))
-    ready = v.table(s, d, "customer").select("c_custkey", (F.col("c_custkey") % 50).alias("route_id"), F.lit(1).alias("leg_no"), (F.col("c_custkey") * 97 % 86400).alias("ready"))
+    n = max(2, v.table(s, d, "supplier").count() // 2)
+    options = v.table(s, d, "lineitem").select((F.col("l_suppkey") % n).alias("route_id"), F.lit(1).alias("leg_no"), (F.col("l_linenumber") % 3).alias("pattern_id"), F.col("l_orderkey").alias("trip_no"), (F.col("l_orderkey") * 61 % 86400).cast("int").alias("dep"), (F.col("l_orderkey") * 61 % 86400 + 300 + F.col("l_partkey") % 1800).cast("int").alias("arr")).groupBy("route_id", "leg_no", "pattern_id", "dep").agg(F.min("arr").alias("arr"), F.min("trip_no").alias("trip_no"))
+    ready = v.table(s, d, "customer").select("c_custkey", (F.col("c_custkey") % n).alias("route_id"), F.lit(1).alias("leg_no"), (F.col("c_custkey") * 97 % 86400).alias("ready"))
     return replay.next_trip(ready, options, ["c_custkey"]).select("c_custkey", F.col("dep").cast("bigint").alias("dep"), F.col("arr").cast("bigint").alias("arr"))
 
 
 def replayed_profile(s: SparkSession, d: str) -> DataFrame:
     """Ride, walk, ride: the connections of starts every minute of two days."""
-    base = v.table(s, d, "lineitem").select((F.col("l_suppkey") % 20).alias("route_id"), (F.col("l_linenumber") % 2 * 2 + 1).alias("leg_no"), (F.col("l_partkey") % 3).alias("pattern_id"), (F.col("l_orderkey") * 61 % 86400).cast("int").alias("dep"), (F.col("l_partkey") % 1800 + 300).cast("int").alias("ride"))
+    n = max(2, v.table(s, d, "supplier").count() // 5)
+    base = v.table(s, d, "lineitem").select((F.col("l_suppkey") % n).alias("route_id"), (F.col("l_linenumber") % 2 * 2 + 1).alias("leg_no"), (F.col("l_partkey") % 3).alias("pattern_id"), (F.col("l_orderkey") * 61 % 86400).cast("int").alias("dep"), (F.col("l_partkey") % 1800 + 300).cast("int").alias("ride"))
     options = base.groupBy("route_id", "leg_no", "pattern_id", "dep").agg((F.col("dep") + F.min("ride")).alias("arr")).withColumn("trip_no", F.col("dep"))
     routes = base.select("route_id").distinct()
     legs = routes.withColumn("leg_no", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).select("route_id", "leg_no", F.when(F.col("leg_no") == 2, "walk").otherwise("ride").alias("kind"), F.lit(120.0).alias("time"), F.lit(None).cast("bigint").alias("zone_id"))
@@ -322,7 +326,8 @@ def replayed_profile(s: SparkSession, d: str) -> DataFrame:
 
 
 def leg_statistics(s: SparkSession, d: str) -> DataFrame:
-    options = v.table(s, d, "lineitem").select((F.col("l_suppkey") % 50).alias("route_id"), (F.col("l_linenumber") % 2).alias("leg_no"), (F.col("l_partkey") % 9).alias("pattern_id"), (F.col("l_orderkey") * 61 % 86400).cast("int").alias("dep"))
+    n = max(2, v.table(s, d, "supplier").count() // 2)
+    options = v.table(s, d, "lineitem").select((F.col("l_suppkey") % n).alias("route_id"), (F.col("l_linenumber") % 2).alias("leg_no"), (F.col("l_partkey") % 9).alias("pattern_id"), (F.col("l_orderkey") * 61 % 86400).cast("int").alias("dep"))
     patterns = s.range(9).select(F.col("id").alias("pattern_id"), F.lit("a").alias("agency"), (F.col("id") % 6).cast("string").alias("route_name"))
     out = report.ride_stats(options, patterns)
     return out.select("route_id", "leg_no", "in_window", "all_day", "first", "last", F.round("headway", 2).alias("headway"), F.transform("services", lambda x: x["route_name"])[0].alias("top"))

@@ -9,8 +9,9 @@ STOPS = "stops AS (SELECT c_nationkey AS feed_id, c_custkey AS stop_id, 40 + (c_
 PLANE = f"plane AS (SELECT stop_id AS node, feed_id, radians(CAST(lon AS DOUBLE)) * {X!r} AS x, radians(CAST(lat AS DOUBLE)) * 6371000.0 AS y FROM stops)"
 TIMES = """st0 AS (SELECT l_orderkey AS trip, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos,
   count(*) OVER (PARTITION BY l_orderkey) AS len, l_returnflag AS flag FROM lineitem),
-st AS (SELECT trip, pos, len, trip % 200 AS route, ((trip % 200) * 13 + pos * 7) % 150 AS stop,
-  CASE WHEN flag = 'N' AND pos > 1 AND pos < len THEN NULL ELSE (trip * 37 % 1440) * 60 + 300 * pos END AS t FROM st0)"""
+sn AS (SELECT count(*) AS n FROM supplier),
+st AS (SELECT trip, pos, len, trip % (2 * n) AS route, ((trip % (2 * n)) * 13 + pos * 7) % (n + 50) AS stop,
+  CASE WHEN flag = 'N' AND pos > 1 AND pos < len THEN NULL ELSE (trip * 37 % 1440) * 60 + 300 * pos END AS t FROM st0, sn)"""
 FILLED = TIMES + """,
 fa AS (SELECT *, last_value(CASE WHEN t IS NOT NULL THEN pos END IGNORE NULLS) OVER (PARTITION BY trip ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pa,
   first_value(CASE WHEN t IS NOT NULL THEN pos END IGNORE NULLS) OVER (PARTITION BY trip ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS pb,
@@ -201,7 +202,7 @@ SELECT * FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.route_id = a.route
 SELECT r AS route_id, min(f) FILTER (ride) AS bottleneck, count(*) FILTER (ride) AS boardings, coalesce(sum(time) FILTER (ride), 0) AS ride_s, coalesce(sum(time) FILTER (NOT ride), 0) AS walk_s,
   round(coalesce(sum(57600 / f / 2) FILTER (ride), 0), 4) AS wait_s, coalesce(max(dist) FILTER (NOT ride), 0) AS longest_walk, round(coalesce(sum(f / 8) FILTER (ride AND k = 0), 0), 4) AS miles_0,
   round(coalesce(sum(f / 8) FILTER (ride AND k = 1), 0), 4) AS miles_1, round(coalesce(sum(f / 8) FILTER (ride AND k = 2), 0), 4) AS miles_2 FROM l GROUP BY r""",
-    "replayed_profile": """WITH b AS (SELECT l_suppkey % 20 AS r, l_linenumber % 2 * 2 + 1 AS leg, l_partkey % 3 AS p, l_orderkey * 61 % 86400 AS dep, min(l_partkey % 1800 + 300) AS ride FROM lineitem GROUP BY 1, 2, 3, 4),
+    "replayed_profile": """WITH sn AS (SELECT greatest(count(*) // 5, 2) AS n FROM supplier), b AS (SELECT l_suppkey % n AS r, l_linenumber % 2 * 2 + 1 AS leg, l_partkey % 3 AS p, l_orderkey * 61 % 86400 AS dep, min(l_partkey % 1800 + 300) AS ride FROM lineitem, sn GROUP BY 1, 2, 3, 4),
 s AS (SELECT r, leg, p, dep, min(dep + ride) OVER (PARTITION BY r, leg, p ORDER BY dep DESC) AS arr FROM b),
 o AS (SELECT r, leg, p, dep + k * 86400 AS at, arr + k * 86400 AS arr FROM s, range(0, 5) t(k)),
 k AS (SELECT DISTINCT r, leg, p FROM b),
@@ -211,11 +212,11 @@ two AS (SELECT a.r, a.t0, min(o.arr) AS arr FROM (SELECT one.r, t0, one.t + 120
 c AS (SELECT r, arr, max(t0) AS dep FROM two GROUP BY 1, 2 HAVING max(t0) < 86400),
 m AS (SELECT *, min(arr) OVER (PARTITION BY r ORDER BY dep DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS later FROM c)
 SELECT r AS route_id, count(*) AS connections, CAST(min(arr - dep) AS BIGINT) AS min, CAST(floor(median(arr - dep)) AS BIGINT) AS median, CAST(max(arr - dep) AS BIGINT) AS max FROM m WHERE later IS NULL OR arr < later GROUP BY 1""",
-    "next_trips": """WITH o AS (SELECT l_suppkey % 50 AS r, l_linenumber % 3 AS p, l_orderkey * 61 % 86400 AS dep, min(l_orderkey * 61 % 86400 + 300 + l_partkey % 1800) AS arr FROM lineitem GROUP BY 1, 2, 3),
-a AS (SELECT c_custkey, c_custkey % 50 AS r, c_custkey * 97 % 86400 AS ready, (g - 1) * 86400 AS off FROM customer, generate_series(0, 3) t(g)),
+    "next_trips": """WITH sn AS (SELECT greatest(count(*) // 2, 2) AS n FROM supplier), o AS (SELECT l_suppkey % n AS r, l_linenumber % 3 AS p, l_orderkey * 61 % 86400 AS dep, min(l_orderkey * 61 % 86400 + 300 + l_partkey % 1800) AS arr FROM lineitem, sn GROUP BY 1, 2, 3),
+a AS (SELECT c_custkey, c_custkey % n AS r, c_custkey * 97 % 86400 AS ready, (g - 1) * 86400 AS off FROM customer, sn, generate_series(0, 3) t(g)),
 m AS (SELECT c_custkey, p, off, dep + off AS dep, arr + off AS arr, min(off) OVER (PARTITION BY c_custkey, p) AS first FROM a JOIN o USING (r) WHERE dep + off >= ready),
 b AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY arr, dep DESC) AS n FROM m WHERE off = first) SELECT c_custkey, dep, arr FROM b WHERE n = 1""",
-    "leg_statistics": f"""WITH o AS (SELECT l_suppkey % 50 AS r, l_linenumber % 2 AS l, l_partkey % 9 % 6 AS name, l_orderkey * 61 % 86400 AS dep FROM lineitem), u AS (SELECT DISTINCT r, l, dep FROM o), {frequency('u', '(r, l)', 'dep')},
+    "leg_statistics": f"""WITH sn AS (SELECT greatest(count(*) // 2, 2) AS n FROM supplier), o AS (SELECT l_suppkey % n AS r, l_linenumber % 2 AS l, l_partkey % 9 % 6 AS name, l_orderkey * 61 % 86400 AS dep FROM lineitem, sn), u AS (SELECT DISTINCT r, l, dep FROM o), {frequency('u', '(r, l)', 'dep')},
 t AS (SELECT r, l, name, row_number() OVER (PARTITION BY r, l ORDER BY count(*) DESC, name DESC) AS n FROM o WHERE dep >= 21600 AND dep < 79200 GROUP BY r, l, name)
 SELECT u.r AS route_id, u.l AS leg_no, count(*) FILTER (dep >= 21600 AND dep < 79200) AS in_window, count(*) AS all_day, CAST(min(dep) AS INTEGER) AS first, CAST(max(dep) AS INTEGER) AS last,
   round(any_value(CASE WHEN freq > 0 THEN 57600 / freq END), 2) AS headway, any_value(CAST(t.name AS VARCHAR)) AS top FROM u JOIN f ON f.key = (u.r, u.l) LEFT JOIN t ON t.r = u.r AND t.l = u.l AND t.n = 1 GROUP BY 1, 2""",

@@ -27,10 +27,11 @@ def stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     own = W.partitionBy("l_orderkey")
     rows = li.select("l_orderkey", "l_returnflag", F.row_number().over(own.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("pos"), F.count("*").over(own).alias("len"))
-    route = F.col("l_orderkey") % 200
+    n = table(spark, sf_dir, "supplier").count()  # routes and stops grow with the data
+    route = F.col("l_orderkey") % (2 * n)
     blank = (F.col("l_returnflag") == "N") & (F.col("pos") > 1) & (F.col("pos") < F.col("len"))
     t = ((F.col("l_orderkey") * 37 % 1440) * 60 + 300 * F.col("pos")).cast("int")
-    return rows.select(F.col("l_orderkey").alias("trip"), "pos", route.alias("route"), ((route * 13 + F.col("pos") * 7) % 150).alias("stop"), F.when(~blank, t).alias("t"))
+    return rows.select(F.col("l_orderkey").alias("trip"), "pos", route.alias("route"), ((route * 13 + F.col("pos") * 7) % (n + 50)).alias("stop"), F.when(~blank, t).alias("t"))
 
 
 def departures(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
