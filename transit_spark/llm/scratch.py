@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,8 +54,11 @@ def discard(*kept: DataFrame) -> None:
             place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, pause: float = 1.5) -> None:
     """Asks Python and the driver's JVM to collect their garbage: Spark removes the shuffle files of steps whose results
-    are kept when the driver has forgotten those steps, which else takes until its heap fills."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    are kept when the driver has forgotten those steps, which else takes until its heap fills. Executors remove them meanwhile, so
+    the next step, which may write as much, begins after a pause; what the first collection only let go of, the second finds."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
