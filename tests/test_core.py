@@ -323,11 +323,11 @@ def test_best_routes_against_brute_force(spark):
 
 def test_recommend_against_brute_force(spark):
     """Best bottleneck, its least cost, the most local ways and the pruned ladder of every pair; a pair that needs a longer walk, and one that nothing connects."""
-    rides, walks, _ = _random_network(spark, 5)
+    rides, walks, _ = _random_network(spark, 5, 12)
     rides += [(40, 41, 4.0, 60.0, [0.0] * 3, None, None)]
     walks += [(41, 42, 936.0, 900.0)]
     g = search.Network(spark.createDataFrame(rides, RIDE), spark.createDataFrame(walks, "u bigint, v bigint, time double, dist double"))
-    asked = [(1, 0, 17), (2, 3, 21), (3, 5, 9), (4, 40, 42), (5, 42, 0)]
+    asked = [(1, 0, 7), (2, 3, 11), (3, 5, 9), (4, 40, 42), (5, 42, 0)]
     pairs = spark.createDataFrame(asked, "query_id int, origin bigint, destination bigint")
     for by in ("cost", "local"):
         routes, legs = search.recommend(g, pairs, Prices(), LOCAL, by=by)
