@@ -54,9 +54,9 @@ def describe_legs(legs: DataFrame, nodes: DataFrame, stats: DataFrame) -> DataFr
 
 def route_feeds(legs: DataFrame, options: DataFrame, patterns: DataFrame, zones: DataFrame, manifest: DataFrame) -> DataFrame:
     """route_id, feed_id, note of the feeds whose trips serve a route, and of those feeds of the manifest that are the source of its zones; note where the
-    feed's calendar is over."""
+    feed's calendar is over. Patterns and zones grow with the data and are shuffled; feeds are few."""
     known = manifest.select("feed_id").distinct()
-    ridden = options.select("route_id", "pattern_id").distinct().join(patterns.select("pattern_id", "feed_id"), "pattern_id").select("route_id", "feed_id")
-    taken = legs.where("kind = 'flex'").select("route_id", "zone_id").join(zones.select("zone_id", F.col("source").alias("feed_id")), "zone_id").select("route_id", "feed_id").join(known, "feed_id", "left_semi").select("route_id", "feed_id")
+    ridden = options.select("route_id", "pattern_id").distinct().join(patterns.select("pattern_id", "feed_id").hint("merge"), "pattern_id").select("route_id", "feed_id")
+    taken = legs.where("kind = 'flex'").select("route_id", "zone_id").join(zones.select("zone_id", F.col("source").alias("feed_id")).hint("merge"), "zone_id").select("route_id", "feed_id").join(known, "feed_id", "left_semi").select("route_id", "feed_id")
     note = F.when(F.col("stale"), F.concat(F.lit("calendar ended "), F.substring("service_end", 1, 10)))
     return ridden.unionByName(taken).distinct().join(manifest.select("feed_id", note.alias("note")), "feed_id", "left")
