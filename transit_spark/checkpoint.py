@@ -24,3 +24,23 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir is not set; on a cluster it must name a folder that all executors share")
         context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='spark-')}")
     return df.checkpoint()
+
+
+#: Rows that a task sorts at once.
+TASK_ROWS = 250_000
+
+
+def parts(spark: SparkSession, rows: int) -> int:
+    """Partitions for a shuffle of ``rows``: those of the session, and more where its tasks would have over TASK_ROWS."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+def dealt(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """``df`` dealt by ``keys`` to as many tasks as its rows (``rows``, else counted) need, so that a task's memory doesn't grow with the data."""
+    return df.repartition(parts(df.sparkSession, df.count() if rows is None else rows), *keys)
+
+
+def sorted_by(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written once, dealt and sorted by ``key``: joins on it alone move and sort only their other side."""
+    whole = cut(df)
+    return cut(dealt(whole, key).sortWithinPartitions(key))
