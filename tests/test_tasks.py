@@ -2,7 +2,7 @@
 
 import pytest
 
-from transit_spark.operators import roads
+from transit_spark.operators import replay, roads
 
 
 @pytest.fixture
@@ -18,3 +18,21 @@ def test_shapes_are_dealt_by_their_points(spark, small_tasks):
 def test_runs_are_dealt_by_their_pieces(spark, small_tasks):
     pieces = spark.range(200).selectExpr("id div 4 as shape_id", "id % 4 as piece_no", "cast(id % 3 as int) as cls", "20.0D as length")
     assert roads.smooth_classes(pieces, ["shape_id"]).rdd.getNumPartitions() >= 20
+
+
+def test_ready_times_are_sent_once_an_option(spark):
+    """Not once for each of four days: a trip of the next day, one after midnight, and none."""
+    options = spark.createDataFrame([(1, 1, 1, 1, 600, 900), (1, 1, 2, 2, 90000, 90300)], "route_id int, leg_no int, pattern_id int, trip_no int, dep int, arr int")
+    ready = spark.createDataFrame([(1, 1, 1, 700), (2, 1, 1, 3000), (3, 1, 1, 86400 + 3700), (4, 2, 1, 0)], "k int, route_id int, leg_no int, ready int")
+    found = replay.next_trip(ready, options, ["k"])
+    assert {r.k: (r.pattern_id, r.dep) for r in found.collect()} == {1: (2, 3600), 2: (2, 3600), 3: (1, 172800 + 600)}
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_times_of_trips_are_read_once(spark, tmp_path):
+    spark.createDataFrame([(1, 1, p, 100 * p, 100 * p - 20) for p in range(3)], "pattern_id int, trip_no int, pos int, dep int, arr int").write.parquet(str(tmp_path / "times"))
+    legs = spark.createDataFrame([(1, 1, 5, 7)], "route_id int, leg_no int, u int, v int")
+    stops = spark.createDataFrame([(1, p, 5 + p, True, True) for p in range(3)], "pattern_id int, pos int, node int, board boolean, alight boolean")
+    found = replay.serving_options(legs, stops, spark.read.parquet(str(tmp_path / "times")))
+    assert [tuple(r) for r in found.collect()] == [(1, 1, 1, 1, 0, 180)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1

@@ -27,9 +27,11 @@ def serving_options(legs: DataFrame, pattern_stops: DataFrame, pattern_times: Da
         priced = legs.select("route_id", "leg_no", dominant_class(F.col("miles")).alias("cls"))
         own = one.join(at("i", "m0"), ["pattern_id", "i"]).join(at("j", "m1"), ["pattern_id", "j"]).join(priced, ["route_id", "leg_no"])
         one = own.where(dominant_class(F.zip_with("m1", "m0", lambda a, b: a - b)) == F.col("cls")).select("route_id", "leg_no", "pattern_id", "i", "j")
-    dep = pattern_times.select("pattern_id", "trip_no", F.col("pos").alias("i"), "dep")
-    arr = pattern_times.select("pattern_id", "trip_no", F.col("pos").alias("j"), "arr")
-    return one.join(dep, ["pattern_id", "i"]).join(arr, ["pattern_id", "trip_no", "j"]).select("route_id", "leg_no", "pattern_id", "trip_no", "dep", "arr")
+    # Both times of a trip come from one pass over the times of the patterns that serve a leg.
+    ends = one.select("route_id", "leg_no", "pattern_id", F.explode(F.array(F.struct(F.col("i").alias("pos"), F.lit(True).alias("first")), F.struct(F.col("j").alias("pos"), F.lit(False).alias("first")))).alias("e")).select("route_id", "leg_no", "pattern_id", "e.*")
+    timed = cut(ends).join(pattern_times.select("pattern_id", "pos", "trip_no", "dep", "arr"), ["pattern_id", "pos"])
+    both = timed.groupBy("route_id", "leg_no", "pattern_id", "trip_no").agg(F.max(F.when(F.col("first"), F.col("dep"))).alias("dep"), F.max(F.when(~F.col("first"), F.col("arr"))).alias("arr"), F.count_if("first").alias("_on"), F.count_if(~F.col("first")).alias("_off"))
+    return both.where("_on > 0 and _off > 0").drop("_on", "_off")
 
 
 def next_trip(ready: DataFrame, options: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,19 +40,22 @@ def next_trip(ready: DataFrame, options: DataFrame, keys: list[str]) -> DataFram
     An option is a pattern of the leg: of the day before to two days after the ready time's day its first day with a
     departure not before it counts, and of that day's departures the earliest arrival; over all options the least
     arrival wins, of equal ones the latest departure. Each departure carries the best trip from then on, so that one
-    sort of departures and ready times of an option finds it, and no ready time meets all departures.
+    sort of departures and ready times of an option finds it, and no ready time meets all departures. The day follows
+    from the option's last departure, so a ready time is sent once an option.
     """
     own = ["route_id", "leg_no", "pattern_id"]
     trip = F.struct("arr", (-F.col("dep")).alias("neg"), "trip_no")
     best = F.min(trip).over(W.partitionBy(*own).orderBy(F.desc("dep")).rangeBetween(W.unboundedPreceding, W.currentRow))
     later = options.select(*own, F.col("dep").cast("bigint").alias("at"), F.lit(0).alias("ask"), best.alias("best"))
-    days = ready.withColumn("day", F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1, 2)]))).withColumn("off", ((F.floor(F.col("ready") / DAY) + F.col("day")) * DAY).cast("bigint"))
-    asked = days.join(options.select(*own).distinct(), ["route_id", "leg_no"]).select(*own, (F.col("ready") - F.col("off")).cast("bigint").alias("at"), F.lit(1).alias("ask"), F.struct(*keys, "off").alias("who"))
+    last = options.groupBy(*own).agg(F.max(F.col("dep").cast("bigint")).alias("_last"))
+    at = lambda day: (F.col("ready") - (F.floor(F.col("ready") / DAY) + day) * DAY).cast("bigint")
+    first = F.coalesce(*[F.when(at(day) <= F.col("_last"), F.lit(day)) for day in (-1, 0, 1, 2)])
+    days = ready.join(last, ["route_id", "leg_no"]).withColumn("_day", first).where("_day is not null").withColumn("off", ((F.floor(F.col("ready") / DAY) + F.col("_day")) * DAY).cast("bigint"))
+    asked = days.select(*own, (F.col("ready") - F.col("off")).cast("bigint").alias("at"), F.lit(1).alias("ask"), F.struct(*keys, "off").alias("who"))
     both = later.withColumn("who", F.lit(None).cast(asked.schema["who"].dataType)).unionByName(asked.withColumn("best", F.lit(None).cast(later.schema["best"].dataType)))
     found = both.withColumn("t", F.last("best", ignorenulls=True).over(W.partitionBy(*own).orderBy(F.desc("at"), "ask").rowsBetween(W.unboundedPreceding, 0))).where("ask = 1 and t is not null")
-    first = found.select(*own, "who.*", "t").groupBy(*keys, *own).agg(F.min(F.struct("off", "t")).alias("o"))
-    chosen = F.struct((F.col("o.t.arr") + F.col("o.off")).alias("arr"), (F.col("o.t.neg") - F.col("o.off")).alias("neg"), "pattern_id", F.col("o.t.trip_no").alias("trip_no"), F.col("o.off").alias("off"))
-    one = first.groupBy(*keys, "route_id", "leg_no").agg(F.min(chosen).alias("b"))
+    chosen = F.struct((F.col("t.arr") + F.col("off")).alias("arr"), (F.col("t.neg") - F.col("off")).alias("neg"), "pattern_id", F.col("t.trip_no").alias("trip_no"), "off")
+    one = found.select(*own, "who.*", "t").groupBy(*keys, "route_id", "leg_no").agg(F.min(chosen).alias("b"))
     return one.select(*keys, "route_id", "leg_no", "b.pattern_id", "b.trip_no", "b.off", (-F.col("b.neg")).alias("dep"), "b.arr")
 
 
