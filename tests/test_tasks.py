@@ -1,8 +1,9 @@
 """What tasks hold and what steps send: as much as the rows need, once."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from transit_spark.operators import replay, roads
+from transit_spark.operators import replay, roads, search
 
 
 @pytest.fixture
@@ -36,3 +37,18 @@ def test_times_of_trips_are_read_once(spark, tmp_path):
     found = replay.serving_options(legs, stops, spark.read.parquet(str(tmp_path / "times")))
     assert [tuple(r) for r in found.collect()] == [(1, 1, 1, 1, 0, 180)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_searches_leave_out_what_no_route_needs(spark):
+    """A reversed pass ends at its reach; rides below every threshold aren't priced; fewer frequent rides are tried only where they are needed."""
+    rides = [(i, i + 1, float(f), 60.0, [0.0], None, None) for i in range(6) for f in (50 if i != 4 else 8, 2)] + [(0, 3, 4.0, 60.0, [0.0], None, None)]
+    g = search.Network(spark.createDataFrame(rides, "u bigint, v bigint, freq double, time double, miles array<double>, dist double, zone_id bigint"), spark.createDataFrame([], "u bigint, v bigint, time double, dist double"))
+    wide = search.max_bottleneck(g, spark.createDataFrame([(0,), (5,)], "origin bigint")).collect()
+    assert {(r.origin, r.node): r.freq for r in wide} == {(0, 0): float("inf"), (0, 1): 50.0, (0, 2): 50.0, (0, 3): 50.0, (0, 4): 50.0, (0, 5): 8.0, (0, 6): 8.0, (5, 5): float("inf"), (5, 6): 50.0}
+    goals = spark.createDataFrame([(1, 6, 1000.0)], "goal int, destination bigint, reach double")
+    near = {r.node: r.ahead for r in search.cheapest_ahead(g, goals).collect()}
+    whole = {r.node: r.ahead for r in search.cheapest_ahead(g, goals.drop("reach")).collect()}
+    assert set(near) == {6, 5, 4} and near[4] == 1000.0 < whole[4] and near[5] == whole[5] and len(whole) == 7
+    from transit_spark.config import Prices
+
+    assert {r.freq for r in search.priced_rides(g, Prices(), 5.0).select(F.col("freq")).collect()} == {50.0, 8.0}
