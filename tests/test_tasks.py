@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from transit_spark.operators import replay, roads, search
+from transit_spark.operators import chain, replay, roads, search
 
 
 @pytest.fixture
@@ -52,3 +52,25 @@ def test_searches_leave_out_what_no_route_needs(spark):
     from transit_spark.config import Prices
 
     assert {r.freq for r in search.priced_rides(g, Prices(), 5.0).select(F.col("freq")).collect()} == {50.0, 8.0}
+
+
+def test_chains_write_no_walk_between_two_stops(spark, monkeypatch):
+    """200 stops at one place are left and boarded: no table has all pairs of them; legs and cost are those of one stop. Rides stay dealt for the next round."""
+    there = list(range(100, 300))
+    way = [(1, 0, 1, True, False)] + [(1, i + 1, n, False, True) for i, n in enumerate(there)] + [(2, i, n, True, False) for i, n in enumerate(there)] + [(2, 200, 2, False, True)]
+    stops = spark.createDataFrame(way, "pattern_id int, pos int, node bigint, board boolean, alight boolean")
+    nodes = spark.createDataFrame([(1, 40.0), (2, 40.3), *[(n, 40.1) for n in there]], "node bigint, lat double").withColumn("lon", F.lit(-75.0))
+    freq = stops.select("pattern_id", "pos", F.lit(8.0).alias("freq"))
+    profile = stops.select("pattern_id", "pos", (F.col("pos") * 60.0).alias("dep_med"), (F.col("pos") * 60.0).alias("arr_med"))
+    miles = stops.select("pattern_id", "pos", F.array(*[F.lit(0.0)] * 3).alias("miles"))
+    patterns = spark.createDataFrame([(1, "A", "x"), (2, "B", "x")], "pattern_id int, route_name string, agency string")
+    steps = spark.createDataFrame([(7, 0, "A", None), (7, 1, "B", None)], "chain_id int, step int, route string, agency string")
+    ends = spark.createDataFrame([(7, "origin", 40.0, -75.0), (7, "destination", 40.3, -75.0)], "chain_id int, role string, lat double, lon double")
+    sizes, cut = [], chain.cut
+    monkeypatch.setattr(chain, "cut", lambda df: (out := cut(df), sizes.append(out.count()))[0])
+    out, legs, problems = chain.evaluate_chains(patterns, stops, freq, profile, miles, nodes, steps, ends)
+    assert problems.count() == 0 and max(sizes) <= 2000
+    found = legs.orderBy("leg_no").collect()
+    assert [(r.kind, r.time) for r in found] == [("walk", 1.0), ("ride", 60.0), ("walk", 1.0), ("ride", 60.0), ("walk", 1.0)]
+    assert (found[0].u, found[1].u, found[1].v, found[2].u, found[2].v, found[3].u, found[3].v) == (1, 1, 100, 100, 299, 299, 2)
+    assert out.collect()[0].rides == 2 and out.collect()[0].bottleneck == 8.0

@@ -44,3 +44,15 @@ def sorted_by(df: DataFrame, key: str) -> DataFrame:
     """``df`` written once, dealt and sorted by ``key``: joins on it alone move and sort only their other side."""
     whole = cut(df)
     return cut(dealt(whole, key).sortWithinPartitions(key))
+
+
+def cut_dealt(df: DataFrame) -> DataFrame:
+    """``cut`` of a table that is dealt and sorted already, which later joins are told: an adaptive plan doesn't keep how its rows are dealt, so that each join
+    would move them again."""
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
