@@ -373,6 +373,27 @@ def test_ngram_join_spares_hold_for_every_pair():
             assert common > spare > 0
 
 
+def test_ngram_join_sends_eight_bytes_a_key(spark, monkeypatch):
+    """An entry is 64 bits; and with so few bits of a key that most sets have some of their own in common, no link is lost."""
+    from transit_spark.llm import ngram_join
+
+    assert ngram_join.ENTRY.itemsize <= 8
+    rng = np.random.default_rng(5)
+    rows = []
+    for f in range(60):
+        base = rng.integers(0, 10**6, 200)
+        for k in range(3):
+            own = base.copy()
+            own[:: 50 + k] += k
+            rows.append((3 * f + k, " ".join(map(str, own))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {r[0]: r[2] for r in ngram_join.near_duplicates(docs).collect()}
+    assert len(set(want.values())) < len(want)
+    monkeypatch.setattr(ngram_join, "CLASS_BITS", 47)
+    monkeypatch.setattr(ngram_join, "OWNER_BITS", 48)
+    assert {r[0]: r[2] for r in ngram_join.near_duplicates(docs).collect()} == want
+
+
 def test_ngram_join_of_a_crowd_near_the_limit(spark):
     """Many texts of one group, some similar and some just not, joined by few links."""
     rng = np.random.default_rng(21)

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,10 +41,11 @@ _U = np.uint64
 #: Entries (a key, a class) that one task sorts at once, and those a task holds before it sends them.
 BUCKET_ENTRIES, FLUSH_ENTRIES = 50_000, 500_000
 MOST_BUCKETS = 1 << 30
-#: One entry: half of a key (its bucket has more of it), and a class with its band in 48 bits.
-ENTRY = np.dtype([("key", "<u4"), ("low", "<u4"), ("high", "<u2")])
 #: Bits of s1 that stand for a class on the way; classes which have them in common are told apart by their sketches.
-CLASS_BITS = 40
+CLASS_BITS = 36
+#: One entry of 64 bits: part of a key (its bucket has more of it), a class, and a bit which tells that the key is of the band below the class's own.
+OWNER_BITS = CLASS_BITS + 1
+ENTRY = np.dtype("<u8")
 #: Blocks whose words make keys together; all but one of them make one.
 GROUPED = 3
 #: Rounds in which members are compared with the most central one of a group, and groups of each member, those in which it
@@ -96,7 +97,7 @@ def hamming(x: bytes, y: bytes) -> int:
 
 def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """key, t, n_shingles, s1, s2, sketch: a hash of each row's text, the size of its shingle set, 128 bits that stand for it, its folded
-    sketch, and own_band, own, below: its band, and the keys that it may leave out there and in the band below."""
+    sketch, and own, below: the keys that it may leave out in its band and in the band below, and keys: how many it has at most in one."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,11 +105,11 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -
             for part in tx.pieces(batch, 2):
                 h, n = tx.shingles(part.column(2), width)
                 s1, s2 = tx.set_ids(h, n)
-                (band, _, own), (_, _, below) = spares(n, percent)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(s1), pa.array(s2), folded(h, n), pa.array(band), pa.array(own), pa.array(below)], names=["key", "t", "n_shingles", "s1", "s2", "sketch", "own_band", "own", "below"])
+                (_, many, own), (_, fewer, below) = spares(n, percent)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(s1), pa.array(s2), folded(h, n), pa.array(own), pa.array(below), pa.array(GROUPED * np.maximum(many, fewer))], names=["key", "t", "n_shingles", "s1", "s2", "sketch", "own", "below", "keys"])
 
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text).cast("string")).alias("t"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, t bigint, n_shingles bigint, s1 bigint, s2 bigint, sketch binary, own_band bigint, own bigint, below bigint")
+    return rows.mapInArrow(run, f"key {kind}, t bigint, n_shingles bigint, s1 bigint, s2 bigint, sketch binary, own bigint, below bigint, keys bigint")
 
 
 def parity_keys(h: np.ndarray, n: np.ndarray, band: np.ndarray, triples: np.ndarray, spare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,7 +148,8 @@ def parity_keys(h: np.ndarray, n: np.ndarray, band: np.ndarray, triples: np.ndar
 
 
 def _groups(docs: DataFrame, text: str, width: int, percent: int, buckets: int) -> DataFrame:
-    """gid, times, band, members (c of classes, sorted): all sets of classes that share a key in a band, and how many keys they share; c is the first CLASS_BITS of s1."""
+    """gid, times, members (sorted: c of a class, and in the last bit whether the key is of the band below its own): all sets of classes that share
+    a key, and how many keys they share; c is the first CLASS_BITS of s1."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -161,8 +163,7 @@ def _groups(docs: DataFrame, text: str, width: int, percent: int, buckets: int)
             bucket = ((key >> _U(32)) % _U(buckets)).astype(np.uint32 if buckets > 65536 else np.uint16)
             order = np.argsort(bucket, kind="stable")
             bucket, owner = bucket[order], owner[order]
-            entries = np.empty(len(order), ENTRY)
-            entries["key"], entries["low"], entries["high"] = key[order].astype(np.uint32), owner.astype(np.uint32), owner >> _U(32)
+            entries = (key[order] << _U(OWNER_BITS) | owner).astype(ENTRY)
             at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             end = np.append(at[1:], len(bucket))
             for lo in range(0, len(at), 1000):
@@ -181,10 +182,10 @@ def _groups(docs: DataFrame, text: str, width: int, percent: int, buckets: int)
                 if len(seen) < FLUSH_ENTRIES:  # only spares work: copies of one class are counted once after the shuffle
                     seen.update(s1[fresh].tolist())
                 h, n, s1 = h[np.repeat(fresh, n)], n[fresh], s1[fresh]
-                for band, triples, spare in spares(n, percent):
+                for below, (band, triples, spare) in enumerate(spares(n, percent)):
                     key, row, _ = parity_keys(h, n, band, triples, spare)
                     if len(key):
-                        held.append((key, s1.view(np.uint64)[row] >> _U(64 - CLASS_BITS) << _U(8) | band[row].astype(np.uint64)))
+                        held.append((key, s1.view(np.uint64)[row] >> _U(64 - CLASS_BITS) << _U(1) | _U(below)))
                         size += len(key)
                 if size >= FLUSH_ENTRIES:
                     yield from flush()
@@ -192,42 +193,36 @@ def _groups(docs: DataFrame, text: str, width: int, percent: int, buckets: int)
         yield from flush()
 
     def meet(table: pa.Table) -> pa.Table:
-        entries = np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for x in table.column("entries")])
-        order = np.argsort(entries["key"])
-        entries = entries[order]
-        same = np.zeros(len(entries), dtype=bool)  # keys that come more than once; most come once
-        same[1:] = entries["key"][1:] == entries["key"][:-1]
-        same[:-1] |= same[1:]
-        key, owner = entries["key"][same], entries["low"][same] | entries["high"][same].astype(np.int64) << 32
-        band = owner & 255
-        order = np.lexsort((owner, band, key))
-        key, owner, band = key[order], owner[order], band[order]
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-        key, owner, band = key[new], owner[new], band[new]
-        at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1])])) if len(key) else np.zeros(0, np.int64)
+        entries = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for x in table.column("entries")]))
+        key, owner = entries >> _U(OWNER_BITS), entries & _U((1 << OWNER_BITS) - 1)
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         many = np.diff(np.append(at, len(key)))
-        at, many = at[many > 1], many[many > 1]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tx.mix(owner.view(np.uint64)), dtype=np.uint64)])
+        at, many = at[many > 1], many[many > 1]  # most keys come once
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tx.mix(owner), dtype=np.uint64)])
         gid, first, times = np.unique(tx.mix(sums[at + many] - sums[at] + many.astype(np.uint64)), return_index=True, return_counts=True)
         at, many = at[first], many[first]
         stop = np.cumsum(many)
         take = np.arange(many.sum()) + np.repeat(at - (stop - many), many)
-        members = pa.ListArray.from_arrays(pa.array(np.append(0, stop).astype(np.int32)), pa.array(owner[take] >> 8))
-        return pa.table({"gid": gid.view(np.int64), "times": times.astype(np.int64), "band": band[at].astype(np.int32), "members": members})
+        members = pa.ListArray.from_arrays(pa.array(np.append(0, stop).astype(np.int32)), pa.array(owner[take].view(np.int64)))
+        return pa.table({"gid": gid.view(np.int64), "times": times.astype(np.int64), "members": members})
 
     sent = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(send, "bucket int, entries binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "gid bigint, times bigint, band int, members array<bigint>")
+    return sent.groupBy("bucket").applyInArrow(meet, "gid bigint, times bigint, members array<bigint>")
+
+
+def _merged(keys: Column, buckets: int) -> Column:
+    """How many of a set's keys may be equal to others of its own in the bits that an entry has: so many fewer may it leave out."""
+    expected = keys.cast("double") * keys / (2.0 * buckets * 2 ** (64 - OWNER_BITS))
+    return F.when(expected < 1e-6, 0).when(expected < 1e-3, 1).otherwise(4 + F.ceil(4 * expected))
 
 
 def _members(groups: DataFrame, classes: DataFrame) -> DataFrame:
     """gid, size, times, node, n, sketch: members of groups, without the keys that each class may leave out (those of the largest
     groups go first), with the size of the group as it was, and the size and sketch of the class."""
-    one = groups.groupBy("gid").agg(F.sum("times").alias("times"), F.first("band").alias("band"), F.first("members").alias("m"))
-    rows = one.select("gid", "times", "band", F.size("m").alias("size"), F.explode("m").alias("c")).join(classes, "c")
-    spare = F.when(F.col("own_band") == F.col("band"), F.col("own")).when(F.col("own_band") == F.col("band") + 1, F.col("below"))
-    rows = rows.withColumn("spare", spare).where("spare is not null")  # else another class with the same c
-    left_out = F.sum("times").over(W.partitionBy("c", "node", "band").orderBy(F.desc("size"), "gid").rowsBetween(W.unboundedPreceding, 0))
+    one = groups.groupBy("gid").agg(F.sum("times").alias("times"), F.first("members").alias("m"))
+    rows = one.select("gid", "times", F.size("m").alias("size"), F.explode("m").alias("m")).select("gid", "times", "size", F.shiftright("m", 1).alias("c"), (F.col("m") % 2 == 1).alias("lower")).join(classes, "c")
+    rows = rows.withColumn("spare", F.when(F.col("lower"), F.col("below")).otherwise(F.col("own")))
+    left_out = F.sum("times").over(W.partitionBy("c", "node", "lower").orderBy(F.desc("size"), "gid").rowsBetween(W.unboundedPreceding, 0))
     return rows.withColumn("out", left_out).where("out > spare").select("gid", "size", F.expr("least(times, out - spare)").cast("int").alias("times"), "node", "n", "sketch")
 
 
@@ -443,11 +438,12 @@ def _labelled(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
     """key, t (a hash of the text), n_shingles, component_id of every row."""
     kept = keep(signatures(docs, key, text, width, percent))
     total = kept.agg(F.sum("n_shingles")).first()[0] or 0
-    classes = kept.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in ("sketch", "own_band", "own", "below")])
+    classes = kept.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in ("sketch", "own", "below", "keys")])
     classes = keep(classes.select(F.monotonically_increasing_id().alias("node"), "*"))
-    groups = keep(_groups(docs, text, width, percent, int(min(MOST_BUCKETS, max(1, total * 0.75 // BUCKET_ENTRIES)))))
+    buckets = int(min(MOST_BUCKETS, max(1, total * 0.75 // BUCKET_ENTRIES)))
+    groups = keep(_groups(docs, text, width, percent, buckets))
     release(docs.sparkSession)
-    held = classes.select(F.shiftrightunsigned("s1", 64 - CLASS_BITS).alias("c"), "node", "n", "sketch", "own_band", "own", "below")
+    held = classes.select(F.shiftrightunsigned("s1", 64 - CLASS_BITS).alias("c"), "node", "n", "sketch", *[F.greatest(F.col(c) - _merged(F.col("keys"), buckets), F.lit(0)).alias(c) for c in ("own", "below")])
     member = keep(_near_members(_members(groups, held), percent, False).distinct())
     discard(groups)
     release(docs.sparkSession)
