@@ -408,6 +408,42 @@ def test_ngram_join_of_a_crowd_near_the_limit(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df).collect()} == brute_components(rows)
 
 
+def test_ngram_join_sends_a_text_once_for_all_of_its_groups(spark, monkeypatch):
+    """Texts of a crowd share keys in many different sets; those that stay apart meet once in the last round."""
+    rng = np.random.default_rng(22)
+    rows = {}
+    for family in range(3):
+        for i in range(40):
+            text = [f"f{family}b{k}" for k in range(150)]
+            for at in rng.choice(150, int(rng.integers(3, 6)), replace=False):
+                text[at] = f"e{family}x{i}x{at}"
+            rows[100 * family + i] = " ".join(text)
+    sent, joining = [], ngram_join._joining
+
+    def counted(*args):
+        sent.append((args[6].count(), args[6].select("node").distinct().count()))
+        return joining(*args)
+
+    monkeypatch.setattr(ngram_join, "_joining", counted)
+    df = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df).collect()} == brute_components(rows)
+    assert sent and all(many == nodes > 0 for many, nodes in sent)
+
+
+def test_ngram_join_families(spark, monkeypatch):
+    """Groups with members in common are one, those without are not; a family of more blocks than its groups need stays in groups."""
+    near = [(1, 1, n) for n in (1, 2, 3)] + [(2, 2, n) for n in (2, 3, 4)] + [(3, 8, n) for n in (8, 9)]
+    near = spark.createDataFrame(near, "gid bigint, hub bigint, node bigint")
+    facts = spark.createDataFrame([(n, 10, b"") for n in range(12)], "node bigint, n bigint, sketch binary")
+    found = {}
+    for r in ngram_join._families(near, facts).collect():
+        found.setdefault(r.gid, []).append(r.node)
+    assert sorted(map(sorted, found.values())) == [[1, 2, 3, 4], [8, 9]]
+    monkeypatch.setattr(ngram_join, "BLOCK", 1)
+    chain = spark.createDataFrame([(g, g, n) for g in range(9) for n in (g, g + 1)], "gid bigint, hub bigint, node bigint")
+    assert {(r.gid, r.node) for r in ngram_join._families(chain, facts).collect()} == {(g, n) for g in range(9) for n in (g, g + 1)}
+
+
 def test_language_held_out(docs, odd, none):
     rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null").collect()
     held = [r for r in rows if r.held_out]

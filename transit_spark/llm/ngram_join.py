@@ -19,7 +19,8 @@ member is compared with the one of its groups' most central members (those that
 which it shares most keys, and again where that leaves a group in more than one component. At last the members of groups
 that are still in different components meet in one task with their texts, which verifies every pair whose sketches
 don't differ in more bits than similar sets may, until no pair is left that would join two components: every link
-that matters is tried, so the components are exact, and a task returns fewer links than it has members.
+that matters is tried, so the components are exact, and a task returns fewer links than it has members. Groups that
+near members join are one family there, so a text is sent once and not for each key that its set shares.
 """
 
 from __future__ import annotations
@@ -219,8 +220,10 @@ def _merged(keys: Column, buckets: int) -> Column:
 def _members(groups: DataFrame, classes: DataFrame) -> DataFrame:
     """gid, size, times, node, n, sketch: members of groups, without the keys that each class may leave out (those of the largest
     groups go first), with the size of the group as it was, and the size and sketch of the class."""
-    one = groups.groupBy("gid").agg(F.sum("times").alias("times"), F.first("members").alias("m"))
-    rows = one.select("gid", "times", F.size("m").alias("size"), F.explode("m").alias("m")).select("gid", "times", "size", F.shiftright("m", 1).alias("c"), (F.col("m") % 2 == 1).alias("lower")).join(classes, "c")
+    rows = groups.select("gid", F.explode("members").alias("m"), F.size("members").alias("size"), "times")
+    # Most groups are found in one bucket, so buckets' rows of a group are summed where its members' classes are, not before.
+    rows = rows.select("gid", F.shiftright("m", 1).alias("c"), (F.col("m") % 2 == 1).alias("lower"), "size", "times").repartition("c")
+    rows = rows.groupBy("c", "gid", "lower", "size").agg(F.sum("times").alias("times")).join(classes, "c")
     rows = rows.withColumn("spare", F.when(F.col("lower"), F.col("below")).otherwise(F.col("own")))
     left_out = F.sum("times").over(W.partitionBy("c", "node", "lower").orderBy(F.desc("size"), "gid").rowsBetween(W.unboundedPreceding, 0))
     return rows.withColumn("out", left_out).where("out > spare").select("gid", "size", F.expr("least(times, out - spare)").cast("int").alias("times"), "node", "n", "sketch")
@@ -319,7 +322,8 @@ def _reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 def _near_members(member: DataFrame, percent: int, labels: bool) -> DataFrame:
     """gid, size, times, node of those members (gid, size, times, node, n, sketch; label with ``labels``) whose size fits and whose
     sketch is near that of another member of the group, with another label. Only members leave the task, never pairs.
-    With ``labels`` a gid stands for the members that near sketches join, so equal sets of different groups are one.
+    With ``labels`` a gid stands for the members that near sketches join, so equal sets of different groups are one, and
+    instead of size and times a row has hub, the smallest of these members.
     A group of over BLOCK members is dealt into blocks, so that no task holds a whole large one."""
     rows = _dealt(member.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("bigint")), "node", "n", "times", "sketch", "size", *["label"] * labels)
     rows = rows.repartition("gid", "part").sortWithinPartitions("gid", "part")
@@ -333,16 +337,40 @@ def _near_members(member: DataFrame, percent: int, labels: bool) -> DataFrame:
                 root = _reached(a, b, t.num_rows)[at]
                 total = np.zeros(t.num_rows, dtype=np.uint64)
                 np.add.at(total, root, tx.mix(node.astype(np.uint64)))
-                gid = tx.mix(total)[root].view(np.int64)
+                hub = np.full(t.num_rows, np.iinfo(np.int64).max)
+                np.minimum.at(hub, root, node)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tx.mix(total)[root].view(np.int64), hub[root], node)], names=["gid", "hub", "node"])
+                continue
             size, times = (t.column(i).combine_chunks().take(pa.array(at)) for i in (6, 4))
             yield pa.RecordBatch.from_arrays([pa.array(gid), size, times, pa.array(node)], names=["gid", "size", "times", "node"])
 
-    return rows.mapInArrow(run, "gid bigint, size int, times int, node bigint")
+    return rows.mapInArrow(run, "gid bigint, hub bigint, node bigint" if labels else "gid bigint, size int, times int, node bigint")
+
+
+def _blocks() -> Column:
+    """Into how many blocks a group of members (node, n) is dealt."""
+    return F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("bigint")
+
+
+def _families(near: DataFrame, facts: DataFrame) -> DataFrame:
+    """gid, node, n, sketch of members (gid, hub, node) with a gid for all groups that have members in common, so that each is one row
+    and not one for each of its groups; but groups stay as they are where that sends fewer texts, as large families go to many parts."""
+    near = keep(near.distinct())
+    found = components(near, "hub", "node")
+    rows = near.select("gid", "node").distinct().join(found.withColumnRenamed("root", "family"), "node", "left").join(facts, "node")
+    rows = keep(rows.select("gid", "node", F.coalesce("family", "node").alias("family"), "n", "sketch"))
+    sent = F.count("*") * F.greatest(_blocks() - 1, F.lit(1))
+    apart = rows.groupBy("family", "gid").agg(sent.alias("sent")).groupBy("family").agg(F.sum("sent").alias("apart"))
+    united = rows.groupBy("family", "node").agg(F.first("n").alias("n")).groupBy("family").agg(sent.alias("united"))
+    cheaper = apart.join(united, "family").select("family", (F.col("united") <= F.col("apart")).alias("one"))
+    out = keep(rows.join(cheaper, "family").select(F.when(F.col("one"), F.xxhash64("family")).otherwise(F.col("gid")).alias("gid"), "node", "n", "sketch").dropDuplicates(["gid", "node"]))
+    discard(near, found, rows)
+    return out
 
 
 def _texts(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     """node, s1, s2, text of ``wanted`` (node, rep, s1, s2), a row for every document with the key ``rep``; texts of other documents are not shuffled."""
-    rows = maybe_wanted(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), "key", wanted, "rep")
+    rows = maybe_wanted(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), "key", wanted, "rep", 64)
     return rows.join(wanted, F.col("key").eqNullSafe(F.col("rep"))).select("node", "s1", "s2", "text")
 
 
@@ -399,7 +427,7 @@ def _joining(docs: DataFrame, key: str, text: str, width: int, percent: int, cla
     """a, b: links between the components of each group's members (gid, node, label, n, sketch), enough to join all that links
     of the group join. The members' texts meet in a task, a part of a group at a time, which verifies pairs of near
     sketches, the nearest first, and leaves out those whose components are joined already."""
-    size = member.groupBy("gid").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("bigint").alias("blocks"))
+    size = member.groupBy("gid").agg(_blocks().alias("blocks"))
     asked = held.keep(classes.join(member.select("node").distinct(), "node", "left_semi").select("node", "rep", "s1", "s2"))
     rows = _dealt(member.join(size, "gid"), "node", "label", "n", "sketch").join(_texts(docs, key, text, asked), "node")
     rows = rows.repartition("gid", "part").sortWithinPartitions("gid", "part", "node").select("gid", "part", "node", "label", "n", "sketch", "s1", "s2", "text")
@@ -470,10 +498,10 @@ def _labelled(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
     # Last, all members of a group which are still in different components.
     facts = classes.select("node", "n", "sketch")
     labelled = member.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    cross = _near_members(labelled.join(facts, "node").select("gid", "size", "times", "node", "n", "sketch", "label"), percent, True)
-    cross = cross.select("gid", "node").distinct().join(roots.withColumnRenamed("root", "label"), "node", "left").join(facts, "node")
+    family = _families(_near_members(labelled.join(facts, "node").select("gid", "size", "times", "node", "n", "sketch", "label"), percent, True), facts)
+    cross = family.join(roots.withColumnRenamed("root", "label"), "node", "left")
     cross = keep(cross.select("gid", "node", F.coalesce("label", "node").alias("label"), "n", "sketch"))
-    discard(member, starred, tried)
+    discard(member, starred, tried, family)
     release(docs.sparkSession)
     if cross.limit(1).count():
         step = Held()

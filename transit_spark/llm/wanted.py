@@ -17,12 +17,12 @@ FILTER_BITS = 26
 class Wanted:
     """A filter that lets rows with the keys ``name`` of ``wanted`` pass, and a few others, whose hash is that of a wanted key.
 
-    It has one hashed bit for each wanted key, 16 bits or more a key while FILTER_BITS allow; with more keys more other
+    It has one hashed bit for each wanted key, ``each`` bits or more a key while FILTER_BITS allow; with more keys more other
     rows pass, so that a join or semi join must follow. It spares those rows their shuffle.
     """
 
-    def __init__(self, wanted: DataFrame, name: str) -> None:
-        self.bits = min(FILTER_BITS, max(15, (16 * wanted.count()).bit_length()))
+    def __init__(self, wanted: DataFrame, name: str, each: int = 16) -> None:
+        self.bits = min(FILTER_BITS, max(15, (each * wanted.count()).bit_length()))
         at = wanted.select(self.place(name).alias("at"))
         maps = at.groupBy(F.shiftright("at", 15).alias("i")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(1 << 15))).alias("m"))
         held = np.zeros((1 << self.bits) // 8, np.uint8)
@@ -40,9 +40,9 @@ def passes(sent: Broadcast, at: pa.Array) -> pa.Array:
     return pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
 
-def maybe_wanted(rows: DataFrame, key: str, wanted: DataFrame, name: str) -> DataFrame:
+def maybe_wanted(rows: DataFrame, key: str, wanted: DataFrame, name: str, each: int = 16) -> DataFrame:
     """The rows that pass ``Wanted``, all columns as they are."""
-    filter_ = Wanted(wanted, name)
+    filter_ = Wanted(wanted, name, each)
     sent = filter_.sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
