@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet, which packs lists and repeated values, to the shared folder and read again."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, pause: float = 1.0) -> None:
+    """Lets Spark delete the shuffles of tables that are kept, which else stay until the driver's heap fills: the next step may write as much."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
+
+
 #: Rows that a task sorts at once.
 TASK_ROWS = 250_000
 
